@@ -9,8 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality_rules
-from .common import crc_mod, table
+from . import packing, pii, quality_rules, simhash, warc
+from .common import table
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive every page, read the archive back, and report each record."""
+    return warc.read(warc.write(table(spark, sf_dir, "pages")))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +37,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    d = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, base rule and the learned list's verdict for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -35,5 +51,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")))
 
 
-QUERIES = {f.__name__: f for f in (op6_pii, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_warc, op5_packing, op6_pii, op8_simhash, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
