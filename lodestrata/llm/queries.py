@@ -9,10 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, pii, quality_rules, simhash, warc
+from . import decontam, packing, pii, quality_rules, simhash, suffix_dedup, warc
 from .common import table
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte windows of documents with smaller ids."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50, keep_bytes=False).drop("kept")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a benchmark item that it contains."""
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -56,5 +61,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op4_warc, op5_packing, op6_pii, op8_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_decontamination, op4_warc, op5_packing, op6_pii, op8_simhash, op10_quality_rules)}
 ORACLE_SQL = {"op3_decontamination": decontam.SQL}
