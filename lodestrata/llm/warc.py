@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
 
 @dataclass
 class Archive:
-    """headers: (page_id, sha256, n, header); payloads: (sha256, payload), one row per digest."""
+    """headers: (page_id, sha256, n, header); payloads: (sha256, payload), one row per digest, payloads compressed."""
 
     headers: DataFrame
     payloads: DataFrame
@@ -88,8 +89,22 @@ def write(pages: DataFrame, min_revisit_bytes: int = 0) -> Archive:
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("sha256"), b.column("n"), pa.array(out, pa.binary())], ["page_id", "sha256", "n", "header"])
 
     head = materialize(base.join(first, "sha256").mapInArrow(headers, "page_id long, sha256 binary, n long, header binary"), "warc-headers")
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    stored = pages.select(F.unhex(F.sha2(payload, 256)).alias("sha256"), payload.alias("payload")).groupBy("sha256").agg(F.first("payload").alias("payload"))
+
+    def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        seen: set[bytes] = set()
+        for b in batches:
+            digest_and_payload = []
+            for h in b.column("html").to_pylist():
+                raw = (h or "").encode("utf-8", "surrogatepass")
+                key = hashlib.sha256(raw).digest()
+                if key not in seen:
+                    # of a payload that comes again in this task, one copy leaves it
+                    seen.add(key)
+                    digest_and_payload.append((key, squeeze(raw)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in digest_and_payload], pa.binary()) for i in (0, 1)], ["sha256", "payload"])
+
+    stored = rows.select("html").mapInArrow(payloads, "sha256 binary, payload binary").groupBy("sha256").agg(F.first("payload").alias("payload"))
     out = Archive(head, materialize(stored, "warc-payloads"))
     drop_scratch(base)
     drop_scratch(first)
@@ -105,10 +120,11 @@ def read(archive: Archive, keep_record: bool = False) -> DataFrame:
     kinds = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", record binary" * keep_record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
         for b in batches:
             out = []
             for key, head, payload in zip(*(b.column(c).to_pylist() for c in ("sha256", "header", "payload"))):
-                record = head + payload + b"\r\n\r\n"
+                record = head + expand(payload) + b"\r\n\r\n"
                 fields, block = parse(record)
                 sha1 = base64.b32encode(hashlib.sha1(block).digest()).decode()
                 if hashlib.sha256(block).digest() != key or fields["WARC-Payload-Digest"] != f"sha1:{sha1}":
