@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, pii, quality_rules, simhash, suffix_dedup, warc
-from .common import table
+from . import decontam, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, warc
+from .common import crc_mod, table
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a machine that has seen no document with remainder 0."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.with_score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     d = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -61,5 +69,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_decontamination, op4_warc, op5_packing, op6_pii, op8_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_decontamination, op4_warc, op5_packing, op6_pii, op7_toxicity, op8_simhash, op10_quality_rules)}
 ORACLE_SQL = {"op3_decontamination": decontam.SQL}
