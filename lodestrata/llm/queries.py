@@ -9,10 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, warc
+from . import decontam, langid, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, warc
 from .common import crc_mod, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by a field that has seen no document with remainder 2."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.with_language(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 50-byte windows of documents with smaller ids."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50, keep_bytes=False).drop("kept")
@@ -69,5 +76,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_decontamination, op4_warc, op5_packing, op6_pii, op7_toxicity, op8_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_decontamination, op4_warc, op5_packing, op6_pii, op7_toxicity, op8_simhash, op10_quality_rules)}
 ORACLE_SQL = {"op3_decontamination": decontam.SQL}
