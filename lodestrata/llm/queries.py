@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, warc
+from . import decontam, html_text, langid, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, warc
 from .common import crc_mod, table
 
 
@@ -68,6 +68,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_text.with_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, base rule and the learned list's verdict for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,5 +82,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_decontamination, op4_warc, op5_packing, op6_pii, op7_toxicity, op8_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_decontamination, op4_warc, op5_packing, op6_pii, op7_toxicity, op8_simhash, op9_html_text, op10_quality_rules)}
 ORACLE_SQL = {"op3_decontamination": decontam.SQL}
