@@ -1,3 +1,65 @@
-STAGES = []
+"""The corpus pipeline: five stages from documents to packed training sequences.
+
+Each stage calls one operator of ``lodestrata.llm`` and works on all that the
+stage before it kept. A stage's function takes (spark, docs, sf_dir); all but
+the last return the columns of documents. ``run`` writes each stage's result as
+Parquet into the session's shared folder and hands it on.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestrata.llm import decontam, packing, pii, quality_rules, simhash
+from lodestrata.llm.common import materialize, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the learned decision list rejects go."""
+    rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.apply_rules(docs, rules).where("quality.kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id stays.
+
+    Four fingerprints instead of one: a single radius of four bits finds few of
+    the pairs whose shingles are only nine tenths the same.
+    """
+    return simhash.one_of_each(docs, count=4)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; no document goes."""
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1024 tokens, every source in its share."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("personal data", private_data),
+    ("packing", pack),
+]
+
+#: Learned rules, fingerprints and token ids have no SQL; tests compare stages with plain Python.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{i}")
+    return docs

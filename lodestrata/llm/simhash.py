@@ -23,41 +23,53 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytewords import mix
 from .common import materialize
 from .graph import components
 
 BITS = 64
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash of ``width``-word shingles; 0 for a text without words."""
+def fingerprints(text: str | None, width: int = 4, seed: int = 42, count: int = 1) -> list[int]:
+    """``count`` 64-bit SimHashes of ``width``-word shingles; all 0 for a text without words.
+
+    The first is over XXH64 of the shingles, each other one over a bijection of it.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * count
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
     last = ends[width - 1 :] if len(words) >= width else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    count = np.zeros(BITS, np.int64)
+    ones = np.zeros((count, BITS), np.int64)
     for k in range(0, n, 1 << 15):
         cut = slice(k, min(n, k + (1 << 15)))
         hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[cut].tolist(), last[cut].tolist())], np.uint64)
-        count += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * count > n, bitorder="little").view(np.uint64)[0])
+        for t in range(count):
+            own = mix(hashes + np.uint64(t * 0xA0761D6478BD642F % 2**64)) if t else hashes
+            ones[t] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    return fingerprints(text, width, seed)[0]
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """All columns but ``text``, plus ``fingerprint`` as a signed 64-bit integer."""
-    rest = [c for c in docs.columns if c not in (text, "fingerprint")]
+def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 4, seed: int = 42, count: int = 1) -> DataFrame:
+    """All columns but ``text``, plus ``fingerprint``, a signed 64-bit integer (and ``more``, an array, for a ``count`` over 1)."""
+    own = ["fingerprint", "more"][: 1 + (count > 1)]
+    rest = [c for c in docs.columns if c not in (text, *own)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = np.array([fingerprint(t, width, seed) for t in b.column(text).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(values)], [*rest, "fingerprint"])
+            values = np.array([fingerprints(t, width, seed, count) for t in b.column(text).to_pylist()], np.uint64).reshape(-1, count).view(np.int64)
+            cols = [pa.array(values[:, 0])] + ([pa.array(list(values[:, 1:]), pa.list_(pa.int64()))] if count > 1 else [])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *cols], [*rest, *own])
 
-    schema = docs.select(*rest).withColumn("fingerprint", F.lit(0).cast("long")).schema
+    schema = docs.select(*rest).withColumns({"fingerprint": F.lit(0).cast("long"), "more": F.array(F.lit(0).cast("long"))}).select(*rest, *own).schema
     return docs.select(*rest, text).mapInArrow(run, schema)
 
 
@@ -130,9 +142,9 @@ def link_bucket(fps: np.ndarray, mask: int, radius: int, *, compare: int = 3000,
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch], table_masks: list[int], radius: int) -> Iterator[pa.RecordBatch]:
-    """Spanning stars of the buckets in rows sorted by (table, key, fingerprint)."""
+    """Spanning stars of the buckets in rows sorted by (table, key, fingerprint), between the rows' nodes."""
 
-    def whole(t: np.ndarray, k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+    def whole(t: np.ndarray, k: np.ndarray, f: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         new = np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])))
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(f)))
@@ -141,61 +153,78 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch], table_masks: list[int], rad
         small = size[group] <= 32
         for s in range(1, min(32, int(size.max(initial=1)))):
             ok = (group[s:] == group[:-s]) & small[s:] & (np.bitwise_count(f[s:] ^ f[:-s]) <= radius)
-            out_a.append(f[s:][ok])
-            out_b.append(f[:-s][ok])
+            out_a.append(node[s:][ok])
+            out_b.append(node[:-s][ok])
         for g in np.flatnonzero(size > 32):
-            fs = f[first[g] : first[g] + size[g]]
-            root = link_bucket(fs, table_masks[t[first[g]]], radius)
-            other = root != np.arange(len(fs))
-            out_a.append(fs[other])
-            out_b.append(fs[root[other]])
-        pair = [np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (out_a, out_b)]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(*pair)), pa.array(np.minimum(*pair))], ["a", "b"])
-
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            part = slice(first[g], first[g] + size[g])
+            one, where = np.unique(f[part], return_inverse=True)
+            root = link_bucket(one, table_masks[t[first[g]] % len(table_masks)], radius)
+            # all rows of a class point to one row of its root
+            lead = np.zeros(len(one), np.int64)
+            lead[where[::-1]] = np.arange(size[g])[::-1]
+            out_a.append(node[part])
+            out_b.append(node[part][lead[root[where]]])
+        pair = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b)]
+        differ = pair[0] != pair[1]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(*pair)[differ]), pa.array(np.minimum(*pair)[differ])], ["a", "b"])
+
+    held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        t, k, f = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        f = f.view(np.uint64)
+        t, k, f, *node = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        rows = t, k, f.view(np.uint64), (node[0] if node else f)
         if not len(f):
             continue
         end = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1]))
-        cut = 0
         if held and (t[0] != held[-1][0][-1] or k[0] != held[-1][1][-1]):
             yield whole(*(np.concatenate(x) for x in zip(*held)))
             held = []
+        cut = 0
         if len(end):
             cut = int(end[-1]) + 1
-            held.append((t[:cut], k[:cut], f[:cut]))
+            held.append(tuple(x[:cut] for x in rows))
             yield whole(*(np.concatenate(x) for x in zip(*held)))
             held = []
-        held.append((t[cut:], k[cut:], f[cut:]))
+        held.append(tuple(x[cut:] for x in rows))
     if held:
         yield whole(*(np.concatenate(x) for x in zip(*held)))
 
 
-def link(fingerprints: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges (a > b) between distinct ``fingerprint`` values within ``radius`` bits, enough to connect each linked class."""
+def link(prints: DataFrame, radius: int = 4, count: int = 1) -> DataFrame:
+    """Edges (a > b) between ``fingerprint`` values, enough to connect all rows that are linked.
+
+    Rows link where their fingerprints, or their i-th values of ``more``, are within ``radius`` bits.
+    """
     ms = masks(radius)
-    tables = F.explode(F.array(*(F.struct(F.lit(i).cast("short").alias("t"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(ms))))
-    keyed = fingerprints.select("fingerprint", tables.alias("x")).select("x.t", "x.k", "fingerprint")
-    dealt = keyed.repartition(F.col("t"), F.col("k")).sortWithinPartitions("t", "k", "fingerprint")
+
+    def tables(value, base: int):
+        return [F.struct(F.lit(base + i).cast("short").alias("t"), value.bitwiseAND(F.lit(_signed(m))).alias("k"), value.alias("f")) for i, m in enumerate(ms)]
+
+    own = ["fingerprint"] if count > 1 else []
+    values = [F.col("fingerprint"), *(F.col("more")[i] for i in range(count - 1))]
+    every = F.explode(F.array(*(x for i, v in enumerate(values) for x in tables(v, i * len(ms)))))
+    keyed = prints.select(every.alias("x"), *own).select("x.t", "x.k", "x.f", *own)
+    dealt = keyed.repartition(F.col("t"), F.col("k")).sortWithinPartitions("t", "k", "f")
     return dealt.mapInArrow(lambda it: _bucket_edges(it, ms, radius), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", *, width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", *, width: int = 4, radius: int = 4, seed: int = 42, count: int = 1) -> DataFrame:
     """(id, fingerprint, component_id) for every row; ``component_id`` is the smallest id reachable over links.
 
+    With a ``count`` over 1, documents are also linked by further fingerprints
+    over other hashes of the same shingles: each finds, by itself, every pair
+    within the radius, and together they reach pairs that are less similar.
     Null and empty texts have fingerprint zero and link like any other; rows
     with a null id stay and count for no smallest id; repeated rows stay.
     """
-    own = materialize(with_fingerprint(docs.select(id, text), text, width, seed), "simhash")
+    own = materialize(with_fingerprint(docs.select(id, text), text, width, seed, count), "simhash")
     distinct = materialize(own.groupBy("fingerprint").agg(F.min(id).alias("low")), "simhash-distinct")
-    label = components(link(distinct, radius))
+    prints = own.select("fingerprint", "more").distinct() if count > 1 else distinct
+    label = components(link(prints, radius, count))
     named = distinct.join(label.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "low", F.coalesce("label", "fingerprint").alias("label"))
     named = materialize(named, "simhash-classes")
     lowest = materialize(named.groupBy("label").agg(F.min("low").alias("component_id")), "simhash-lowest")
     classes = materialize(named.join(lowest, "label").select("fingerprint", "component_id"), "simhash-components")
-    return own.join(classes, "fingerprint").select(id, "fingerprint", "component_id")
+    return own.select(id, "fingerprint").join(classes, "fingerprint").select(id, "fingerprint", "component_id")
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:

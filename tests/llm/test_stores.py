@@ -71,6 +71,24 @@ def test_fingerprints_and_components(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(classes.values())
 
 
+def test_more_fingerprints_link_at_least_as_much(spark):
+    rows = list(enumerate(texts(seed=11)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {i: simhash.fingerprints(t, count=3) for i, t in rows}
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i, f in prints.items():
+        for j, g in prints.items():
+            if any((a ^ b).bit_count() <= 4 for a, b in zip(f, g)):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, count=3).collect()}
+    assert got == {i: find(i) for i in root}
+
+
 def test_empty_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
