@@ -14,8 +14,12 @@ there on, owned by their smallest document. Only windows of different strings
 under one digit are then ordered one by one.
 
 What repeats inside one task is resolved there: of equal strings the smallest
-document's alone travels. So copies of a document, or a passage that a third of
+document's alone is dealt. So copies of a document, or a passage that a third of
 all documents share, arrive once per task, not once per document.
+
+Strings are dealt in two rounds. The first sends only their digits and places,
+a few bytes each; what one document has alone ends there. Only the strings whose
+digit two documents have are then cut from their texts and sent in full.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords
+from .common import materialize
 
 GRAM = 20
 #: Text bytes whose strings leave a task together; text bytes of a bucket.
@@ -238,15 +243,44 @@ def _deal(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, depth: int, buc
         yield int(xxhash.xxh32_intdigest(struct.pack("<qq", int(ids[0]), len(texts)))) % buckets, 1, _pack(ids[text[m][f]], keys[text[m][f]], a[f], ends)
     travels = np.ones(len(start), bool)
     travels[me] = False
-    left = np.flatnonzero(travels)
-    bucket = ((value[left] * _MULT) >> np.uint64(20)).astype(np.int64) % buckets
-    order = np.lexsort((left, bucket))
-    left, bucket = left[order], bucket[order]
-    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[: len(left)]
-    for a, b in zip(edges, np.append(edges[1:], len(left))):
-        x = left[a:b]
+    for b, x in _by_bucket(np.flatnonzero(travels), value, buckets):
+        docs, local = np.unique(text[x], return_inverse=True)
+        yield b, 0, _pack(np.diff(ids[docs], prepend=np.int64(0)), keys[docs].astype("<u4"), np.diff(local, prepend=0).astype("<i4"), offset[x].astype("<i4"), length[x].astype("<i4"), place[x].astype("u1"), (value[x] & np.uint64(0xFFFFFFFF)).astype("<u4"))
+
+
+def _by_bucket(items: np.ndarray, value: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, its items) by the 40-bit digits of all items."""
+    bucket = ((value[items] * _MULT) >> np.uint64(20)).astype(np.int64) % buckets
+    order = np.lexsort((items, bucket))
+    items, bucket = items[order], bucket[order]
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[: len(items)]
+    for a, b in zip(edges, np.append(edges[1:], len(items))):
+        yield int(bucket[a]), items[a:b]
+
+
+def _several(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(id, key, offset, length, place) of the strings whose digit more than one document has."""
+    parts = []
+    for blob in blobs:
+        d, k, local, off, n, place, value = _unpack(blob, "<i8", "<u4", "<i4", "<i4", "<i4", "u1", "<u4")
+        local = np.cumsum(local)
+        parts.append((np.cumsum(d)[local], k[local], off, n, place, value))
+    doc, key, offset, length, place, value = (np.concatenate(x) for x in zip(*parts))
+    order, _ = refine(np.arange(len(doc)), np.zeros(len(doc), np.int64), value, doc)
+    order = np.sort(order)
+    return doc[order], key[order], offset[order], length[order], place[order]
+
+
+def _strings(texts: list[np.ndarray], ids: np.ndarray, keys: np.ndarray, places: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, blob) of the named strings of some texts, in full."""
+    count = [len(p[0]) for p in places]
+    text = np.repeat(np.arange(len(texts)), count)
+    offset, length, place = (np.concatenate(x) for x in zip(*places))
+    raw = np.concatenate(texts)
+    start = np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1]))[text] + offset
+    for b, x in _by_bucket(np.arange(len(text)), gram_values(raw, start + place), buckets):
         docs, local = np.unique(text[x], return_inverse=True)
-        yield int(bucket[a]), 0, _pack(np.diff(ids[docs], prepend=np.int64(0)), keys[docs].astype("<u4"), np.diff(local, prepend=0).astype("<i4"), offset[x].astype("<i4"), length[x].astype("<i4"), place[x].astype("u1"), raw[flat(start[x], length[x])])
+        yield b, _pack(ids[docs], keys[docs].astype("<u4"), np.diff(local, prepend=0).astype("<i4"), offset[x].astype("<i4"), length[x].astype("<i4"), place[x].astype("u1"), raw[flat(start[x], length[x])])
 
 
 def _resolve(blobs: list[bytes], depth: int) -> tuple[np.ndarray, ...]:
@@ -255,7 +289,7 @@ def _resolve(blobs: list[bytes], depth: int) -> tuple[np.ndarray, ...]:
     for blob in blobs:
         d, k, local, off, n, place, raw = _unpack(blob, "<i8", "<u4", "<i4", "<i4", "<i4", "u1", "u1")
         local = np.cumsum(local)
-        ids.append(np.cumsum(d)[local])
+        ids.append(d[local])
         keys.append(k[local].astype(np.int64))
         offsets.append(off.astype(np.int64))
         lengths.append(n.astype(np.int64))
@@ -277,8 +311,28 @@ def partitions(docs: DataFrame) -> tuple[int, int]:
     return parts, max(4 * parts, -(-size // BUCKET))
 
 
-def repeated_spans(docs: DataFrame, depth: int = 50, parts: int = 8, buckets: int = 32) -> DataFrame:
-    """(doc_id, key, start, end): covered byte spans, overlapping ones not merged; key is the low half of xxhash64(text)."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The blobs of each bucket, from rows sorted by bucket."""
+    now, blobs = None, []
+    for b in batches:
+        for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist()):
+            if bucket != now and blobs:
+                yield blobs
+                blobs = []
+            now = bucket
+            blobs.append(blob)
+    if blobs:
+        yield blobs
+
+
+def _columns(arrays: tuple[np.ndarray, ...], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(arrays[0]), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000].astype(np.int64)) for c in arrays], names)
+
+
+def _first_round(docs: DataFrame, depth: int, parts: int, buckets: int) -> DataFrame:
+    """(doc_id, key, kind, x, y, z): strings to send in full (kind 0: offset, length, place), covered spans (kind 1: start, end)."""
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[bytes] = []
         ids: list[int] = []
@@ -296,7 +350,7 @@ def repeated_spans(docs: DataFrame, depth: int = 50, parts: int = 8, buckets: in
                 raw = t.encode("utf-8", "surrogatepass")
                 if len(raw) >= depth:
                     texts.append(raw)
-                    ids.append(NO_ID if i is None else i)
+                    ids.append(i)
                     held += len(raw)
                     if held >= FLUSH:
                         yield from flush()
@@ -304,28 +358,26 @@ def repeated_spans(docs: DataFrame, depth: int = 50, parts: int = 8, buckets: in
         if texts:
             yield from flush()
 
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = None, []
+    names = ["doc_id", "key", "kind", "x", "y", "z"]
 
-        def out(columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            for a in range(0, len(columns[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000].astype(np.int64)) for c in columns], ["doc_id", "key", "start", "end"])
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resolved: list[bytes] = []
 
-        for b in batches:
-            for bucket, kind, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "blob"))):
-                if kind == 1:
-                    yield from out(tuple(_unpack(blob, "<i8", "<i8", "<i8", "<i8")))
-                    continue
-                if bucket != now and blobs:
-                    yield from out(_resolve(blobs, depth))
-                    blobs = []
-                now = bucket
-                blobs.append(blob)
-        if blobs:
-            yield from out(_resolve(blobs, depth))
+        def digits_only() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                one = np.array(b.column("kind").to_numpy()) == 1
+                resolved.extend(b.column("blob").filter(pa.array(one)).to_pylist())
+                yield b.filter(pa.array(~one))
+
+        for blobs in _grouped(digits_only()):
+            doc, key, offset, length, place = _several(blobs)
+            yield from _columns((doc, key, np.zeros(len(doc)), offset, length, place), names)
+        for blob in resolved:
+            doc, key, start, end = _unpack(blob, "<i8", "<i8", "<i8", "<i8")
+            yield from _columns((doc, key, np.ones(len(doc)), start, end, np.zeros(len(doc))), names)
 
     dealt = docs.select("doc_id", "text").mapInArrow(deal, "bucket long, kind int, blob binary")
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(resolve, "doc_id long, key long, start long, end long")
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, ", ".join(f"{c} long" for c in names))
 
 
 def remove_repeats(docs: DataFrame, depth: int = 50, keep_bytes: bool = True) -> DataFrame:
@@ -334,54 +386,74 @@ def remove_repeats(docs: DataFrame, depth: int = 50, keep_bytes: bool = True) ->
     Documents are ordered by id; rows with the same id remove nothing from one
     another, a null id counts as larger than any. Null texts are empty, texts
     shorter than ``depth`` bytes stay whole, repeated rows give repeated results.
+    ``depth`` is at least GRAM bytes and at most 200.
     """
+    if not GRAM <= depth <= 200:
+        raise ValueError("depth out of range")
     parts, buckets = partitions(docs)
-    spans = repeated_spans(docs, depth, parts, buckets).select("doc_id", "key", F.lit(0).alias("kind"), "start", "end", F.lit(None).cast("string").alias("text"))
     key = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), key.alias("key"), F.col("doc_id").isNull().cast("int").alias("no"), "text")
-    rows = own.select("doc_id", "key", (F.lit(1) + F.col("no")).alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), "text")
-    met = spans.union(rows).repartition(parts, "doc_id", "key").sortWithinPartitions("doc_id", "key", "kind", "start")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), key.alias("key"), F.col("doc_id").isNull().alias("no"), "text")
+    found = materialize(_first_round(own, depth, parts, buckets), "suffixes")
+    # both joins below read one and the same exchange of the texts
+    met = own.repartition(parts, "doc_id", "key")
+    wanted = found.where("kind = 0").repartition(parts, "doc_id", "key").groupBy("doc_id", "key").agg(F.collect_list(F.struct("x", "y", "z")).alias("at"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[np.ndarray] = []
+        ids, keys, places, seen = [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for bucket, blob in _strings(texts, np.array(ids, np.int64), np.array(keys, np.int64), places, buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+
+        last = None
+        for b in batches:
+            at = b.column("at")
+            for i, (doc, k, t) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), b.column("text").to_pylist())):
+                if (doc, k) == last:  # a repeated row
+                    continue
+                last = doc, k
+                texts.append(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8))
+                ids.append(doc)
+                keys.append(k)
+                items = at[i].values
+                # a repeated row was dealt twice
+                x = np.unique(np.stack([items.field(f).to_numpy(zero_copy_only=False) for f in ("x", "y", "z")], 1), axis=0)
+                places.append((x[:, 0], x[:, 1], x[:, 2]))
+                seen += len(t)
+                if seen >= FLUSH:
+                    yield from flush()
+                    texts, ids, keys, places, seen = [], [], [], [], 0
+        if texts:
+            yield from flush()
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in _grouped(batches):
+            yield from _columns(_resolve(blobs, depth), ["doc_id", "key", "x", "y"])
+
+    sent = met.join(wanted.hint("shuffle_hash"), ["doc_id", "key"]).select("doc_id", "key", "no", "text", "at").mapInArrow(send, "bucket long, blob binary")
+    late = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(resolve, "doc_id long, key long, x long, y long")
+    spans = late.union(found.where("kind = 1").select("doc_id", "key", "x", "y"))
+    covered = spans.repartition(parts, "doc_id", "key").groupBy("doc_id", "key").agg(F.collect_list(F.struct("x", "y")).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
         for b in batches:
-            ids, keys, kinds, starts, ends = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            texts = b.column("text")
-            out = []
-            mark = np.flatnonzero(kinds > 0)
-            at = 0
-            for i in [*mark.tolist(), len(ids)]:
-                if i > at:
-                    # spans of one or more documents; only those of the last can be waiting for their text
-                    last = (ids[i - 1], keys[i - 1])
-                    if last != now:
-                        now, held = last, []
-                    j = at
-                    while j < i and (ids[j], keys[j]) != last:
-                        j += 1
-                    held.append((starts[j:i], ends[j:i]))
-                if i == len(ids):
-                    break
-                me = (ids[i], keys[i])
-                if me != now:
-                    now, held = me, []
-                raw = np.frombuffer((texts[i].as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
-                gone = n_spans = 0
-                kept = raw
-                if held:
-                    delta = np.zeros(len(raw) + 1, np.int64)
-                    for s, e in held:
-                        np.add.at(delta, s, 1)
-                        np.add.at(delta, e, -1)
-                    covered = np.cumsum(delta[:-1]) > 0
-                    gone = int(covered.sum())
-                    n_spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
-                    kept = raw[~covered]
-                data = kept.tobytes()
-                out.append((None if kinds[i] == 2 else int(ids[i]), len(raw), gone, n_spans, hashlib.sha256(data).hexdigest(), data if keep_bytes else None))
-                at = i + 1
+            at, out = b.column("at"), []
+            for i, (doc, no, t) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc_id", "no", "text")))):
+                raw = np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8)
+                gone, n_spans, data = 0, 0, raw.tobytes()
+                if at[i].is_valid:
+                    delta = np.zeros(len(raw) + 1, np.int32)
+                    for f, v in (("x", 1), ("y", -1)):
+                        np.add.at(delta, at[i].values.field(f).to_numpy(zero_copy_only=False), v)
+                    hit = np.cumsum(delta[:-1]) > 0
+                    gone = int(hit.sum())
+                    n_spans = int(hit[0]) + int((hit[1:] & ~hit[:-1]).sum())
+                    data = raw[~hit].tobytes()
+                out.append((None if no else doc, len(raw), gone, n_spans, hashlib.sha256(data).hexdigest(), data if keep_bytes else None))
             cols = list(zip(*out)) if out else [()] * 6
             types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return met.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    last = met.join(covered.hint("shuffle_hash"), ["doc_id", "key"], "left").select("doc_id", "key", "no", "text", "at")
+    return last.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
