@@ -94,3 +94,8 @@ def row_ranges(found: DataFrame, zone: list[str], place: str) -> DataFrame:
     from .coverage import coalesce_ranges
 
     return coalesce_ranges(found.select(*zone, F.col(place).alias("start"), F.lit(1).cast("long").alias("length")), zone)
+
+
+def lookup_overlap(index: KeyIndex, low: object, high: object, start: str, end: str) -> DataFrame:
+    """Entries whose own interval (columns ``start``, ``end``, half-open) meets [low, high)."""
+    return index.rows.where((F.col(start) < F.lit(high)) & (F.col(end) > F.lit(low)))

@@ -269,3 +269,29 @@ def property_versions(records: DataFrame) -> DataFrame:
 def project_evidence(evidence: DataFrame, fields: list[str]) -> DataFrame:
     """Named evidence fields; one that is missing is null."""
     return evidence.select(*((F.col(f) if f in evidence.columns else F.lit(None)).cast("string").alias(f) for f in fields))
+
+
+def temporal_view(records: DataFrame, mode: str) -> DataFrame:
+    """Records as a projection's mode sees them.
+
+    latest_committed, as_of_timestamp_us:N and as_of_csn:N give one live state per
+    object; full_history and commit_order give every record with its place;
+    valid_time and observed_time order by that property, which must exist.
+    """
+    from pyspark.sql import Window
+
+    from . import temporal
+
+    name, _, value = mode.partition(":")
+    if name in ("latest_committed", "latest") and not value:
+        return temporal.as_of(records)
+    if name in ("as_of_timestamp_us", "as_of_csn") and value.lstrip("-").isdigit():
+        return temporal.as_of(records, **{name.removeprefix("as_of_"): int(value)})
+    if name in ("full_history", "commit_order") and not value:
+        w = Window.partitionBy(*temporal.KEY).orderBy(*temporal.ORDER)
+        return records.withColumn("place", F.row_number().over(w))
+    if name in ("valid_time", "observed_time") and not value:
+        key = {"valid_time": "valid_from", "observed_time": "observed_at"}[name]
+        has = F.when(F.map_contains_key("properties", key), F.col("properties")[key]).otherwise(F.raise_error(F.lit(f"no {key}")).cast("string"))
+        return records.withColumn("at", has)
+    raise ArchiveError("bad_temporal_mode", mode)

@@ -205,3 +205,8 @@ def z_order(*ranks: Column, bits: int = 16) -> Column:
     n = len(ranks)
     parts = [F.shiftleft(F.shiftright(r.cast("long"), i).bitwiseAND(F.lit(1)), i * n + k) for i in range(bits) for k, r in enumerate(ranks)]
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
+
+
+def synopsis_outcome(proves_no_match: Column, usable: Column) -> Column:
+    """What a caller's synopsis says of a zone: a stale or corrupt one says nothing."""
+    return F.when(~F.coalesce(usable, F.lit(False)), UNKNOWN).when(proves_no_match, NO).otherwise(SOME)

@@ -118,6 +118,11 @@ def topn_hinted_scan(spark: SparkSession, d: str) -> DataFrame:
     return df.join(held, "morsel", "left_semi").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(15).select("o_orderkey", "o_totalprice")
 
 
+@query("SELECT p_partkey, CAST(list_sum(list_transform(range(6), lambda i: ((p_size >> i) & 1) * (1 << (2 * i)) + (((p_partkey % 64) >> i) & 1) * (2 << (2 * i)))) AS BIGINT) AS z FROM part")
+def z_order_key(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "part").select("p_partkey", zones.z_order(F.col("p_size"), F.col("p_partkey") % 64, bits=6).alias("z"))
+
+
 @query("SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS rank FROM (SELECT DISTINCT p_brand AS value FROM part) t")
 def domain_ranks(spark: SparkSession, d: str) -> DataFrame:
     return zones.domain(read_table(spark, d, "part"), "p_brand")

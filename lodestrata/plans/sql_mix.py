@@ -70,7 +70,7 @@ sql_query("union_all", "SELECT n_name AS name FROM nation UNION ALL SELECT r_nam
 sql_query("set_union", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey AS k FROM region")
 sql_query("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier")
 sql_query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'")
-sql_query("casts", "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(15, 2)) AS price, CAST(o_orderkey AS VARCHAR(20)) AS key_text, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS day FROM orders WHERE o_orderkey < 500")
+sql_query("casts", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS DOUBLE) AS price, CAST(o_orderkey AS VARCHAR(20)) AS key_text, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS day FROM orders WHERE o_orderkey < 500")
 sql_query("scalar_functions", "SELECT c_custkey, upper(c_mktsegment) AS u, lower(c_name) AS l, CAST(length(c_name) AS BIGINT) AS n, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS s, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'fine' END AS state, abs(c_acctbal) AS size, concat(c_name, '/', c_mktsegment) AS both FROM customer")
 sql_query("subquery_scalar", "SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT max(s_acctbal) - 500 FROM supplier)")
 sql_query("subquery_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)")

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators import projection, temporal
+from lodestrata.operators import joins, projection, temporal
 from lodestrata.sources.tables import read_table
 
 from .registry import query
 
-KINDS = {"signup": "Baseline", "purchase": "Snapshot", "error": "Tombstone"}
-
-
 def records(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "events")
     kind = F.when(F.col("event_id") % 11 == 3, "Tombstone").when(F.col("event_id") % 7 == 2, "Snapshot").otherwise("Delta")
@@ -85,3 +82,26 @@ def temporal_prev_ref_check(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {R_SQL} SELECT goid, CAST(csn AS VARCHAR) AS record_id, 'type' AS property, type AS value FROM r UNION ALL SELECT goid, CAST(csn AS VARCHAR), 'k', k FROM r WHERE has_k")
 def proj_property_version(spark: SparkSession, d: str) -> DataFrame:
     return projection.property_versions(records(spark, d)).select("goid", "record_id", "property", "value")
+
+
+@query(_state_sql(*FRESH, where="csn <= 7000", tail=LIVE))
+def proj_asof(spark: SparkSession, d: str) -> DataFrame:
+    return _show(projection.temporal_view(records(spark, d), "as_of_csn:7000"))
+
+
+def _events(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    e = read_table(spark, d, "events").where(F.col("event_type") == kind)
+    return e.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+
+
+@query("WITH p AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, max(event_id) AS event_id, epoch_us(ts) AS t FROM events WHERE event_type = 'view' GROUP BY user_id, ts) SELECT p.user_id, p.event_id, p.t, v.event_id AS right_event_id, v.t AS right_t FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.t >= v.t")
+def join_asof(spark: SparkSession, d: str) -> DataFrame:
+    """Each purchase with the latest view of its user before it."""
+    return joins.asof_join(_events(spark, d, "purchase"), _events(spark, d, "view"), ["user_id"], "t")
+
+
+@query("SELECT p.user_id, p.event_id, v.event_id AS view_id FROM events p JOIN events v ON p.user_id = v.user_id AND epoch_us(p.ts) >= epoch_us(v.ts) AND epoch_us(p.ts) < epoch_us(v.ts) + 3600000000 WHERE p.event_type = 'purchase' AND v.event_type = 'view'")
+def join_interval(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases within an hour of a view of the same user."""
+    v = _events(spark, d, "view").select("user_id", F.col("event_id").alias("view_id"), F.col("t").alias("a"), (F.col("t") + 3600000000).alias("b"))
+    return joins.interval_join(_events(spark, d, "purchase"), v, ["user_id"], "t", "a", "b", 3600000000).select("user_id", "event_id", "view_id")

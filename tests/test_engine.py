@@ -320,3 +320,32 @@ def test_streams_become_snapshots_once(spark, tmp_path):
     q = ingest.windowed_counts(spark.readStream.schema(df.schema).parquet(src), "t", "id").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.id, r.n) for r in spark.sql("select * from counts").collect()} == {(1, 2), (2, 1)}
+
+
+def test_joins_by_time(spark):
+    from lodestrata.operators import joins
+
+    a = spark.createDataFrame([(1, 5, "x"), (1, 9, "y"), (2, 1, "z")], "k int, t long, v string")
+    b = spark.createDataFrame([(1, 5, 10), (1, 5, 11), (1, 2, 12), (3, 0, 13)], "k int, t long, w int")
+    got = {r.v: r.right_w for r in joins.asof_join(a, b, ["k"], "t").collect()}
+    assert got == {"x": 11, "y": 11, "z": None}
+    assert {r.v: r.right_w for r in joins.asof_join(a, b, ["k"], "t", strict=True).collect()} == {"x": 12, "y": 11, "z": None}
+    spans = spark.createDataFrame([(1, 0, 6), (1, 5, 5), (1, 6, 100), (2, 2, 9)], "k int, s long, e long")
+    assert {(r.v, r.s) for r in joins.interval_join(a, spans, ["k"], "t", "s", "e", 4).collect()} == {("x", 0), ("y", 6)}
+    assert joins.salted_join(a, b, ["k"], 3).count() == a.join(b, "k").count()
+
+
+def test_temporal_modes(spark):
+    df = spark.createDataFrame([("T", "m", "g", 1, 1, 0, 0, "a", "Baseline", {"valid_from": "1"}), ("T", "m", "g", 2, 2, 0, 1, "b", "Tombstone", {})], "object_type string, branch_key string, goid string, timestamp_us long, csn long, segment_id long, row_index long, record_id string, kind string, properties map<string,string>")
+    view = projection.temporal_view
+    assert view(df, "latest_committed").count() == 0 and view(df, "as_of_csn:1").count() == 1 and view(df, "as_of_timestamp_us:0").count() == 0
+    assert [r.place for r in view(df, "full_history").orderBy("csn").collect()] == [1, 2]
+    with pytest.raises(Exception, match="no valid_from"):
+        view(df, "valid_time").collect()
+    with pytest.raises(tables.ArchiveError):
+        view(df, "as_of_csn")
+
+
+def test_synopses_prove_or_say_nothing(spark):
+    df = spark.createDataFrame([(True, True), (True, False), (False, True), (True, None)], "proves boolean, usable boolean")
+    assert [r[0] for r in df.select(zones.synopsis_outcome(F.col("proves"), F.col("usable"))).collect()] == [zones.NO, zones.UNKNOWN, zones.SOME, zones.UNKNOWN]
