@@ -23,10 +23,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest id stays.
 
-    Four fingerprints instead of one: a single radius of four bits finds few of
-    the pairs whose shingles are only nine tenths the same.
+    Eight fingerprints instead of one: within a single radius of four bits lie
+    only some of the pairs that have nine tenths of their shingles in common.
     """
-    return simhash.one_of_each(docs, count=4)
+    return simhash.one_of_each(docs, count=8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

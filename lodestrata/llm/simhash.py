@@ -142,31 +142,34 @@ def link_bucket(fps: np.ndarray, mask: int, radius: int, *, compare: int = 3000,
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch], table_masks: list[int], radius: int) -> Iterator[pa.RecordBatch]:
-    """Spanning stars of the buckets in rows sorted by (table, key, fingerprint), between the rows' nodes."""
+    """Spanning stars of the buckets in rows sorted by (table, key, node), between the rows' nodes."""
 
     def whole(t: np.ndarray, k: np.ndarray, f: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         new = np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])))
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(f)))
         group = np.repeat(np.arange(len(first)), size)
-        out_a, out_b = [], []
+        # every row of a class points to the class's first row, which has its smallest node
+        pair_a, pair_b = [], []
         small = size[group] <= 32
         for s in range(1, min(32, int(size.max(initial=1)))):
-            ok = (group[s:] == group[:-s]) & small[s:] & (np.bitwise_count(f[s:] ^ f[:-s]) <= radius)
-            out_a.append(node[s:][ok])
-            out_b.append(node[:-s][ok])
+            i = np.flatnonzero((group[s:] == group[:-s]) & small[s:])
+            i = i[np.bitwise_count(f[i + s] ^ f[i]) <= radius]
+            pair_a.append(i + s)
+            pair_b.append(i)
         for g in np.flatnonzero(size > 32):
-            part = slice(first[g], first[g] + size[g])
-            one, where = np.unique(f[part], return_inverse=True)
+            at = np.arange(first[g], first[g] + size[g])
+            one, lead, where = np.unique(f[at], return_index=True, return_inverse=True)
             root = link_bucket(one, table_masks[t[first[g]] % len(table_masks)], radius)
-            # all rows of a class point to one row of its root
-            lead = np.zeros(len(one), np.int64)
-            lead[where[::-1]] = np.arange(size[g])[::-1]
-            out_a.append(node[part])
-            out_b.append(node[part][lead[root[where]]])
-        pair = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b)]
-        differ = pair[0] != pair[1]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(*pair)[differ]), pa.array(np.minimum(*pair)[differ])], ["a", "b"])
+            low = np.full(len(one), len(at))
+            np.minimum.at(low, root, lead)
+            pair_a.append(at)
+            pair_b.append(at[low[root[where]]])
+        if not pair_a:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+        root = _stars(len(f), *map(np.concatenate, (pair_a, pair_b)))
+        a, b = node, node[root]
+        return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
@@ -203,7 +206,7 @@ def link(prints: DataFrame, radius: int = 4, count: int = 1) -> DataFrame:
     values = [F.col("fingerprint"), *(F.col("more")[i] for i in range(count - 1))]
     every = F.explode(F.array(*(x for i, v in enumerate(values) for x in tables(v, i * len(ms)))))
     keyed = prints.select(every.alias("x"), *own).select("x.t", "x.k", "x.f", *own)
-    dealt = keyed.repartition(F.col("t"), F.col("k")).sortWithinPartitions("t", "k", "f")
+    dealt = keyed.repartition(F.col("t"), F.col("k")).sortWithinPartitions("t", "k", own[0] if own else "f")
     return dealt.mapInArrow(lambda it: _bucket_edges(it, ms, radius), "a long, b long").distinct()
 
 
