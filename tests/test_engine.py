@@ -349,3 +349,35 @@ def test_temporal_modes(spark):
 def test_synopses_prove_or_say_nothing(spark):
     df = spark.createDataFrame([(True, True), (True, False), (False, True), (True, None)], "proves boolean, usable boolean")
     assert [r[0] for r in df.select(zones.synopsis_outcome(F.col("proves"), F.col("usable"))).collect()] == [zones.NO, zones.UNKNOWN, zones.SOME, zones.UNKNOWN]
+
+
+def test_external_tables_and_partition_values(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(100).selectExpr("id", "case when id % 10 = 0 then null else id % 3 end as part")
+    archive.write_partitioned(df, path, "part")
+    tables.create_external_table(spark, "external_t", path)
+    found = tables.register(spark, "view_t", path)
+    assert spark.sql("select count(*) n from view_t where part = 1").first().n == df.where("part = 1").count()
+    assert found.where("part is null").count() == 10
+    plan = found.where("part = 1").select("id")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan
+    with pytest.raises(tables.ArchiveError):
+        tables.create_external_table(spark, "external_u", path, colour=1)
+    spark.sql("drop table external_t")
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).selectExpr("id", "id % 7 as a", "cast(id as string) as b").write.parquet(path)
+    plan = tables.scan(spark, path).where(P.to_column(P.AND(P.pred("GtEq", "a", 3), P.pred("InSet", "b", ["1", "2"])))).select("id")._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(a,3)" in plan and "In(b, [1,2])" in plan
+
+
+def test_ordinals_are_dense(spark):
+    from lodestrata.operators.ordinals import running_sum, with_ordinal
+
+    df = spark.range(0, 10_000, 1, 5).selectExpr("cast(id % 3 as string) as f", "id as o", "1L as one")
+    got = [r.n for r in with_ordinal(df, "n", "f", "o").orderBy("f", "o").collect()]
+    assert got == list(range(10_000))
+    sums = running_sum(df, "one", "at", ["o"], ["f"], F.expr("o div 100")).orderBy("f", "o").collect()
+    assert [r["at"] for r in sums if r.f == "1"] == list(range(len([1 for r in sums if r.f == "1"])))
