@@ -37,10 +37,11 @@ ORDER, DECAY, FLOOR, SHARP, LONGEST = 3, 0.6, 0.5, 6, 24
 _STRIP = re.compile(r"[\W_]+")
 #: Four or more single characters in a row, with one separator between each.
 _SPELLED = re.compile(r"(?<!\w)(?:\w[ .\-_*]){3,}\w(?!\w)")
+_SENTENCE = re.compile(r"[.!?\n]+")
 #: Words that are screened together, words of one kernel call.
 BLOCK, CALL = 40_000, 4000
 #: Words kept with their features by one worker, and what they are kept for.
-CACHE = 400_000
+CACHE = 1_000_000
 _kept: tuple[str, dict] = ("", {})
 
 
@@ -139,10 +140,10 @@ class Landmarks:
                 has[x] = is_x.any(axis=0)
                 first[x] = np.where(has[x], is_x.argmax(axis=0), len(codes)).astype(np.int8)
                 last[x] = np.where(has[x], len(codes) - 1 - is_x[::-1].argmax(axis=0), -1).astype(np.int8)
-                has[x] = has[x].astype(np.int32)
+                has[x] = has[x].astype(np.int16)
             reached: list[tuple[int, np.ndarray]] = []
             for j, letters in enumerate(self.letters):
-                index = np.zeros(len(block), np.int32)
+                index = np.zeros(len(block), np.int16)
                 for k, x in enumerate(letters[:12]):
                     index += has[x] << k
                 near = np.flatnonzero(self.reach[j][index])
@@ -221,23 +222,31 @@ def disguised(word: str, rnd: random.Random) -> str:
     return word[:k] + rnd.choice("abcdefghijklmnopqrstuvwxyz") + word[k:]
 
 
-def train(texts: list[str | None], toxic: list[int], *, most: int = 160, support: float = 0.005, cost: float = 30.0, disguise_weight: float = 0.3, rounds: int = 60) -> Model:
+def train(texts: list[str | None], toxic: list[int], *, most: int = 160, support: float = 0.005, cost: float = 30.0, disguise_weight: float = 0.3, clean_weight: float = 4.0, rounds: int = 60) -> Model:
     """Landmarks, Nyström map and squared-hinge machine from labelled texts; one class alone gives a constant below 0.5 or above.
 
-    Every toxic text also counts, at ``disguise_weight``, with a character put
-    into each of its landmark words: tolerance is learned where no clean word
-    contradicts it.
+    A toxic text stands for its sentences that have a landmark word, in equal
+    parts, so that each insult must do alone; without any it teaches nothing.
+    Clean texts weigh ``clean_weight`` times as much as toxic ones. Every such
+    sentence also counts, at ``disguise_weight``, as its insults with a character
+    put into each: tolerance is learned where no clean word contradicts it.
     """
-    words = choose_landmarks(texts, toxic, most, max(3, math.ceil(support * sum(toxic))))
+    words = choose_landmarks(texts, toxic, most, max(4, math.ceil(support * sum(toxic))))
     marks = Landmarks(words)
     if not words or len(set(toxic)) < 2:
         return Model(marks, np.zeros(2 * len(words)), 1.0 if toxic and all(toxic) else -1.0, 2.0)
-    x = document_features(marks, texts)
     rnd, known = random.Random(0), set(words)
-    hidden = [" ".join(disguised(n, rnd) for w in sorted(words_of(t)) if (n := normal(w)) in known) for t, bad in zip(texts, toxic) if bad]
-    x = np.concatenate((x, document_features(marks, hidden)))
-    y = np.concatenate((np.where(np.array(toxic, bool), 1.0, -1.0), np.ones(len(hidden))))
-    weight = np.concatenate((np.ones(len(texts)), np.full(len(hidden), disguise_weight)))
+    rows: list[tuple[str | None, float, float]] = []
+    for t, bad in zip(texts, toxic):
+        told = [(p, [n for w in sorted(words_of(p)) if (n := normal(w)) in known]) for p in _SENTENCE.split(t or "")] if bad else []
+        told = [x for x in told if x[1]]
+        if not bad:
+            rows.append((t, -1.0, 1.0))
+        for p, insults in told:
+            rows.append((p, 1.0, 1 / len(told)))
+            rows.append((" ".join(disguised(n, rnd) for n in insults), 1.0, disguise_weight / len(told)))
+    x = document_features(marks, [t for t, *_ in rows])
+    y, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     # Nyström: at either scale, features times the landmarks' kernel to the power -1/2, small eigenvalues left out
     gram, maps = document_features(marks, words), []
     for power in (1, SHARP):
@@ -249,8 +258,8 @@ def train(texts: list[str | None], toxic: list[int], *, most: int = 160, support
     whiten[: len(words), : maps[0].shape[1]] = maps[0]
     whiten[len(words) :, maps[0].shape[1] :] = maps[1]
     z = np.column_stack((x, x**SHARP)) @ whiten
-    for side in (y > 0, y < 0):
-        weight[side] *= cost / (2 * weight[side].sum())
+    for side, part in ((y > 0, 1.0), (y < 0, clean_weight)):
+        weight[side] *= part * cost / ((1 + clean_weight) * weight[side].sum())
     full = np.column_stack((z, np.ones(len(z))))
     reg = np.diag([*np.full(z.shape[1], 1e-2), 1e-6])
     # Newton steps on the squared hinge: least squares over the rows inside the margin
@@ -264,17 +273,15 @@ def train(texts: list[str | None], toxic: list[int], *, most: int = 160, support
         if moved < 1e-9:
             break
     w, b = theta[:-1], float(theta[-1])
-    margin = z[: len(texts)] @ w + b
-    y = y[: len(texts)]
-    slope = 1.0
+    margin, slope = z @ w + b, 1.0
     for _ in range(60):
         p = 1 / (1 + np.exp(-slope * margin))
-        g, h = ((p - (y > 0)) * margin).mean() + 1e-3 * slope, (p * (1 - p) * margin**2).mean() + 1e-3
+        g, h = (weight * (p - (y > 0)) * margin).sum() / weight.sum() + 1e-3 * slope, (weight * p * (1 - p) * margin**2).sum() / weight.sum() + 1e-3
         slope = float(np.clip(slope - g / h, 0.1, 20))
     return Model(marks, whiten @ w, b, slope)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 2500, test_remainder: int | None = 0, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, test_remainder: int | None = 0, **options) -> Model:
     """Train on at most ``per_class`` labelled documents of each class, picked by a hash of the id.
 
     Rows of documents whose crc32(id as text) mod 5 is ``test_remainder`` are
