@@ -39,8 +39,8 @@ from . import bytewords
 from .common import materialize
 
 GRAM = 20
-#: Text bytes whose strings leave a task together; text bytes of a bucket.
-FLUSH, BUCKET = 16_000_000, 4_000_000
+#: Text bytes whose strings leave a task together; text bytes of a bucket; window starts of a long text that are taken at once.
+FLUSH, BUCKET, SEGMENT = 16_000_000, 4_000_000, 4_000_000
 NO_ID = 2**63 - 1
 _VALUE_BITS = 40
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -208,8 +208,8 @@ def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-def _deal(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, depth: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, kind, blob) of one flush: kind 0 holds strings, kind 1 spans that are resolved already."""
+def _deal(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, bases: np.ndarray, depth: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, kind, blob) of one flush: kind 0 holds strings, kind 1 spans that are resolved already. ``bases``: where each text starts in its document."""
     part = []
     base = 0
     raws = []
@@ -217,7 +217,7 @@ def _deal(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, depth: int, buc
         s, e, v, p = strings_of(raw, starts, depth)
         t = np.searchsorted(starts, s, "right") - 1
         h = bytewords.span_hashes(raw, s, e)
-        part.append((s + base, e - s, v, t + first, s - starts[t], h, p))
+        part.append((s + base, e - s, v, t + first, s - starts[t] + bases[t + first], h, p))
         raws.append(raw)
         base += len(raw)
     if not part:
@@ -335,12 +335,11 @@ def _first_round(docs: DataFrame, depth: int, parts: int, buckets: int) -> DataF
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[bytes] = []
-        ids: list[int] = []
+        ids: list[tuple[int, int, int]] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys = np.array([xxhash.xxh64_intdigest(t, 42) & 0xFFFFFFFF for t in texts], np.int64)
-            for bucket, kind, blob in _deal(texts, np.array(ids, np.int64), keys, depth, buckets):
+            for bucket, kind, blob in _deal(texts, *np.array(ids, np.int64).T, depth, buckets):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "kind", "blob"])
 
         for b in batches:
@@ -348,10 +347,12 @@ def _first_round(docs: DataFrame, depth: int, parts: int, buckets: int) -> DataF
                 if t is None or len(t) * 4 < depth:
                     continue
                 raw = t.encode("utf-8", "surrogatepass")
-                if len(raw) >= depth:
-                    texts.append(raw)
-                    ids.append(i)
-                    held += len(raw)
+                key = xxhash.xxh64_intdigest(raw, 42) & 0xFFFFFFFF
+                # segments of a long text overlap so that each window starts in one of them
+                for at in range(0, len(raw) - depth + 1, SEGMENT):
+                    texts.append(raw[at : at + SEGMENT + depth - 1])
+                    ids.append((i, key, at))
+                    held += len(texts[-1])
                     if held >= FLUSH:
                         yield from flush()
                         texts, ids, held = [], [], 0

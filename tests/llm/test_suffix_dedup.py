@@ -53,9 +53,10 @@ def corpus(seed=8, n=150):
     return docs
 
 
-@pytest.mark.parametrize("flush", [500, 16_000_000])
-def test_removed_bytes_equal_brute_force(spark, monkeypatch, flush):
+@pytest.mark.parametrize("flush,segment", [(500, 100), (16_000_000, 4_000_000)])
+def test_removed_bytes_equal_brute_force(spark, monkeypatch, flush, segment):
     monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
     docs = corpus()
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, start int").repartition(3)
     for depth in (50, 23):
