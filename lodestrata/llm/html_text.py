@@ -132,7 +132,8 @@ def blocks(page: str | None) -> list[Block]:
             while stack and stack[-1][1] and not any(p > m.start() for p in closes.get(stack[-1][0], ())):
                 stack.pop()
             away, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        away = away or _is_away(name, m["attrs"] or "")
+        # an article's own header holds its title
+        away = away or not (article and name == "header") and _is_away(name, m["attrs"] or "")
         article = article or name == "article"
         if len(stack) < 10_000:
             stack.append((name, away, article))
