@@ -63,6 +63,24 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def slices(starts: np.ndarray, ends: np.ndarray) -> Iterator[slice]:
+    """Runs of spans that cover about STEP bytes each, so that one very long text needs no more memory than many short ones."""
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + STEP)))
+        yield slice(first, last)
+        first = last
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """:func:`span_hashes`, by slices."""
+    out = [np.empty(0, np.uint64)]
+    for part in slices(starts, ends):
+        low = starts[part][0]
+        out.append(span_hashes(raw[low : ends[part][-1]], starts[part] - low, ends[part] - low))
+    return np.concatenate(out)
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of every ``n`` consecutive word hashes."""
     k = max(0, len(words) - n + 1)

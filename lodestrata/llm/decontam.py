@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import gram_hashes, span_hashes, spans, steps
+from .bytewords import gram_hashes, span_hashes, spans, steps, word_hashes
 
 #: A word is a maximal run of these in the lower-cased text: ASCII letters and digits, and all that is not ASCII.
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -79,7 +79,7 @@ class Sketches:
             a, b = spans(raw, _INSIDE)
             if not len(a):
                 continue
-            words = span_hashes(raw, a, b)
+            words = word_hashes(raw, a, b)
             text_of = np.searchsorted(starts, a, "right") - 1
             found: dict[int, set[int]] = defaultdict(set)
             for n in self.lengths:

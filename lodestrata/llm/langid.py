@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import mix, span_hashes, spans, steps
+from .bytewords import mix, slices, span_hashes, spans, steps
 from .common import crc_mod
 
 UNKNOWN = "und"
@@ -61,11 +61,21 @@ class Words:
     rows: list[np.ndarray]
     whole: np.ndarray
 
+    @classmethod
+    def parts(cls, raw: np.ndarray, text_starts: np.ndarray) -> Iterator[Words]:
+        """The words in order, by slices of bounded size."""
+        starts, ends = spans(raw, _INSIDE)
+        for part in slices(starts, ends):
+            a, b = starts[part], ends[part]
+            low = max(0, int(a[0]) - 1)
+            own = raw[low : int(b[-1]) + 4]
+            whole = (mix(span_hashes(own, a - low, b - low)) >> np.uint64(64 - _BITS[3])).astype(np.int64)
+            yield cls(a - low, b - low, np.searchsorted(text_starts, a, "right") - 1, rows_of(own), whole)
+
     @classmethod
     def of(cls, raw: np.ndarray, text_starts: np.ndarray) -> Words:
-        a, b = spans(raw, _INSIDE)
-        whole = (mix(span_hashes(raw, a, b)) >> np.uint64(64 - _BITS[3])).astype(np.int64)
-        return cls(a, b, np.searchsorted(text_starts, a, "right") - 1, rows_of(raw), whole)
+        """All words of a short run of texts that has some."""
+        return next(cls.parts(raw, text_starts))
 
     def gram_spans(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First and last+1 places of the n-byte grams of each word, from the marker before it; at least one."""
@@ -276,17 +286,19 @@ def fit(docs: DataFrame, *, per_language: int = 400, test_remainder: int | None
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text; ``und`` and 0 where it is null or has no letter."""
-    low = [lowered(t) for t in texts]
+    # a leading space, so that a text's first word has its marker wherever the text stands
+    low = [b" " + lowered(t) for t in texts]
     k = len(model.labels)
     share = np.zeros((len(texts), max(1, k)))
     for first, raw, starts in steps(low):
-        words = Words.of(raw, starts)
-        if not len(words.starts) or not k:
+        parts = [(w.text, model.emissions(w)) for w in Words.parts(raw, starts)] if k else []
+        if not parts:
             continue
-        fresh = np.concatenate(([True], words.text[1:] != words.text[:-1]))
-        p = model.marginals(model.emissions(words), fresh)
+        text, emission = (np.concatenate(x) for x in zip(*parts))
+        fresh = np.concatenate(([True], text[1:] != text[:-1]))
+        p = model.marginals(emission, fresh)
         bounds = np.flatnonzero(fresh)
-        share[words.text[bounds] + first] = np.add.reduceat(p, bounds)
+        share[text[bounds] + first] = np.add.reduceat(p, bounds)
     total = share.sum(axis=1)
     best = share.argmax(axis=1)
     score = share[np.arange(len(texts)), best] / np.maximum(total, 1e-300)
@@ -296,12 +308,13 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 def label_words(model: Model, text: str | None) -> list[tuple[str, str]]:
     """Every word of a text, lower-cased, with its most probable language."""
-    raw = np.frombuffer(lowered(text) + b"\0", np.uint8)
-    words = Words.of(raw, np.array([0, len(raw)]))
-    if not len(words.starts) or not model.labels:
+    raw = np.frombuffer(b" " + lowered(text) + b"\0", np.uint8)
+    emission = [model.emissions(w) for w in Words.parts(raw, np.array([0, len(raw)]))] if model.labels else []
+    if not emission:
         return []
-    best = model.marginals(model.emissions(words), np.arange(len(words.starts)) == 0).argmax(axis=1)
-    return [(raw[a:b].tobytes().decode("utf-8", "replace"), model.labels[j]) for a, b, j in zip(words.starts, words.ends, best)]
+    starts, ends = spans(raw, _INSIDE)
+    best = model.marginals(np.concatenate(emission), np.arange(len(starts)) == 0).argmax(axis=1)
+    return [(raw[a:b].tobytes().decode("utf-8", "replace"), model.labels[j]) for a, b, j in zip(starts, ends, best)]
 
 
 def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -67,3 +67,13 @@ def test_span_hashes_depend_on_bytes_alone():
     a, b = bytewords.spans(raw, inside)
     h = bytewords.span_hashes(raw, a, b)
     assert h[0] == h[2] == h[5] and len(set(h.tolist())) == 4
+
+
+def test_slices_change_nothing(monkeypatch):
+    raw = np.frombuffer(("word " * 50 + "x" * 300 + " ab cd ").encode() + b"\0", np.uint8)
+    inside = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+    a, b = bytewords.spans(raw, inside)
+    want = bytewords.span_hashes(raw, a, b)
+    for step in (1, 7, 100, 10_000):
+        monkeypatch.setattr(bytewords, "STEP", step)
+        assert (bytewords.word_hashes(raw, a, b) == want).all()

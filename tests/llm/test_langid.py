@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from lodestrata.llm import langid
+from lodestrata.llm import bytewords, langid
 
 
 def brute(emission, fresh, transition, first):
@@ -64,6 +64,16 @@ def test_words_of_a_switched_text(data):
     assert sum(y == "aa" for y in labels[:12]) >= 11 and sum(y == "bb" for y in labels[12:]) >= 11
 
 
+def test_slices_change_nothing(monkeypatch, data):
+    rnd = random.Random(6)
+    texts = [make(rnd, y, 300) for y in PARTS] + ["", None, "12"]
+    want = langid.predict(data[2], texts)
+    for step in (1, 50, 700):
+        monkeypatch.setattr(bytewords, "STEP", step)
+        got = langid.predict(data[2], texts)
+        assert got[0] == want[0] and np.allclose(got[1], want[1])
+
+
 def test_long_texts_and_no_rows(spark, data):
     model = data[2]
     names, score = langid.predict(model, ["thering " * 50_000, "ung"])
