@@ -38,28 +38,24 @@ def reconstruct(records: DataFrame, *, fresh_after_tombstone: bool = False, incl
     older properties, or with ``fresh_after_tombstone`` starts from nothing, and
     then a dead object has no state at all.
     """
-    w = Window.partitionBy(*KEY).orderBy(*ORDER)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(*KEY)
-    full = F.col("kind").isin("Baseline", "Snapshot")
-    reset = full | (F.col("kind") == "Tombstone") if fresh_after_tombstone else full
-    r = (
-        _known(records)
-        .withColumn("ord", F.row_number().over(w))
-        .withColumn("epoch", F.sum(reset.cast("int")).over(upto))
-        .withColumn("n", F.count("*").over(everything))
-        .withColumn("last_epoch", F.max("epoch").over(everything))
-        .withColumn("last_kind", F.max(F.struct("ord", "kind")).over(everything)["kind"])
-        .where("epoch = last_epoch")
-    )
-    # a tombstone's own properties count only where it is all there is to start from
-    brings = (F.col("kind") != "Tombstone") | ((F.col("ord") == 1) if not fresh_after_tombstone else F.lit(False))
-    entries = F.when(brings, F.map_entries("properties"))
+    # Every step is an aggregation that combines before it moves, so an object with a
+    # third of all records is no task of its own: a property's last value belongs to
+    # the state if it is not older than the object's last reset.
+    full, dead = F.col("kind").isin("Baseline", "Snapshot"), F.col("kind") == "Tombstone"
+    r = _known(records).withColumn("at", F.struct(*ORDER))
+    heads = r.groupBy(*KEY).agg(F.count("*").alias("version"), F.max_by("kind", "at").alias("last_kind"), F.min("at").alias("first"), F.max(F.when(full | dead if fresh_after_tombstone else full, F.col("at"))).alias("start"))
+    entries = F.map_entries("properties")
     if properties is not None:
         entries = F.filter(entries, lambda x: x["key"].isin(properties))
-    heads = r.groupBy(*KEY).agg(F.max("n").alias("version"), F.max("last_kind").alias("last_kind"))
-    values = r.select(*KEY, "ord", F.explode(entries).alias("e")).groupBy(*KEY, F.col("e.key").alias("k")).agg(F.max_by(F.struct(F.col("e.value").alias("v")), "ord").alias("s"))
-    maps = values.groupBy(*KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", F.col("s.v").alias("v"))))).alias("properties"))
+    cells = r.select(*KEY, "at", dead.alias("dead"), F.explode(entries).alias("e")).select(*KEY, "at", "dead", F.col("e.key").alias("k"), F.struct(F.col("e.value").alias("v")).alias("s"))
+    live, gone = F.when(~F.col("dead"), F.col("at")), F.when(F.col("dead"), F.col("at"))
+    values = cells.groupBy(*KEY, "k").agg(F.max(live).alias("at"), F.max_by("s", live).alias("s"), F.min(gone).alias("gone_at"), F.min_by("s", gone).alias("gone"))
+    held = values.join(heads.select(*KEY, "first", "start"), KEY)
+    now = F.col("at").isNotNull() & (F.col("start").isNull() | (F.col("at") >= F.col("start")))
+    # a tombstone's own properties count only where it is all there is to start from
+    alone = F.lit(not fresh_after_tombstone) & (F.col("gone_at") == F.col("first")) & F.col("start").isNull()
+    kept = held.withColumn("s", F.when(now, F.col("s")).when(alone, F.col("gone"))).where("s is not null")
+    maps = kept.groupBy(*KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", F.col("s.v").alias("v"))))).alias("properties"))
     empty = F.create_map().cast(dict(records.dtypes)["properties"])
     out = heads.join(maps, KEY, "left").select(*KEY, F.when(F.col("last_kind") == "Tombstone", "Tombstone").otherwise("Live").alias("status"), "version", F.coalesce("properties", empty).alias("properties"))
     return out if include_tombstones else out.where("status = 'Live'")

@@ -23,8 +23,20 @@ class ArchiveError(ValueError):
         self.code = code
 
 
+_schemas: dict[tuple, T.StructType] = {}
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    """A table of a folder. Its schema is kept while the path's time and length stay, which saves a job per scan."""
+    path = f"{root}/{name}.parquet"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+    key = path, status.getModificationTime(), status.getLen()
+    if key not in _schemas:
+        if len(_schemas) > 1000:
+            _schemas.clear()
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 @dataclass(frozen=True)
