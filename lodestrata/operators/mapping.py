@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import canonical as K
@@ -194,10 +194,9 @@ def candidates(ids: DataFrame) -> DataFrame:
 
 def equivalences(ids: DataFrame) -> DataFrame:
     """(goid, anchor, member): rows of every object, the anchor being the first by class, rule, source, key and row."""
-    member = F.concat_ws(":", "source_id", F.col("row_index").cast("string"))
-    w = Window.partitionBy("goid")
-    first = F.min(F.struct("class_rank", "rule_order", "source_order", "key_tuple", "row_index", member.alias("m"))).over(w)["m"]
-    return ids.where("not candidate").select("goid", first.alias("anchor"), member.alias("member")).distinct()
+    rows = ids.where("not candidate").withColumn("member", F.concat_ws(":", "source_id", F.col("row_index").cast("string")))
+    anchors = rows.groupBy("goid").agg(F.min_by("member", F.struct("class_rank", "rule_order", "source_order", "key_tuple", "row_index", "member")).alias("anchor"))
+    return rows.select("goid", "member").distinct().join(anchors, "goid").select("goid", "anchor", "member")
 
 
 def check_do_not_merge(m: Mapping, ids: DataFrame) -> DataFrame:
@@ -241,22 +240,20 @@ def resolve(values: DataFrame) -> DataFrame:
 
     Unequal values under ``reject_conflict`` fail the job.
     """
-    some = F.col("value").isNotNull()
-    w = Window.partitionBy("goid", "property").orderBy(some.desc(), "priority", "source_order", "row_index", "assertion_id")
-    all_ = Window.partitionBy("goid", "property")
-    ranked = values.withColumn("place", F.row_number().over(w)).withColumn("winner", F.first("value").over(w))
-    low, high = F.min("value").over(all_), F.max("value").over(all_)
-    ranked = ranked.withColumn("clash", (F.col("policy") == "reject_conflict") & (low != high))
+    order = F.struct("priority", "source_order", "row_index", "assertion_id", "source_id")
+    some = F.when(F.col("value").isNotNull(), order)
+    best = values.groupBy("goid", "property").agg(F.min(some).alias("__first"), F.min_by("value", some).alias("__winner"), (F.min("value") != F.max("value")).alias("__unequal"))
+    clash = (F.col("policy") == "reject_conflict") & F.col("__unequal")
     fate = (
-        F.when(F.col("clash"), F.raise_error(F.concat(F.lit("property conflict: "), "property")).cast("string"))
-        .when(~some, "null").when(F.col("place") == 1, "won").when(F.col("value") == F.col("winner"), "equal").otherwise("suppressed")
+        F.when(clash, F.raise_error(F.concat(F.lit("property conflict: "), "property")).cast("string"))
+        .when(F.col("value").isNull(), "null").when(order == F.col("__first"), "won").when(F.col("value") == F.col("__winner"), "equal").otherwise("suppressed")
     )
-    return ranked.withColumn("fate", fate).drop("place", "winner", "clash")
+    return values.join(best, ["goid", "property"]).withColumn("fate", fate).drop("__first", "__winner", "__unequal")
 
 
 def object_states(objs: DataFrame, resolved: DataFrame) -> DataFrame:
     """(goid, object_type, properties): one merged row for each object, of the winning values."""
-    won = resolved.where("fate = 'won'").groupBy("goid").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("property", "value")))).alias("properties"))
+    won = resolved.where("fate = 'won'").groupBy("goid").agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("property", "value")))).alias("properties"))
     empty = F.create_map().cast("map<string,string>")
     return objs.select("goid", "object_type").distinct().join(won, "goid", "left").select("goid", "object_type", F.coalesce("properties", empty).alias("properties"))
 
@@ -334,7 +331,7 @@ def temporal_records(objs: DataFrame, values: DataFrame, *, timestamp_us: int =
     """Objects as temporal records, with a map of the values that their own row asserts and the record before them."""
     from .temporal import with_previous
 
-    own = values.groupBy("goid", "source_id", "row_index").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("property", "value")))).alias("properties"))
+    own = values.groupBy("goid", "source_id", "row_index").agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("property", "value")))).alias("properties"))
     empty = F.create_map().cast("map<string,string>")
     rows = objs.join(own, ["goid", "source_id", "row_index"], "left").select(
         "object_type", F.lit(branch).alias("branch_key"), "goid", F.lit(timestamp_us).cast("long").alias("timestamp_us"), F.lit(csn).cast("long").alias("csn"), F.col("source_order").cast("long").alias("segment_id"), "row_index", "record_id", F.col("record_kind").alias("kind"), F.coalesce("properties", empty).alias("properties"),
