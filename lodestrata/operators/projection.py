@@ -163,7 +163,7 @@ class Projector:
                 return F.col(lists[tree[:1] + (tree[1], tree[2], tuple(tree[3]))])
             case ("call", name, args):
                 if name in AGGREGATES and args and args[0][0] == "assoc":
-                    return self.aggregate(name, self.column(args[0], lists), bool(args[0][3]))
+                    return self.column(args[0], lists) if name == "list" else F.col(lists[(name, *args[0][1:3], tuple(args[0][3]))])
                 made = [self.column(a, lists) for a in args]
                 if name in SCALARS and len(made) == 1:
                     return SCALARS[name](made[0].cast("string"))
@@ -175,40 +175,35 @@ class Projector:
                     return F.when(made[0] if args[0][0] == "cmp" else truthy(made[0]), made[1].cast("string")).otherwise(made[2].cast("string"))
         raise ArchiveError("unsupported_expression", str(tree))
 
-    @staticmethod
-    def aggregate(name: str, values: Column, has_path: bool) -> Column:
-        some = F.filter(values, lambda x: x.isNotNull())
-        numbers = F.filter(F.transform(values, lambda x: x.try_cast("double")), lambda x: x.isNotNull())
-        total = F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
-        match name:
-            case "count":
-                return F.size(some if has_path else values).cast("long")
-            case "list":
-                return values
-            case "distinct_count":
-                return F.size(F.array_distinct(values)).cast("long")
-            case "min":
-                return F.array_min(some)
-            case "max":
-                return F.array_max(some)
-            case "sum":
-                return total
-        return F.when(F.size(numbers) > 0, total / F.size(numbers))
-
-    def values_of(self, kind: str, role: str | None, path: tuple, order_by: str | None) -> DataFrame:
-        """(goid, values): the linked objects' values for each anchor, in order."""
+    def linked(self, kind: str, role: str | None, path: tuple) -> tuple[DataFrame, Column]:
+        """Anchor and linked object of every edge, and the linked object's value."""
         if self.edges is None:
             raise ArchiveError("no_associations", kind)
         e = self.edges.where(F.col("type") == kind)
         near, far = ("target_goid", "source_goid") if role in ("target", "to") else ("source_goid", "target_goid")
         pairs = e.select(F.col(near).alias("goid"), F.col(far).alias("far"), "association_goid")
         other = self.objects.select(F.col("goid").alias("far"), F.col("properties").alias("p"))
-        value = F.col("p")[path[-1]] if path else F.col("far")
+        return pairs.join(other, "far", "left"), F.col("p")[path[-1]] if path else F.col("far")
+
+    def aggregate_of(self, name: str, kind: str, role: str | None, path: tuple, out: str) -> DataFrame:
+        """(goid, out): an aggregate over the linked values, combined before it moves; no list is made."""
+        rows, v = self.linked(kind, role, path)
+        number = v.try_cast("double")
+        made = {
+            "count": F.count(v) if path else F.count("*"),
+            "distinct_count": F.count_distinct(F.coalesce(v, F.lit("\0"))),
+            "min": F.min(v), "max": F.max(v), "sum": F.coalesce(F.sum(number), F.lit(0.0)), "avg": F.avg(number),
+        }
+        return rows.groupBy("goid").agg(made[name].alias(out))
+
+    def values_of(self, kind: str, role: str | None, path: tuple, order_by: str | None) -> DataFrame:
+        """(goid, values): the linked objects' values for each anchor, in order."""
+        rows, value = self.linked(kind, role, path)
         down = bool(order_by) and order_by.startswith("-")
         key = (order_by or "").lstrip("-")
         sort = value if key in ("value", "") else F.col("p")[key.rpartition(".")[2]]
         order = F.struct(*([sort] if key else []), F.col("association_goid"), F.col("far")).alias("o")
-        rows = pairs.join(other, "far", "left").select("goid", F.struct(order, value.alias("v")).alias("x"))
+        rows = rows.select("goid", F.struct(order, value.alias("v")).alias("x"))
         listed = F.sort_array(F.collect_list("x"), asc=not down)
         return rows.groupBy("goid").agg(F.transform(listed, lambda x: x["v"]).alias("values"))
 
@@ -236,6 +231,14 @@ class Projector:
 
             def walk(x: tuple, i=i, o=o, found=found) -> None:
                 nonlocal df
+                if x[0] == "call" and x[1] in AGGREGATES and x[1] != "list" and x[2] and x[2][0][0] == "assoc":
+                    key, name = (x[1], *x[2][0][1:3], tuple(x[2][0][3])), f"__a{i}_{len(found)}"
+                    if key not in found:
+                        found[key] = name
+                        df = df.join(self.aggregate_of(*key, name), "goid", "left")
+                        if x[1] in ("count", "distinct_count", "sum"):
+                            df = df.withColumn(name, F.coalesce(name, F.lit(0.0 if x[1] == "sum" else 0)))
+                    return
                 if x[0] == "assoc":
                     key, name = ("assoc", x[1], x[2], tuple(x[3])), f"__l{i}_{len(found)}"
                     if key not in found:
