@@ -10,11 +10,17 @@ A bucket never emits all its pairs. Its distinct fingerprints are linked
 exactly and only a spanning star of each linked class leaves it: small buckets
 compare their members, large ones meet in the middle (two fingerprints within
 2k free bits share a variant within k of both), which is linear in the bucket.
+
+Where a similarity is asked for, the classes so found are candidates only: the
+texts of a class meet in one task, which links those whose shingle sets have that
+Jaccard similarity and takes components over these links alone.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mix
-from .common import materialize
+from .common import OWN, materialize
 from .graph import components
 
 BITS = 64
@@ -210,6 +216,15 @@ def link(prints: DataFrame, radius: int = 4, count: int = 1) -> DataFrame:
     return dealt.mapInArrow(lambda it: _bucket_edges(it, ms, radius), "a long, b long").distinct()
 
 
+def _classes(own: DataFrame, id: str, radius: int, count: int) -> DataFrame:
+    """(fingerprint, low, label) of every fingerprint: its smallest id, and one label for all that are linked to it."""
+    distinct = materialize(own.groupBy("fingerprint").agg(F.min(id).alias("low")), "simhash-distinct")
+    prints = own.select("fingerprint", "more").distinct() if count > 1 else distinct
+    label = components(link(prints, radius, count))
+    named = distinct.join(label.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "low", F.coalesce("label", "fingerprint").alias("label"))
+    return materialize(named, "simhash-classes")
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", *, width: int = 4, radius: int = 4, seed: int = 42, count: int = 1) -> DataFrame:
     """(id, fingerprint, component_id) for every row; ``component_id`` is the smallest id reachable over links.
 
@@ -220,16 +235,120 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", *,
     with a null id stay and count for no smallest id; repeated rows stay.
     """
     own = materialize(with_fingerprint(docs.select(id, text), text, width, seed, count), "simhash")
-    distinct = materialize(own.groupBy("fingerprint").agg(F.min(id).alias("low")), "simhash-distinct")
-    prints = own.select("fingerprint", "more").distinct() if count > 1 else distinct
-    label = components(link(prints, radius, count))
-    named = distinct.join(label.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "low", F.coalesce("label", "fingerprint").alias("label"))
-    named = materialize(named, "simhash-classes")
+    named = _classes(own, id, radius, count)
     lowest = materialize(named.groupBy("label").agg(F.min("low").alias("component_id")), "simhash-lowest")
     classes = materialize(named.join(lowest, "label").select("fingerprint", "component_id"), "simhash-components")
     return own.select(id, "fingerprint").join(classes, "fingerprint").select(id, "fingerprint", "component_id")
 
 
+def shingle_hashes(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct XXH64 of ``width``-word shingles, sorted; fewer words are one shingle, none are none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - width + 1) if words else 0
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + width]), seed) for i in range(n)], np.uint64))
+
+
+def similar_classes(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """The smallest index of each one's class, for links between sets of at least this Jaccard similarity; empty sets are equal.
+
+    Two such sets share one of the n - ceil(similarity n) + 1 rarest members of
+    each, so no link is missed; sets already in one class are not compared.
+    """
+    root = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def unite(x: int, y: int) -> None:
+        low, high = sorted((find(x), find(y)))
+        root[high] = low
+
+    sizes = np.array([len(x) for x in sets])
+    one, of, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(one), np.int64)
+    place[np.argsort(times, kind="stable")] = np.arange(len(one))
+    members = [np.sort(x) for x in np.split(place[of], np.cumsum(sizes)[:-1])]
+    mine = np.zeros(len(one), bool)
+    holders: dict[int, list[int]] = defaultdict(list)
+    empty = None
+    for i, (x, n) in enumerate(zip(members, sizes.tolist())):
+        if not n:
+            empty = i if empty is None else empty
+            unite(empty, i)
+            continue
+        rare = x[: n - math.ceil(similarity * n - 1e-9) + 1].tolist()
+        met = set().union(*(holders[r] for r in rare if r in holders))
+        for r in rare:
+            holders[r].append(i)
+        apart: dict[int, list[int]] = defaultdict(list)
+        for j in met:
+            if min(n, sizes[j]) >= similarity * max(n, sizes[j]) - 1e-9:
+                apart[find(j)].append(j)
+        mine[x] = True
+        step = 1
+        while apart:
+            # a few of each class at a time: the first that is near spares the rest of its class
+            tried = [j for js in apart.values() for j in js[:step]]
+            for k in range(0, len(tried), 256):
+                some = tried[k : k + 256]
+                size = sizes[some]
+                shared = np.add.reduceat(mine[np.concatenate([members[j] for j in some])].astype(np.int64), np.cumsum(size) - size)
+                for j in np.flatnonzero(shared >= similarity * (n + size - shared) - 1e-9).tolist():
+                    unite(i, some[j])
+            apart = {r: js[step:] for r, js in apart.items() if len(js) > step and find(r) != find(i)}
+            step *= 4
+        mine[x] = False
+    return [find(i) for i in range(len(sets))]
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch], similarity: float, width: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Digests of the texts that are not the first of their class, in rows (label, digest, text) sorted by label and rank."""
+
+    def others(digests: list[bytes], sets: list[np.ndarray]) -> list[bytes]:
+        return [d for i, (d, r) in enumerate(zip(digests, similar_classes(sets, similarity))) if i != r] if len(sets) > 1 else []
+
+    now, digests, sets = None, [], []
+    for b in batches:
+        gone: list[bytes] = []
+        for label, digest, text in zip(*(c.to_pylist() for c in b.columns)):
+            if label != now:
+                gone += others(digests, sets)
+                now, digests, sets = label, [], []
+            if not digests or digest != digests[-1]:
+                digests.append(digest)
+                sets.append(shingle_hashes(text, width, seed))
+        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.binary())], ["digest"])
+    yield pa.RecordBatch.from_arrays([pa.array(others(digests, sets), pa.binary())], ["digest"])
+
+
+def one_similar_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", *, similarity: float = 0.8, shingle: int = 5, width: int = 4, radius: int = 4, seed: int = 42, count: int = 1) -> DataFrame:
+    """The first row, by id, of each class of texts that are linked by a Jaccard similarity of ``shingle``-word shingles.
+
+    Candidates come from the fingerprints, as in ``near_duplicates``; each link is
+    confirmed on the texts' own shingle sets (by 64-bit hashes), so rows that only
+    look alike by their fingerprints all stay. Rows are told apart by id and text:
+    rows that share an id and differ in text are different; equal rows become one.
+    A null id cannot stand for a class: such rows all stay.
+    """
+    mark = f"{OWN}digest"
+    known = docs.where(F.col(id).isNotNull())
+    marked = known.withColumn(mark, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    own = materialize(with_fingerprint(marked.select(id, mark, text), text, width, seed, count), "simhash")
+    named = _classes(own, id, radius, count).select("fingerprint", "label")
+    texts = materialize(own.groupBy(mark, "fingerprint").agg(F.min(id).alias("low")).join(named, "fingerprint").select(mark, "low", "label"), "simhash-texts")
+    several = texts.groupBy("label").count().where("count > 1").select("label")
+    asked = materialize(texts.join(several, "label").select("label", mark, F.col("low").alias(id)), "simhash-candidates")
+    met = marked.select(id, mark, text).join(asked, [id, mark]).repartition("label").sortWithinPartitions("label", id, mark).select("label", mark, text)
+    gone = materialize(met.mapInArrow(lambda it: _confirmed(it, similarity, shingle, seed), "digest binary").withColumnRenamed("digest", mark), "simhash-confirmed")
+    keep = materialize(texts.join(gone, mark, "left_anti").select(F.col("low").alias(id), mark), "simhash-kept")
+    one = marked.join(keep, [id, mark], "left_semi").dropDuplicates([id, mark]).select(*docs.columns)
+    return one.union(docs.where(F.col(id).isNull()))
+
+
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their class, once each.
 
