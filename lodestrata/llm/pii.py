@@ -8,6 +8,8 @@ of gaps and matches; offsets count code points, ends are exclusive.
 The patterns are the contract's, written with possessive quantifiers and, where
 a run of characters can only match from its start, with a look-behind: the
 matches are the same, but a long run costs linear time and constant stack.
+Where an IBAN ends cannot be told by its characters: its pattern finds the start,
+and of all ends that the contract's pattern allows, the checksum tells which hold.
 """
 
 from __future__ import annotations
@@ -23,7 +25,11 @@ from .common import OWN, pinned
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern, the check of a match (from its SQL to SQL), a string that any match has, and what its score is made of."""
+    """A pattern, the check of a match (from its SQL to SQL), a string that any match has, and what its score is made of.
+
+    With ``ends``, the pattern matches the start only; its group 1 is the longest run of characters that may
+    belong to the match, its group 2 what cuts that run's last word. ``ends`` (from their SQL to SQL) gives the match, or null.
+    """
 
     name: str
     pattern: str
@@ -32,6 +38,7 @@ class Kind:
     prior: float
     checksum: float
     near: str
+    ends: Callable[[str, str], str] | None = None
 
 
 def _digits(m: str) -> str:
@@ -64,13 +71,34 @@ def _mod97(m: str) -> str:
     )
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def _iban(run: str, cut: str) -> str:
+    """Of the parts of the run that end where a word does and pass, the one of its country's length, else the longest."""
+    size = "length(replace(p, ' ', ''))"
+    known = "map(" + ", ".join(f"'{c}', {n}" for c, n in IBAN_LENGTHS.items()) + ")"
+    parts = f"transform(filter(sequence(15, length({run})), e -> if(e = length({run}), {cut} = '', substring({run}, e + 1, 1) = ' ')), e -> substring({run}, 1, e))"
+    passed = f"filter({parts}, p -> {size} between 15 and 34 and {_mod97('p')})"
+    return f"array_max(transform({passed}, p -> named_struct('own', coalesce({size} = {known}[left(p, 2)], false), 'n', length(p), 'm', p))).m"
+
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", None, "@", 0.9, 0, "mail|contact|write|kontakt|correo|courriel"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _ip_parts, ".", 0.6, 0, "ip|host|server|addr|client|adresse|servidor"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", _luhn, "", 0.6, 0.2, "card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone_digits, "+", 0.6, 0, "tel|phone|call|fax|mobile|anruf|appel|llama"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", _mod97, "", 0.4, 0.4, "iban|account|bank|konto|compte|cuenta"),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+)([A-Za-z0-9]?))[A-Z]{2}[0-9]{2}", None, "", 0.4, 0.4, "iban|account|bank|konto|compte|cuenta", _iban),
 )
 
 
@@ -103,13 +131,22 @@ def with_spans(docs: DataFrame, text: str = "text", out: str = "pii", *, context
                 f"'all', array_append(a.all, named_struct('start', a.at + length(get({g}, size(a.all))), 'rank', {rank}, 'end', a.at + length(get({g}, size(a.all))) + length(m), 'm', m, 'before', right(get({g}, size(a.all)), {context})))), a -> a.all)"
             ),
         )
+        if k.ends:
+            runs, cuts = f"{OWN}r{rank}", f"{OWN}c{rank}"
+            for name, group in ((runs, 1), (cuts, 2)):
+                df = df.withColumn(name, F.expr(f"if(size({m}) > 0, regexp_extract_all({t}, {re}, {group}), array())"))
+            found = f"transform({s}, (x, i) -> named_struct('start', x.start, 'rank', {rank}, 'm', {k.ends(f'get({runs}, i)', f'get({cuts}, i)')}))"
+            df = df.withColumn(s, F.expr(f"if(size({m}) > 0, filter({found}, x -> x.m is not null), array())"))
+            # what begins inside a match is part of it
+            apart = f"aggregate({s}, cast(array() as array<struct<start:int,rank:int,m:string>>), (a, x) -> if(size(a) > 0 and x.start < element_at(a, -1).start + length(element_at(a, -1).m), a, array_append(a, x)))"
+            df = df.withColumn(s, F.expr(f"transform({apart}, x -> named_struct('start', x.start, 'rank', x.rank, 'end', x.start + length(x.m), 'm', x.m, 'before', right(substring({t}, 1, x.start), {context})))"))
         check = k.check("x.m") if k.check else "true"
         score = f"least(1D, {k.prior + k.checksum}D + if(lower(x.before) rlike '{k.near}', {context_bonus}D, 0D))"
         keep = "true" if k.name in BASE else f"{score} >= {min_score}D"
         df = df.withColumn(s, F.expr(f"transform(filter({s}, x -> {check} and {keep}), x -> named_struct('start', x.start, 'rank', x.rank, 'kind', '{k.name}', 'end', x.end, 'score', {score}))"))
         parts.append(s)
     joined = df.withColumn(out, F.expr(f"transform(sort_array(concat({', '.join(parts)})), x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end, 'score', x.score))"))
-    return pinned(joined, out).drop(t, *(f"{OWN}{a}{i}" for i in range(len(KINDS)) for a in "mgs"))
+    return pinned(joined, out).drop(t, *(f"{OWN}{a}{i}" for i in range(len(KINDS)) for a in "mgsrc"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
