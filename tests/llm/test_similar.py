@@ -60,3 +60,12 @@ def test_stage_keeps_what_is_below_the_similarity(spark):
     # no document goes without a near one; nearly all near ones are found
     assert set(want) <= kept
     assert len(kept - set(want)) <= 0.03 * len(texts)
+
+
+def test_rows_that_share_an_id_are_told_apart_by_text(spark):
+    rnd = random.Random(8)
+    first, other, alone = (" ".join(f"w{rnd.randrange(4000)}" for _ in range(120)) for _ in range(3))
+    rows = [(1, first), (2, first + " more"), (2, other), (2, other), (3, alone), (3, first), (None, first)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(1, first), (2, other), (3, alone), (None, first)], key=str)
