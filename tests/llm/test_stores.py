@@ -164,6 +164,48 @@ def test_every_window_holds_its_share(spark):
         assert all(abs(sent[x] - share[x] * at) <= 2000 + 60 for x in "abc")
 
 
+def test_windows_keep_a_given_mixture(spark):
+    """Every prefix of the stream, and so every window, is off a source's target by one window and one document at most."""
+    counts = [(i, "abc"[i % 3], 5 + i * 11 % 60) for i in range(9000)]
+    mixture = {"a": 0.2, "b": 0.3, "c": 0.5}
+    out = packing.schedule(spark.createDataFrame(counts, "uid long, source string, n long"), window=1024, mixture=mixture).collect()
+    place = {r.uid: r.g for r in out}
+    left = {s: sum(n for _, x, n in counts if x == s) for s in mixture}
+    sent, at, worst = dict.fromkeys(mixture, 0), 0, 0
+    for uid, s, n in sorted(counts, key=lambda x: place[x[0]]):
+        assert place[uid] == at
+        sent[s] += n
+        at += n
+        if all(sent[x] < left[x] for x in mixture):
+            worst = max(worst, *(abs(sent[x] - mixture[x] * at) for x in mixture))
+    assert worst <= 1024 + 64
+    assert at == sum(left.values())
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    slow, rnd = Tokenizer.from_file(path), random.Random(6)
+    letters = ["the", "I'm", "e\u0301t\u00e9", "x\u3000y", "12 3", "<|endoftext|>", " ", "  two", "\n", "\t a", "!?", "\u65e5\u672c", "a b c"]
+    monkeypatch.setattr(packing, "PIECE", 40)
+    for _ in range(60):
+        text = rnd.choice(["", " "]).join(rnd.choice(letters) for _ in range(rnd.randint(0, 300)))
+        assert "".join(packing.pieces(text)) == text
+        assert packing.encoder(path)(text).tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_batches_are_taken_in_steps(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "STEP", 100)
+    texts = [None, "", "a" * 250, *("b" * (i % 40) for i in range(100)), None, "c" * 90]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["x", *texts]).slice(1)):
+        runs = list(packing.by_size(column))
+        assert [i for a, b in runs for i in range(a, b)] == list(range(len(texts)))
+        assert all(b - a == 1 or sum(len(t or "") for t in texts[a:b]) <= 100 for a, b in runs)
+
+
 def test_packing_nothing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
