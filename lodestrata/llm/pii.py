@@ -3,7 +3,9 @@
 Everything is SQL expressions on one row: no Python, no shuffle. A pattern's
 matches and the gaps between them come from two passes of the same expression
 (extract all and split), so the offset of a match is a running sum of lengths
-of gaps and matches; offsets count code points, ends are exclusive.
+of gaps and matches; offsets count code points, ends are exclusive. Running sums
+are made by doubling steps over whole arrays, and texts are cut by blocks, so
+that a text with a million matches costs its length times a logarithm.
 
 The patterns are the contract's, written with possessive quantifiers and, where
 a run of characters can only match from its start, with a look-behind: the
@@ -96,7 +98,8 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", None, "@", 0.9, 0, "mail|contact|write|kontakt|correo|courriel"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _ip_parts, ".", 0.6, 0, "ip|host|server|addr|client|adresse|servidor"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", _luhn, "", 0.6, 0.2, "card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta"),
+    # runs of fewer than 12 digits fail the check in any case
+    Kind("card", r"[0-9](?:[\x20-]?[0-9]){11,}+", _luhn, "", 0.6, 0.2, "card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone_digits, "+", 0.6, 0, "tel|phone|call|fax|mobile|anruf|appel|llama"),
     Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+)([A-Za-z0-9]?))[A-Z]{2}[0-9]{2}", None, "", 0.4, 0.4, "iban|account|bank|konto|compte|cuenta", _iban),
 )
@@ -106,69 +109,104 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _running(array: str, joined: Callable[[str, str], str]) -> str:
+    """SQL for the running total of an array column under an associative operation: after step k, totals reach 2^(k+1) back."""
+    back = "shiftleft(1, k)"
+    return (
+        f"aggregate(sequence(0, cast(ceil(log2(greatest(size({array}), 1))) as int)), {array}, "
+        f"(a, k) -> transform(a, (x, i) -> if(i >= {back}, {joined('x', f'get(a, i - {back})')}, x)))"
+    )
+
+
+#: Matches of one short list, which is copied whenever one is added.
+_SHORT = 256
+
+
+def _apart(spans: str) -> str:
+    """SQL: of spans by start, those that do not begin inside the one kept before; kept ones gather in short lists."""
+    item = "array<struct<start:int,rank:int,m:string,before:string>>"
+    add = "array_append(a.now, x)"
+    return (
+        f"aggregate({spans}, named_struct('end', -1, 'now', cast(array() as {item}), 'done', cast(array() as array<{item}>)), (a, x) -> if(x.start < a.end, a, "
+        f"if(size(a.now) < {_SHORT}, named_struct('end', x.start + length(x.m), 'now', {add}, 'done', a.done), "
+        "named_struct('end', x.start + length(x.m), 'now', array(x), 'done', array_append(a.done, a.now)))), a -> flatten(array_append(a.done, a.now)))"
+    )
+
+
 def with_spans(docs: DataFrame, text: str = "text", out: str = "pii", *, context: int = 40, context_bonus: float = 0.2, min_score: float = 0.5) -> DataFrame:
     """Add ``out``: array of structs (start, kind, end, score), by start, then by the order of :data:`KINDS`.
 
-    A null text has no spans. The score is the kind's prior, plus a bonus for
-    a passed checksum and one for a context word among the ``context``
-    characters before the match. Spans of the four base kinds always stay;
-    spans of added kinds stay from ``min_score`` on.
+    A null or empty text has no spans, spans of different kinds may overlap, and
+    repeated rows have the same spans. A column of the table that is named like
+    ``out`` is replaced, all others stay. The score is the kind's prior, plus a
+    bonus for a passed checksum and one for a context word among the last
+    ``context`` characters between the pattern's match before and this one.
+    Spans of the four base kinds always stay; spans of added kinds stay from
+    ``min_score`` on. A row's text, its matches and the gaps between them are
+    held at once.
     """
     t = f"{OWN}t"
     df = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
     parts = []
     for rank, k in enumerate(KINDS):
-        m, g, s = f"{OWN}m{rank}", f"{OWN}g{rank}", f"{OWN}s{rank}"
+        m, g, e, s = (f"{OWN}{a}{rank}" for a in "mges")
         re = _quoted(k.pattern)
         df = df.withColumn(m, F.expr(f"if(contains({t}, '{k.has}'), regexp_extract_all({t}, {re}, 0), array())"))
         df = df.withColumn(g, F.expr(f"if(size({m}) > 0, split({t}, {re}, -1), array())"))
         # running end of each match: lengths of the gaps and matches so far
-        df = df.withColumn(
-            s,
-            F.expr(
-                f"aggregate({m}, named_struct('at', 0, 'all', cast(array() as array<struct<start:int,rank:int,end:int,m:string,before:string>>)), (a, m) -> named_struct("
-                f"'at', a.at + length(get({g}, size(a.all))) + length(m), "
-                f"'all', array_append(a.all, named_struct('start', a.at + length(get({g}, size(a.all))), 'rank', {rank}, 'end', a.at + length(get({g}, size(a.all))) + length(m), 'm', m, 'before', right(get({g}, size(a.all)), {context})))), a -> a.all)"
-            ),
-        )
+        df = df.withColumn(e, F.expr(f"transform({m}, (x, i) -> length(get({g}, i)) + length(x))"))
+        df = df.withColumn(e, F.expr(_running(e, lambda x, y: f"{x} + {y}")))
+        start, before = f"get({e}, i) - length(x)", f"right(get({g}, i), {context})"
         if k.ends:
             runs, cuts = f"{OWN}r{rank}", f"{OWN}c{rank}"
             for name, group in ((runs, 1), (cuts, 2)):
                 df = df.withColumn(name, F.expr(f"if(size({m}) > 0, regexp_extract_all({t}, {re}, {group}), array())"))
-            found = f"transform({s}, (x, i) -> named_struct('start', x.start, 'rank', {rank}, 'm', {k.ends(f'get({runs}, i)', f'get({cuts}, i)')}))"
-            df = df.withColumn(s, F.expr(f"if(size({m}) > 0, filter({found}, x -> x.m is not null), array())"))
+            df = df.withColumn(s, F.expr(f"filter(transform({m}, (x, i) -> named_struct('start', {start}, 'rank', {rank}, 'm', {k.ends(f'get({runs}, i)', f'get({cuts}, i)')}, 'before', {before})), x -> x.m is not null)"))
             # what begins inside a match is part of it
-            apart = f"aggregate({s}, cast(array() as array<struct<start:int,rank:int,m:string>>), (a, x) -> if(size(a) > 0 and x.start < element_at(a, -1).start + length(element_at(a, -1).m), a, array_append(a, x)))"
-            df = df.withColumn(s, F.expr(f"transform({apart}, x -> named_struct('start', x.start, 'rank', x.rank, 'end', x.start + length(x.m), 'm', x.m, 'before', right(substring({t}, 1, x.start), {context})))"))
+            df = df.withColumn(s, F.expr(f"transform({_apart(s)}, x -> named_struct('start', x.start, 'rank', x.rank, 'end', x.start + length(x.m), 'm', x.m, 'before', x.before))"))
+        else:
+            df = df.withColumn(s, F.expr(f"transform({m}, (x, i) -> named_struct('start', {start}, 'rank', {rank}, 'end', get({e}, i), 'm', x, 'before', {before}))"))
         check = k.check("x.m") if k.check else "true"
         score = f"least(1D, {k.prior + k.checksum}D + if(lower(x.before) rlike '{k.near}', {context_bonus}D, 0D))"
         keep = "true" if k.name in BASE else f"{score} >= {min_score}D"
         df = df.withColumn(s, F.expr(f"transform(filter({s}, x -> {check} and {keep}), x -> named_struct('start', x.start, 'rank', x.rank, 'kind', '{k.name}', 'end', x.end, 'score', {score}))"))
         parts.append(s)
     joined = df.withColumn(out, F.expr(f"transform(sort_array(concat({', '.join(parts)})), x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end, 'score', x.score))"))
-    return pinned(joined, out).drop(t, *(f"{OWN}{a}{i}" for i in range(len(KINDS)) for a in "mgsrc"))
+    return pinned(joined, out).drop(t, *(f"{OWN}{a}{i}" for i in range(len(KINDS)) for a in "mgersc"))
+
+
+#: Characters of a block of a text that is cut at many places.
+_BLOCK = 4096
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replace every span by its kind in brackets; overlapping spans become one, named by the first.
 
-    A null text stays null. Only ``text`` (and ``n_chars`` where the table has
+    A null text stays null, repeated rows stay. Only ``text`` (and ``n_chars`` where the table has
     it) changes; all other columns and rows stay.
     """
-    spans, cut = f"{OWN}sp", f"{OWN}cut"
+    spans, reach, first, cut, blocks = (f"{OWN}{x}" for x in ("sp", "reach", "first", "cut", "blocks"))
     df = with_spans(docs, text, spans)
-    # runs of overlapping spans, each with the kind of its first span
-    df = df.withColumn(
-        cut,
-        F.expr(
-            f"aggregate({spans}, cast(array() as array<struct<start:int,kind:string,end:int>>), (a, x) -> "
-            "if(size(a) > 0 and x.start < element_at(a, -1).end, "
-            "array_append(slice(a, 1, size(a) - 1), named_struct('start', element_at(a, -1).start, 'kind', element_at(a, -1).kind, 'end', greatest(element_at(a, -1).end, x.end))), "
-            "array_append(a, named_struct('start', x.start, 'kind', x.kind, 'end', x.end))))"
-        ),
-    )
-    pieces = f"transform({cut}, (x, i) -> concat(substring(`{text}`, 1 + coalesce(get({cut}, i - 1).end, 0), x.start - coalesce(get({cut}, i - 1).end, 0)), '[', upper(x.kind), ']'))"
-    df = df.withColumn(text, F.expr(f"if(size({cut}) = 0, `{text}`, concat(array_join({pieces}, ''), substring(`{text}`, 1 + element_at({cut}, -1).end)))"))
+    # runs of overlapping spans, each with the kind of its first span: a run begins where all spans before have ended
+    df = df.withColumn(reach, F.expr(f"transform({spans}, x -> x.end)"))
+    df = df.withColumn(reach, F.expr(_running(reach, lambda x, y: f"greatest({x}, {y})")))
+    df = df.withColumn(first, F.expr(f"filter(transform({spans}, (x, i) -> if(i = 0 or x.start >= get({reach}, i - 1), i, -1)), i -> i >= 0)"))
+    df = df.withColumn(cut, F.expr(f"transform({first}, (i, k) -> named_struct('start', get({spans}, i).start, 'kind', get({spans}, i).kind, 'end', get({reach}, coalesce(get({first}, k + 1), size({spans})) - 1)))"))
+    df = df.withColumn(blocks, F.expr(f"if(size({cut}) = 0, array(), regexp_extract_all(`{text}`, '(?s).{{1,{_BLOCK}}}', 0))"))
+
+    def piece(a: str, b: str) -> str:
+        """Characters a to b of the text, out of the blocks that hold them."""
+        low, high = f"({a}) div {_BLOCK}", f"({b}) div {_BLOCK}"
+        tail = f"substring(get({blocks}, cast({low} as int)), 1 + ({a}) % {_BLOCK}, {_BLOCK})"
+        head = f"substring(coalesce(get({blocks}, cast({high} as int)), ''), 1, ({b}) % {_BLOCK})"
+        inner = f"substring(get({blocks}, cast({low} as int)), 1 + ({a}) % {_BLOCK}, ({b}) - ({a}))"
+        between = f"array_join(slice({blocks}, cast({low} as int) + 2, cast({high} - {low} - 1 as int)), '')"
+        return f"if({a} >= {b}, '', if({low} = {high}, {inner}, concat({tail}, {between}, {head})))"
+
+    start = f"coalesce(get({cut}, i - 1).end, 0)"
+    pieces = f"transform({cut}, (x, i) -> concat({piece(start, 'x.start')}, '[', upper(x.kind), ']'))"
+    rest = f"substring(`{text}`, 1 + element_at({cut}, -1).end)"
+    df = df.withColumn(text, F.expr(f"if(size({cut}) = 0, `{text}`, concat(array_join({pieces}, ''), {rest}))"))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.expr(f"if(size({cut}) = 0, n_chars, cast(length(`{text}`) as bigint))"))
-    return df.drop(spans, cut)
+    return df.drop(spans, reach, first, cut, blocks)
