@@ -1,28 +1,31 @@
-"""Main text of web pages, by element roles and by nearest-URL page differencing.
-
-Pages are ordered by host and URL path over the cluster (a range partitioning,
-so that one large host is many partitions). Each page is parsed into text
-blocks, each knowing whether it lies in a navigation, header, footer, sidebar,
-notice, advert, form or comment element, and whether in an article. It is then
-compared with its nearest page: of its two neighbours in URL order on the same
-host, the one with the longer common path. Their blocks are aligned by longest
-common subsequence, and blocks that both have are the site's template: they go.
-
-Blocks inside an article element stay even if a neighbour has them: articles
-quote, share passages and come in copies, and differencing alone cannot tell
-these from a template. For the same reason a page that shares most of its text
-with its neighbour is a copy of it, and loses nothing.
+"""Main text of web pages, by nearest-URL page differencing and by element roles.
+
+Each page is parsed into text blocks; blocks in navigation, header, footer,
+sidebar, notice, advert, form or comment elements go by their role. Pages are
+ordered by host and URL path over the cluster (by ranges of keys, so that one
+large host is many partitions; the pages at the edge of a range also go to its
+neighbour). Each page is compared with the pages next to it on its host: their
+blocks are aligned by longest common subsequence.
+
+What a page shares with the nearest page goes, as the site's template. Two
+things are told apart from it. Pages that share most of what is left of them are
+copies, and lose nothing by that. And a line inside an article element goes only
+if the pages on both sides have it, and only while less than half of the article
+goes this way: articles quote and share passages, so one witness does not do.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from bisect import bisect_left
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,8 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*+>",
     re.S | re.I,
 )
+#: A comment or an element of raw text that is never closed hides what follows.
+_HIDES, _ENDED = re.compile("<!--|<[a-zA-Z]"), re.compile(r"(?:-->|</[a-zA-Z]+\s*>)\Z")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never part of an article's text.
@@ -48,8 +53,17 @@ _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"
 _PART = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
-#: Of two pages that share at least this part of their text, one is a copy of the other.
+#: Elements that a start tag ends if they are open, and what they are not looked for beyond.
+_ENDS = {
+    "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select datalist"),
+    "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
+    **dict.fromkeys("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split(), ("p", "td th table caption button template")),
+}
+_ENDS = {k: (tuple(a.split()), tuple(b.split())) for k, (a, b) in _ENDS.items()}
+#: Pages that share at least this part of what they have beside the template are copies.
 COPY_SHARE = 0.5
+#: A page that the template covers to this part is a copy too.
+WHOLE_SHARE = 0.9
 
 
 @dataclass(frozen=True)
@@ -78,16 +92,39 @@ def _is_away(name: str, attrs: str) -> bool:
     return False
 
 
+class _Open:
+    """The open elements. Where an element of a name lies is known without a search, at any depth."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost open element of these names, or -1."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def push(self, name: str, away: bool, article: bool) -> None:
+        self.at[name].append(len(self.stack))
+        self.stack.append((name, away, article))
+
+    def cut(self, place: int) -> tuple[bool, bool]:
+        """Close what is open from ``place`` on; what holds then (away, article)."""
+        while len(self.stack) > place:
+            self.at[self.stack.pop()[0]].pop()
+        return self.stack[-1][1:] if self.stack else (False, False)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a page in order; a null page has none.
 
-    Unclosed elements end where an element around them ends; an article or main
-    element also ends any unclosed marked element before it that is not around
-    it by its own end tag.
+    List items, table cells, options and paragraphs end where HTML says that they
+    do, other unclosed elements where an element around them ends; an article or
+    main element also ends any unclosed marked element before it that is not
+    around it by its own end tag. Elements may lie as deep as they like.
     """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    open_ = _Open()
     away = article = False
     parts: list[str] = []
 
@@ -99,13 +136,22 @@ def blocks(page: str | None) -> list[Block]:
                 out.append(Block(text, away, article))
 
     at = 0
-    closes = None
-    for m in _TOKEN.finditer(page):
+    hidden = False
+    closes: dict[str, int] = {}
+
+    def closed_after(name: str, place: int) -> bool:
+        if name not in closes:
+            closes[name] = max((x.start() for x in re.finditer(rf"</{name}\s*>", page, re.I)), default=-1)
+        return closes[name] > place
+
+    # no tag begins after the last one's end
+    for m in _TOKEN.finditer(page, 0, page.rfind(">") + 1):
         if m.start() > at:
             parts.append(page[at : m.start()])
         at = m.end()
         name = m["name"]
         if name is None:
+            hidden = _HIDES.match(m.group()) is not None and not _ENDED.search(m.group())
             if m["raw"] and m["raw"].lower() in ("title", "textarea", "select", "iframe"):
                 flush()
             continue
@@ -113,78 +159,98 @@ def blocks(page: str | None) -> list[Block]:
         if m["end"]:
             if name not in _INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    away, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                    break
-                if stack[i][0] in ("article", "main", "body") and name in _INLINE | {"p"}:
-                    break
+            place = open_.last(name)
+            if place >= 0 and not (name in _INLINE or name == "p") or place > open_.last("article", "main", "body"):
+                away, article = open_.cut(place)
             continue
         if name not in _INLINE:
             flush()
+        if name in _ENDS:
+            ended, beyond = _ENDS[name]
+            place = min((x for x in (open_.last(n) for n in ended) if x > open_.last(*beyond)), default=-1)
+            if place >= 0:
+                away, article = open_.cut(place)
         if name in _VOID:
             continue
         if name in ("article", "main") and away:
             # an advert or menu that was never closed does not swallow the article
-            if closes is None:
-                closes = {n: [x.start() for x in re.finditer(rf"</{n}\s*>", page, re.I)] for n in {s[0] for s in stack}}
-            while stack and stack[-1][1] and not any(p > m.start() for p in closes.get(stack[-1][0], ())):
-                stack.pop()
-            away, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            while open_.stack and open_.stack[-1][1] and not closed_after(open_.stack[-1][0], m.start()):
+                away, article = open_.cut(len(open_.stack) - 1)
         # an article's own header holds its title
         away = away or not (article and name == "header") and _is_away(name, m["attrs"] or "")
         article = article or name == "article"
-        if len(stack) < 10_000:
-            stack.append((name, away, article))
-    if at < len(page):
-        parts.append(page[at:])
+        open_.push(name, away, article)
+    if not hidden:
+        parts.append(page[at:].partition("<!--")[0])
     flush()
     return out
 
 
 def common_subsequence(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence, by longest increasing runs of matches."""
+    """Index pairs of a longest common subsequence.
+
+    Lines that both ends share, and lines that only one side has, are set aside.
+    For the rest, row i of the table of lengths is one integer with a bit for
+    each line of b, so that a row costs a few operations on long integers
+    (repeated lines cost no more than others). Rows are kept at intervals and
+    made again for the way back, so that memory grows with the root of the table.
+    """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    places: dict[str, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        places.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    links: list[tuple] = []
-    for i in range(head, len(a) - tail):
-        for j in places.get(a[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, j, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            else:
-                ends[k] = j
-                links[k] = link
+    both = set(a[head : len(a) - tail]) & set(b[head : len(b) - tail])
+    rows = [i for i in range(head, len(a) - tail) if a[i] in both]
+    cols = [j for j in range(head, len(b) - tail) if b[j] in both]
+    places: dict[str, list[int]] = defaultdict(list)
+    for k, j in enumerate(cols):
+        places[b[j]].append(k)
+    every = (1 << len(cols)) - 1
+    masks: dict[str, int] = {}
+
+    def mask(line: str) -> int:
+        if line in masks:
+            return masks[line]
+        raw = bytearray(len(cols) // 8 + 1)
+        for k in places[line]:
+            raw[k >> 3] |= 1 << (k & 7)
+        made = int.from_bytes(raw, "little")
+        if len(places[line]) * 1000 >= len(cols):  # a thousand lines at most are this common
+            masks[line] = made
+        return made
+
+    def step(v: int, i: int) -> int:
+        u = v & mask(a[rows[i]])
+        return ((v + u) | (v - u)) & every
+
+    every_rows = max(256, math.isqrt(len(rows)))
+    kept, v = [every], every
+    for i in range(len(rows)):
+        v = step(v, i)
+        if (i + 1) % every_rows == 0:
+            kept.append(v)
     middle = []
-    node = links[-1] if links else None
-    while node:
-        middle.append(node[:2])
-        node = node[2]
+    j = len(cols)
+    for block in range((len(rows) - 1) // every_rows, -1, -1):
+        first = block * every_rows
+        table = [kept[block]]
+        for i in range(first, min(len(rows), first + every_rows)):
+            table.append(step(table[-1], i))
+        # a zero bit: one more line is common up to this column; the row where it first is zero has the match
+        i = len(table) - 1
+        while i and j:
+            if table[i] >> (j - 1) & 1:
+                j -= 1
+            elif (table[i - 1] >> (j - 1) & 1) == 0:
+                i -= 1
+            else:
+                i, j = i - 1, j - 1
+                middle.append((rows[first + i], cols[j]))
     return [(i, i) for i in range(head)] + middle[::-1] + [(len(a) - 1 - k, len(b) - 1 - k) for k in range(tail - 1, -1, -1)]
 
 
-def main_text(own: list[Block], other: list[Block] | None) -> str:
-    """The page's article: without marked blocks, and without what it shares with the nearest page outside an article."""
-    shared: set[int] = set()
-    if other:
-        pairs = common_subsequence([b.text for b in own], [b.text for b in other])
-        if sum(len(own[i].text) for i, _ in pairs) < COPY_SHARE * min(sum(len(b.text) for b in x) for x in (own, other)):
-            shared = {i for i, _ in pairs}
-    whole = any(b.article for b in own)
-    return "\n".join(b.text for i, b in enumerate(own) if not b.away and (b.article if whole else i not in shared))
-
-
 def common_prefix(a: str, b: str) -> int:
     n = 0
     for x, y in zip(a, b):
@@ -194,48 +260,169 @@ def common_prefix(a: str, b: str) -> int:
     return n
 
 
-def with_main_text(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """(page_id, url, text) for every row; a page without text has an empty one, repeated rows stay.
+def template(own: list[Block], near: list[set[int]]) -> set[int]:
+    """The indices of the template's blocks: ``near`` has what is shared with the nearest page, then with the page on the other side."""
+    size = lambda ids: sum(len(own[i].text) for i in ids)
+    every = set(range(len(own)))
+    twice = near[0] & near[1] if len(near) > 1 else set()
+    if size(twice) >= WHOLE_SHARE * size(every):
+        twice = set()
+    once = near[0] - twice if near else set()
+    if size(once) >= COPY_SHARE * size(every - twice):
+        once = set()
+    article = {i for i in every if own[i].article}
+    inside = twice & article
+    if 2 * size(inside) >= size(article):
+        inside = set()
+    return inside | ((twice | once) - article)
+
+
+def _text(own: list[Block], near: list[set[int]]) -> str:
+    gone = template(own, near)
+    whole = any(b.article for b in own)
+    return "\n".join(b.text for i, b in enumerate(own) if i not in gone and (b.article or not whole))
+
+
+def main_text(own: list[Block], *near: list[Block] | None) -> str:
+    """The page's article, from its unmarked blocks and what the nearest page, and then the page on its other side, share with it.
+
+    Where a page has an article element, its text lies there; else it is all that is left.
+    """
+    own, *others = ([b for b in page if not b.away] for page in (own, *near) if page is not None)
+    texts = [b.text for b in own]
+    return _text(own, [{i for i, _ in common_subsequence(texts, [b.text for b in other])} for other in others])
+
 
-    A null URL is one more host. A page at the edge of a partition is compared
-    with the one neighbour that it has there; alone, it is only parsed.
+def _packed(page: str | None) -> bytes:
+    """The unmarked blocks of a page."""
+    lines = ("+-"[b.article] + b.text for b in blocks(page) if not b.away)
+    return zstandard.ZstdCompressor(level=3).compress("\n".join(lines).encode("utf-8", "surrogatepass"))
+
+
+def _unpacked(raw: bytes) -> list[Block]:
+    text = zstandard.ZstdDecompressor().decompress(raw).decode("utf-8", "surrogatepass")
+    return [Block(x[1:], False, x[0] == "-") for x in text.split("\n")] if text else []
+
+
+def along(pages: Iterator[tuple]) -> Iterator[tuple]:
+    """(page, text) of each of (host, path, packed blocks, is it to be returned, page) in order of host and path.
+
+    A page's neighbours are the pages before and after it on the same host; the one
+    whose path has more in common with its own is the nearest, at a tie the one before.
+    """
+
+    def pair(x: tuple | None, y: tuple | None) -> tuple[set[int], set[int]] | None:
+        """What each of two pages in a row shares with the other; None if they are no neighbours."""
+        if x is None or y is None or x[0] != y[0]:
+            return None
+        found = common_subsequence([b.text for b in x[2]], [b.text for b in y[2]])
+        return {i for i, _ in found}, {j for _, j in found}
+
+    before = now = earlier = None
+
+    def done(later: tuple | None, after: tuple | None) -> tuple:
+        near = [(common_prefix(p[1], now[1]), -k, x[1 - k]) for k, (p, x) in enumerate(((before, earlier), (after, later))) if x is not None]
+        return now[4], _text(now[2], [x[2] for x in sorted(near, key=lambda x: x[:2], reverse=True)])
+
+    for host, path, raw, wanted, page in pages:
+        after = host, path, _unpacked(raw), wanted, page
+        later = pair(now, after)
+        if now is not None and now[3]:
+            yield done(later, after)
+        before, now, earlier = now, after, later
+    if now is not None and now[3]:
+        yield done(None, None)
+
+
+#: Ranges of keys at most; each has two keys on the driver.
+RANGES = 50_000
+
+
+def _ranges(keys: DataFrame, names: list[str], parts: int) -> list[tuple[tuple, tuple]]:
+    """(first key, last key) of ranges of about equal size, in order; keys are (host, path, id), a null id first."""
+    schema = keys.select(*names).schema
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = high = None
+        for b in batches:
+            if b.num_rows:
+                low = b.slice(0, 1) if low is None else low
+                high = b.slice(b.num_rows - 1)
+        yield from () if low is None else (low, high)
+
+    rows = keys.select(*names).repartitionByRange(parts, *names).sortWithinPartitions(*names).mapInArrow(ends, schema).collect()
+    found = sorted(((_key(*r) for r in rows)))
+    return list(zip(found[::2], found[1::2]))
+
+
+def _key(host: str, path: str, id: object) -> tuple:
+    return host, path, (id is not None, id if id is not None else 0)
+
+
+def with_main_text(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+    """(page_id, url, text) for every row; a page without text has an empty one.
+
+    A null or empty page has an empty text, a null URL is one more host, a null id
+    comes first among equal URLs, and repeated rows stay, each compared with the
+    other. Other columns are not read. The result does not depend on how pages are
+    dealt: ranges of keys come from one pass over the URLs alone, and the first and
+    the last page of a range also go to the ranges next to it. Three pages in a row
+    are held at once, whole.
     """
-    host, path, low = f"{OWN}host", f"{OWN}path", F.lower(F.coalesce(F.col(url), F.lit("")))
+    host, path, tie, part, own, packed = (f"{OWN}{x}" for x in ("host", "path", "tie", "part", "own", "packed"))
+    low = F.lower(F.coalesce(F.col(url), F.lit("")))
     keyed = pages.select(F.col(id), F.col(url), F.col(page), F.regexp_extract(low, r"^[a-z]+://([^/?#]*)", 1).alias(host), F.regexp_replace(F.regexp_extract(low, r"^(?:[a-z]+://[^/?#]*)?([^?#]*)", 1), r"(?:\.html?|/)+$", "").alias(path))
-    ordered = keyed.repartitionByRange(host, path, id).sortWithinPartitions(host, path, id)
+    names = [host, path, id]
+    parts = min(RANGES, max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), pages.rdd.getNumPartitions()))
+    ranges = pages.sparkSession.sparkContext.broadcast(_ranges(keyed, names, parts))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = [a for a, _ in ranges.value]
+        lasts = [b for _, b in ranges.value]
+        for b in batches:
+            rows, to, mine, raw = [], [], [], []
+            for i, (h, p, x, text) in enumerate(zip(*(b.column(c) for c in (host, path, id, page)))):
+                key = _key(h.as_py(), p.as_py(), x.as_py())
+                at = bisect_right(firsts, key) - 1
+                made = _packed(text.as_py())
+                for other in (at, *([at - 1] if key == firsts[at] and at else []), *([at + 1] if key == lasts[at] and at + 1 < len(firsts) else [])):
+                    rows.append(i)
+                    to.append(other)
+                    mine.append(other == at)
+                    raw.append(made)
+            kept = b.select([id, url, host, path, tie]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(to, pa.int32()), pa.array(mine, pa.bool_()), pa.array(raw, pa.binary())], [*kept.schema.names, part, own, packed])
+
+    head = keyed.withColumn(tie, F.xxhash64(page))
+    shape = head.select(id, url, host, path, tie, F.lit(0).alias(part), F.lit(True).alias(own), F.lit(b"").alias(packed)).schema
+    dealt = head.mapInArrow(deal, shape).repartition(parts, part).sortWithinPartitions(part, host, path, id, tie, own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [id, url, "text"]
+        types: list[pa.DataType] = []
 
         def rows() -> Iterator[tuple]:
             for b in batches:
-                for r in zip(*(b.column(c).to_pylist() for c in (id, url, page, host, path))):
-                    yield (*r[:2], blocks(r[2]), *r[3:])
+                types[:] = [b.schema.field(c).type for c in (id, url)]
+                for r in zip(*(b.column(c) for c in (part, host, path, packed, own, id, url))):
+                    at, h, p, raw, mine, *page_ = (x.as_py() for x in r)
+                    # pages of two ranges are no neighbours
+                    yield (at, h), p, raw, mine, page_
 
-        before, now = None, None
         held: list[tuple] = []
 
-        def done(before: tuple | None, now: tuple, after: tuple | None) -> tuple:
-            near = [x for x in (before, after) if x is not None and x[3] == now[3]]
-            best = max(near, key=lambda x: common_prefix(x[4], now[4]), default=None)
-            return now[0], now[1], main_text(now[2], best[2] if best else None)
-
         def batch() -> pa.RecordBatch:
             cols = list(zip(*held))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
-
-        for after in rows():
-            if now is not None:
-                held.append(done(before, now, after))
-                if len(held) >= 500:
-                    yield batch()
-            before, now = now, after
-        if now is not None:
-            held.append(done(before, now, None))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), pa.array(cols[2], pa.string())], [id, url, "text"])
+
+        size = 0
+        for (i, u), text in along(rows()):
+            held.append((i, u, text))
+            size += len(text)
+            if len(held) >= 500 or size >= 4_000_000:
+                yield batch()
+                size = 0
         if held:
             yield batch()
 
-    shape = pages.select(id, url).withColumn("text", F.lit(""))
-    kinds = [pa.int64() if k in ("bigint", "long") else pa.int32() if k == "int" else pa.string() for _, k in shape.dtypes]
-    return ordered.mapInArrow(run, shape.schema)
+    return dealt.mapInArrow(run, pages.select(id, url, F.lit("").alias("text")).schema)

@@ -1,6 +1,9 @@
 """Blocks, alignment and extraction of pages."""
 
 import random
+import time
+
+import pytest
 
 from lodestrata.llm import html_text
 
@@ -63,3 +66,114 @@ def test_nearest_pages_of_a_host(spark):
     assert by[99] == "Alone" and by[None] == ""
     assert sum(by[i] == " ".join(f"w{i}x{k}" for k in range(20)) for i in range(30)) >= 27
     assert html_text.with_main_text(df.where("false")).count() == 0
+
+
+def test_depth_has_no_limit():
+    for n in (9_990, 10_010, 50_000):
+        page = "<article>" + "<div>" * n + "<nav>menu</nav><p>deep</p>" + "</div>" * n + "<p>tail</p>"
+        assert text(page) == "deep\ntail"
+        assert text("<article>" + "<p>x" * n + "<aside>no</aside><p>last</article>").endswith("x\nlast")
+        assert text("<article>" + "<div>" * n + "</span></p></i>" * n + "end") == "end"
+
+
+def test_elements_that_end_by_themselves():
+    assert text("<ul><li class=ad>buy<li>one<li class=promo>two<li>three</ul>") == "one\nthree"
+    assert text("<table><tr><td class=ad>x<td>y<tr><td>z</table>") == "y\nz"
+    assert text("<p class=notice>cookies<p>kept<div>more</div>") == "kept\nmore"
+    assert text("<ul><li>a<ul><li class=ad>b</ul>c</ul>") == "a\nc"
+    assert text("a<!-- b") == text("a<!-- <p>b</p>") == "a"
+    assert text("a<p>b<script>var x = 1 > 0") == "a\nb"
+
+
+def test_template_without_article_elements():
+    """A short article in a long template: what the pages on both sides have goes, however much it is."""
+    frame = lambda x: "".join(f"<div>Line {i} of the template</div>" for i in range(8)) + f"<p>{x}</p><div>Last line</div>"
+    one, two, three = frame("Just a few words of this page."), frame("The other page says something else."), frame("And a third has its own text too.")
+    assert text_of(two, one, three) == "The other page says something else."
+    assert text_of(two, two, two) == text_of(two)
+
+
+def text_of(*pages):
+    return html_text.main_text(*map(html_text.blocks, pages))
+
+
+def test_lines_inside_articles():
+    art = lambda x: f"<article><p>Read our newsletter</p><p>{x}</p><p>Shared passage</p></article>"
+    one, two = art("The first has its own long text, as articles do."), art("Another, with words of another kind and length.")
+    three = "<article><p>Read our newsletter</p><p>The third is alone with its words here.</p></article>"
+    assert text_of(two, one, three) == "Another, with words of another kind and length.\nShared passage"
+    assert text_of(two, one) == text_of(two) == text_of(two, two, two)
+
+
+@pytest.mark.parametrize("n", [300, 700])
+def test_rows_are_made_again_on_the_way_back(n):
+    rnd = random.Random(n)
+    a, b = ([rnd.choice("ab") + "x" * rnd.randrange(3) for _ in range(n)] for _ in range(2))
+    best = [0] * (n + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(best[j] + 1 if x == y else max(best[j + 1], row[j]))
+        best = row
+    got = html_text.common_subsequence(a, b)
+    assert len(got) == best[-1] and all(a[i] == b[j] for i, j in got)
+
+
+def test_repeated_lines_cost_no_more():
+    rnd = random.Random(1)
+    a, b = ([rnd.choice("ab") for _ in range(n)] for n in (8_000, 12_000))
+    start = time.perf_counter()
+    assert len(html_text.common_subsequence(a, b)) > 6_000
+    assert time.perf_counter() - start < 5
+
+
+def site(rnd, n=60):
+    """(page_id, url, html, text): hosts with and without article elements, copies, equal URLs, nulls and repeated rows."""
+    rows = []
+    for i in range(n):
+        host = rnd.choice("ab")
+        mine = "".join(f"<p>{' '.join(rnd.choice('abcdefgh') * 3 for _ in range(rnd.randrange(1, 9)))}</p>" for _ in range(rnd.randrange(6)))
+        frame = f"<div>Home {host}</div>{mine}<div>About</div><div>Contact</div>"
+        page = rnd.choice([frame, f"<article><p>Subscribe</p>{mine}</article>", None, "", frame * 2])
+        rows.append((rnd.choice([i, i, i, None]), rnd.choice([f"http://{host}.example/x/{rnd.randrange(12)}{rnd.choice(['', '.html', '/', '?q=1'])}", None]), page, "z"))
+    return rows + rnd.sample(rows, 9)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_result_does_not_depend_on_partitions(spark, seed):
+    import re
+
+    import xxhash
+
+    rows = site(random.Random(seed))
+
+    def place(r):
+        url = (r[1] or "").lower()
+        host = re.match(r"^[a-z]+://([^/?#]*)", url)
+        path = re.match(r"^(?:[a-z]+://[^/?#]*)?([^?#]*)", url)
+        tie = xxhash.xxh64_intdigest(r[2].encode(), 42) if r[2] is not None else 42
+        return host[1] if host else "", re.sub(r"(?:\.html?|/)+$", "", path[1]), (r[0] is not None, r[0] or 0), tie - (tie >> 63 << 64)
+
+    ordered = sorted(rows, key=place)
+    want = []
+    for k, r in enumerate(ordered):
+        near = [(x, html_text.common_prefix(place(x)[1], place(r)[1])) for x in (*ordered[max(0, k - 1) : k], *ordered[k + 1 : k + 2]) if place(x)[0] == place(r)[0]]
+        near.sort(key=lambda x: -x[1])
+        want.append((r[0], r[1], text_of(r[2], *(x[2] for x, _ in near))))
+    want.sort(key=repr)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 3, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            df = spark.createDataFrame(rows, "page_id int, url string, html string, text string").repartition(n)
+            got = [tuple(r) for r in html_text.with_main_text(df).collect()]
+            assert sorted(got, key=repr) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_ids_of_other_types(spark):
+    df = spark.createDataFrame([(1, "http://a/", "<p>x</p>")], "page_id int, url string, html string")
+    for kind in ("decimal(10,2)", "smallint", "string"):
+        out = html_text.with_main_text(df.withColumn("page_id", df.page_id.cast(kind)))
+        assert out.count() == 1 and dict(out.dtypes)["page_id"] == kind
