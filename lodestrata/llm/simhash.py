@@ -11,9 +11,10 @@ exactly and only a spanning star of each linked class leaves it: small buckets
 compare their members, large ones meet in the middle (two fingerprints within
 2k free bits share a variant within k of both), which is linear in the bucket.
 
-Where a similarity is asked for, the classes so found are candidates only: the
-texts of a class meet in one task, which links those whose shingle sets have that
-Jaccard similarity and takes components over these links alone.
+Where a similarity is asked for, the classes so found are candidates only: texts
+are linked if their shingle sets have that Jaccard similarity, and components are
+taken over these links alone. The texts of a class meet in tasks of bounded size;
+see ``_linked`` for classes that are larger.
 """
 
 from __future__ import annotations
@@ -104,7 +105,7 @@ def _stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def link_bucket(fps: np.ndarray, mask: int, radius: int, *, compare: int = 3000, variants: int = 4_000_000) -> np.ndarray:
+def link_bucket(fps: np.ndarray, mask: int, radius: int, *, compare: int = 3000, variants: int = 500_000) -> np.ndarray:
     """Class roots (indices) of distinct fingerprints that agree on ``mask``, linked at ``radius`` or fewer bits."""
     n = len(fps)
     root = np.arange(n)
@@ -120,7 +121,7 @@ def link_bucket(fps: np.ndarray, mask: int, radius: int, *, compare: int = 3000,
     rounds = max(1, -(-n * len(flips[0]) // variants))
     for r in range(rounds):
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for side in flips:
+        for side in flips[: 1 + (near != far)]:
             keys, ids = [], []
             for f in side:
                 v = fps ^ f
@@ -148,7 +149,8 @@ def link_bucket(fps: np.ndarray, mask: int, radius: int, *, compare: int = 3000,
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch], table_masks: list[int], radius: int) -> Iterator[pa.RecordBatch]:
-    """Spanning stars of the buckets in rows sorted by (table, key, node), between the rows' nodes."""
+    """Spanning stars of the buckets in rows (table, fingerprint[, node]) sorted by table, key and node, between the rows' nodes."""
+    by_table = np.array(table_masks, np.uint64)
 
     def whole(t: np.ndarray, k: np.ndarray, f: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         new = np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])))
@@ -179,10 +181,11 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch], table_masks: list[int], rad
 
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        t, k, f, *node = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        rows = t, k, f.view(np.uint64), (node[0] if node else f)
+        t, f, *node = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if not len(f):
             continue
+        k = f.view(np.uint64) & by_table[t % len(by_table)]
+        rows = t, k, f.view(np.uint64), (node[0] if node else f)
         end = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1]))
         if held and (t[0] != held[-1][0][-1] or k[0] != held[-1][1][-1]):
             yield whole(*(np.concatenate(x) for x in zip(*held)))
@@ -198,33 +201,23 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch], table_masks: list[int], rad
         yield whole(*(np.concatenate(x) for x in zip(*held)))
 
 
-def link(prints: DataFrame, radius: int = 4, count: int = 1) -> DataFrame:
-    """Edges (a > b) between ``fingerprint`` values, enough to connect all rows that are linked.
+def link(prints: DataFrame, radius: int = 4, node: str | None = None) -> DataFrame:
+    """Edges (a > b) between nodes, enough to connect all that are linked: some i-th values of ``fingerprint`` and ``more`` within ``radius`` bits.
 
-    Rows link where their fingerprints, or their i-th values of ``more``, are within ``radius`` bits.
+    Nodes are the column ``node``, an integer, or the fingerprints themselves. A row of
+    a table holds its number, the value and the node; the bucket's key follows from these.
     """
     ms = masks(radius)
-
-    def tables(value, base: int):
-        return [F.struct(F.lit(base + i).cast("short").alias("t"), value.bitwiseAND(F.lit(_signed(m))).alias("k"), value.alias("f")) for i, m in enumerate(ms)]
-
-    own = ["fingerprint"] if count > 1 else []
-    values = [F.col("fingerprint"), *(F.col("more")[i] for i in range(count - 1))]
-    every = F.explode(F.array(*(x for i, v in enumerate(values) for x in tables(v, i * len(ms)))))
-    keyed = prints.select(every.alias("x"), *own).select("x.t", "x.k", "x.f", *own)
-    dealt = keyed.repartition(F.col("t"), F.col("k")).sortWithinPartitions("t", "k", own[0] if own else "f")
+    values = F.array("fingerprint") if "more" not in prints.columns else F.concat(F.array("fingerprint"), "more")
+    # a plain column of the values and one of table numbers: the plan does not grow with the tables
+    every = prints.select(values.alias("v"), *([node] if node else [])).withColumn("t", F.explode(F.sequence(F.lit(0), F.size("v") * len(ms) - 1)))
+    own = [node] if node else []
+    rows = every.select("t", F.get("v", F.expr(f"cast(t div {len(ms)} as int)")).alias("f"), *own)
+    key = F.col("f").bitwiseAND(F.get(F.array(*(F.lit(_signed(m)) for m in ms)), F.expr(f"cast(t % {len(ms)} as int)")))
+    dealt = rows.repartition(F.col("t"), key).sortWithinPartitions(F.col("t"), key, F.col(node or "f"))
     return dealt.mapInArrow(lambda it: _bucket_edges(it, ms, radius), "a long, b long").distinct()
 
 
-def _classes(own: DataFrame, id: str, radius: int, count: int) -> DataFrame:
-    """(fingerprint, low, label) of every fingerprint: its smallest id, and one label for all that are linked to it."""
-    distinct = materialize(own.groupBy("fingerprint").agg(F.min(id).alias("low")), "simhash-distinct")
-    prints = own.select("fingerprint", "more").distinct() if count > 1 else distinct
-    label = components(link(prints, radius, count))
-    named = distinct.join(label.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "low", F.coalesce("label", "fingerprint").alias("label"))
-    return materialize(named, "simhash-classes")
-
-
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", *, width: int = 4, radius: int = 4, seed: int = 42, count: int = 1) -> DataFrame:
     """(id, fingerprint, component_id) for every row; ``component_id`` is the smallest id reachable over links.
 
@@ -232,13 +225,24 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", *,
     over other hashes of the same shingles: each finds, by itself, every pair
     within the radius, and together they reach pairs that are less similar.
     Null and empty texts have fingerprint zero and link like any other; rows
-    with a null id stay and count for no smallest id; repeated rows stay.
+    with a null id stay and count for no smallest id; repeated rows stay. An
+    empty table gives no rows; other columns are not read.
     """
     own = materialize(with_fingerprint(docs.select(id, text), text, width, seed, count), "simhash")
-    named = _classes(own, id, radius, count)
+    prints = [c for c in own.columns if c != id]
+    distinct = own.groupBy(*prints).agg(F.min(id).alias("low"))
+    if count == 1:
+        distinct = materialize(distinct, "simhash-distinct")
+        label = components(link(distinct, radius)).withColumnRenamed("node", "fingerprint")
+        named = distinct.join(label, "fingerprint", "left").select("fingerprint", "low", F.coalesce("label", "fingerprint").alias("label"))
+    else:
+        distinct = materialize(distinct.withColumn("uid", F.monotonically_increasing_id()), "simhash-distinct")
+        label = components(link(distinct, radius, "uid")).withColumnRenamed("node", "uid")
+        named = distinct.join(label, "uid", "left").select(*prints, "low", F.coalesce("label", "uid").alias("label"))
+    named = materialize(named, "simhash-classes")
     lowest = materialize(named.groupBy("label").agg(F.min("low").alias("component_id")), "simhash-lowest")
-    classes = materialize(named.join(lowest, "label").select("fingerprint", "component_id"), "simhash-components")
-    return own.select(id, "fingerprint").join(classes, "fingerprint").select(id, "fingerprint", "component_id")
+    classes = materialize(named.join(lowest, "label").select(*prints, "component_id"), "simhash-components")
+    return own.join(classes, prints).select(id, "fingerprint", "component_id")
 
 
 def shingle_hashes(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -249,11 +253,13 @@ def shingle_hashes(text: str | None, width: int = 5, seed: int = 42) -> np.ndarr
     return np.unique(np.array([digest(b" ".join(words[i : i + width]), seed) for i in range(n)], np.uint64))
 
 
-def similar_classes(sets: list[np.ndarray], similarity: float) -> list[int]:
+def similar_classes(sets: list[np.ndarray], similarity: float, start: list[int] | None = None, asked: np.ndarray | None = None) -> list[int]:
     """The smallest index of each one's class, for links between sets of at least this Jaccard similarity; empty sets are equal.
 
     Two such sets share one of the n - ceil(similarity n) + 1 rarest members of
     each, so no link is missed; sets already in one class are not compared.
+    ``start`` names one in the class of each that is known to be in it; with
+    ``asked``, only pairs with a marked set are compared.
     """
     root = list(range(len(sets)))
 
@@ -267,13 +273,16 @@ def similar_classes(sets: list[np.ndarray], similarity: float) -> list[int]:
         low, high = sorted((find(x), find(y)))
         root[high] = low
 
-    sizes = np.array([len(x) for x in sets])
-    one, of, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    for i, j in enumerate(start or ()):
+        unite(i, j)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    one, of, times = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
     place = np.empty(len(one), np.int64)
     place[np.argsort(times, kind="stable")] = np.arange(len(one))
     members = [np.sort(x) for x in np.split(place[of], np.cumsum(sizes)[:-1])]
     mine = np.zeros(len(one), bool)
-    holders: dict[int, list[int]] = defaultdict(list)
+    #: by rare member, those that hold it: all, and those that are asked for
+    holders: tuple[dict[int, list[int]], dict[int, list[int]]] = defaultdict(list), defaultdict(list)
     empty = None
     for i, (x, n) in enumerate(zip(members, sizes.tolist())):
         if not n:
@@ -281,13 +290,18 @@ def similar_classes(sets: list[np.ndarray], similarity: float) -> list[int]:
             unite(empty, i)
             continue
         rare = x[: n - math.ceil(similarity * n - 1e-9) + 1].tolist()
-        met = set().union(*(holders[r] for r in rare if r in holders))
+        wanted = asked is None or bool(asked[i])
+        known = holders[not wanted]
+        met = set().union(*(known[r] for r in rare if r in known))
         for r in rare:
-            holders[r].append(i)
+            holders[0][r].append(i)
+            if wanted and asked is not None:
+                holders[1][r].append(i)
         apart: dict[int, list[int]] = defaultdict(list)
+        mine_root = find(i)
         for j in met:
-            if min(n, sizes[j]) >= similarity * max(n, sizes[j]) - 1e-9:
-                apart[find(j)].append(j)
+            if min(n, sizes[j]) >= similarity * max(n, sizes[j]) - 1e-9 and (r := find(j)) != mine_root:
+                apart[r].append(j)
         mine[x] = True
         step = 1
         while apart:
@@ -305,24 +319,83 @@ def similar_classes(sets: list[np.ndarray], similarity: float) -> list[int]:
     return [find(i) for i in range(len(sets))]
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch], similarity: float, width: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """Digests of the texts that are not the first of their class, in rows (label, digest, text) sorted by label and rank."""
+#: Texts, and bytes of text, that one task links at once.
+GROUP_TEXTS, GROUP_BYTES = 4096, 16_000_000
+
 
-    def others(digests: list[bytes], sets: list[np.ndarray]) -> list[bytes]:
-        return [d for i, (d, r) in enumerate(zip(digests, similar_classes(sets, similarity))) if i != r] if len(sets) > 1 else []
+def _grouped_links(batches: Iterator[pa.RecordBatch], similarity: float, width: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """(uid, root) of every row (group, uid, start, asked, text), sorted by group and rank: the first of its class in the group."""
 
-    now, digests, sets = None, [], []
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        first: dict[int, int] = {}
+        start = [first.setdefault(r[1], i) for i, r in enumerate(rows)]
+        found = similar_classes([r[3] for r in rows], similarity, start, np.array([r[2] for r in rows], bool)) if len(rows) > 1 else [0]
+        return [(r[0], rows[i][0]) for r, i in zip(rows, found)]
+
+    def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["uid", "root"])
+
+    now, held = None, []
     for b in batches:
-        gone: list[bytes] = []
-        for label, digest, text in zip(*(c.to_pylist() for c in b.columns)):
-            if label != now:
-                gone += others(digests, sets)
-                now, digests, sets = label, [], []
-            if not digests or digest != digests[-1]:
-                digests.append(digest)
-                sets.append(shingle_hashes(text, width, seed))
-        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.binary())], ["digest"])
-    yield pa.RecordBatch.from_arrays([pa.array(others(digests, sets), pa.binary())], ["digest"])
+        for group, uid, start, asked, text in zip(*b.columns):
+            if (group := group.as_py()) != now:
+                if held:
+                    yield batch(links(held))
+                now, held = group, []
+            held.append((uid.as_py(), start.as_py(), asked.as_py(), shingle_hashes(text.as_py(), width, seed)))
+    if held:
+        yield batch(links(held))
+
+
+def _linked(rows: DataFrame, texts: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
+    """(uid, label) of each of ``rows`` (uid, class, low, size), whose ``texts`` (with text besides) are read in groups: one label for all of a class that links connect.
+
+    The texts of a class meet in groups of bounded size. Where a class is one group,
+    that is all. Else the largest sets of each group are linked by their first texts;
+    every text outside the largest set that then is of the class meets every text of
+    the class, in pairs of a block of such texts with a group. So no link between
+    two texts is left out, and a class that mostly is one set, as groups of copies
+    are, costs two passes over its texts.
+    """
+    sizes = rows.groupBy("class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    groups = F.greatest(F.ceil(F.col("n") / GROUP_TEXTS), F.ceil(F.col("bytes") / GROUP_BYTES)).cast("int")
+    sizes = materialize(sizes.select("class", groups.alias("groups")), "simhash-sizes")
+    order = ["low", "uid"]
+
+    def links(rows: DataFrame, group: list[str]) -> DataFrame:
+        """``rows`` have start and asked; groups are told apart by a number made of the columns ``group``."""
+        name = F.struct(*group)
+        met = rows.withColumn("name", name).repartition("name").sortWithinPartitions("name", *order)
+        return met.select(F.to_json("name").alias("name"), "uid", "start", "asked", "text").mapInArrow(lambda it: _grouped_links(it, similarity, shingle, seed), "uid long, root long")
+
+    part = F.pmod(F.xxhash64("uid"), F.col("groups")).cast("int")
+    asked = texts.join(sizes.hint("shuffle_hash"), "class").withColumn("part", part)
+    alone = asked.withColumn("start", F.col("uid")).withColumn("asked", F.lit(True))
+    first = materialize(links(alone, ["class", "part"]), "simhash-linked")
+    if sizes.where("groups > 1").limit(1).count() == 0:
+        return first.withColumnRenamed("root", "label")
+    large = materialize(asked.where("groups > 1").join(first, "uid"), "simhash-large")
+    # the largest set of each group, named by its first text; sets of these by class
+    sets = large.groupBy("class", "part", "root").count().groupBy("class", "part").agg(F.max_by("root", F.struct("count", "root")).alias("uid"))
+    heads = large.join(sets.select("class", "uid"), ["class", "uid"])
+    bunch = F.pmod(F.xxhash64("uid"), F.ceil(F.col("groups") / GROUP_TEXTS)).cast("int")
+    heads = heads.withColumn("part", bunch).withColumn("start", F.col("uid")).withColumn("asked", F.lit(True))
+    second = materialize(links(heads, ["class", "part"]), "simhash-heads")
+    merged = large.join(second.select(F.col("uid").alias("root"), F.col("root").alias("head")), "root", "left").withColumn("start", F.coalesce("head", "root")).drop("head")
+    merged = materialize(merged, "simhash-merged")
+    main = merged.groupBy("class", "start").count().groupBy("class").agg(F.max_by("start", F.struct("count", "start")).alias("main"))
+    outside = merged.join(main, "class").where("start <> main").groupBy("class").agg(F.greatest(F.ceil(F.count("*") / GROUP_TEXTS), F.ceil(F.sum("size") / GROUP_BYTES)).cast("int").alias("blocks"), F.first("main").alias("main"))
+    outside = materialize(outside, "simhash-outside")
+    both = merged.join(outside, "class").withColumn("asked", F.col("start") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(1)), F.col("blocks")).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    here = both.withColumn("asked", F.lit(False)).withColumn("block", every("blocks"))
+    there = both.where("asked").withColumn("part", every("groups"))
+    # a text that lies in both, as an asked one and as one of the group, is united with itself
+    third = materialize(links(here.unionByName(there), ["class", "part", "block"]), "simhash-outside-linked")
+    edges = merged.select(F.col("uid").alias("a"), F.col("start").alias("b")).union(third.select(F.col("uid").alias("a"), F.col("root").alias("b")))
+    label = components(edges.where("a <> b")).withColumnRenamed("node", "uid")
+    whole = merged.select("uid", "start").join(label, "uid", "left").select("uid", F.coalesce("label", "uid").alias("label"))
+    return first.join(large.select("uid"), "uid", "left_anti").select("uid", F.col("root").alias("label")).union(whole)
 
 
 def one_similar_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", *, similarity: float = 0.8, shingle: int = 5, width: int = 4, radius: int = 4, seed: int = 42, count: int = 1) -> DataFrame:
@@ -332,20 +405,27 @@ def one_similar_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text",
     confirmed on the texts' own shingle sets (by 64-bit hashes), so rows that only
     look alike by their fingerprints all stay. Rows are told apart by id and text:
     rows that share an id and differ in text are different; equal rows become one.
-    A null id cannot stand for a class: such rows all stay.
+    A null id cannot stand for a class: such rows all stay. Null and empty texts
+    are one class; of texts with one smallest id, one stays. All columns stay.
     """
     mark = f"{OWN}digest"
     known = docs.where(F.col(id).isNotNull())
     marked = known.withColumn(mark, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
-    own = materialize(with_fingerprint(marked.select(id, mark, text), text, width, seed, count), "simhash")
-    named = _classes(own, id, radius, count).select("fingerprint", "label")
-    texts = materialize(own.groupBy(mark, "fingerprint").agg(F.min(id).alias("low")).join(named, "fingerprint").select(mark, "low", "label"), "simhash-texts")
-    several = texts.groupBy("label").count().where("count > 1").select("label")
-    asked = materialize(texts.join(several, "label").select("label", mark, F.col("low").alias(id)), "simhash-candidates")
-    met = marked.select(id, mark, text).join(asked, [id, mark]).repartition("label").sortWithinPartitions("label", id, mark).select("label", mark, text)
-    gone = materialize(met.mapInArrow(lambda it: _confirmed(it, similarity, shingle, seed), "digest binary").withColumnRenamed("digest", mark), "simhash-confirmed")
+    own = materialize(with_fingerprint(marked.select(id, mark, text, F.coalesce(F.octet_length(text), F.lit(0)).alias("size")), text, width, seed, count), "simhash")
+    rest = [c for c in own.columns if c not in (id, mark)]
+    texts = own.groupBy(mark).agg(F.min(id).alias("low"), *(F.first(c).alias(c) for c in rest)).withColumn("uid", F.monotonically_increasing_id())
+    texts = materialize(texts, "simhash-texts")
+    label = components(link(texts, radius, "uid"))
+    # joins of texts by id and digest are by shuffle at every size
+    asked = materialize(texts.select("uid", "low", mark, "size").join(label.select(F.col("node").alias("uid"), F.col("label").alias("class")), "uid"), "simhash-asked")
+    rows = asked.withColumn(id, F.col("low")).hint("shuffle_hash")
+    met = marked.select(id, mark, text).join(rows, [id, mark]).dropDuplicates([id, mark]).select("uid", "class", "low", "size", F.col(text).alias("text"))
+    linked = materialize(_linked(asked, met, similarity, shingle, seed), "simhash-linked")
+    ranked = linked.join(texts.select("uid", "low", mark), "uid")
+    kept = ranked.groupBy("label").agg(F.min(F.struct("low", "uid")).alias("first"))
+    gone = materialize(ranked.join(kept, "label").where("uid <> first.uid").select(mark), "simhash-gone")
     keep = materialize(texts.join(gone, mark, "left_anti").select(F.col("low").alias(id), mark), "simhash-kept")
-    one = marked.join(keep, [id, mark], "left_semi").dropDuplicates([id, mark]).select(*docs.columns)
+    one = marked.join(keep.hint("shuffle_hash"), [id, mark], "left_semi").dropDuplicates([id, mark]).select(*docs.columns)
     return one.union(docs.where(F.col(id).isNull()))
 
 
