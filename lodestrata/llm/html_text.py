@@ -10,8 +10,9 @@ blocks are aligned by longest common subsequence.
 What a page shares with the nearest page goes, as the site's template. Two
 things are told apart from it. Pages that share most of what is left of them are
 copies, and lose nothing by that. And a line inside an article element goes only
-if the pages on both sides have it, and only while less than half of the article
-goes this way: articles quote and share passages, so one witness does not do.
+if all pages around have it, four at least, and only while less than half of the
+article goes this way: articles quote and share passages, so one or two
+witnesses do not do.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,8 @@ _ENDS = {k: (tuple(a.split()), tuple(b.split())) for k, (a, b) in _ENDS.items()}
 COPY_SHARE = 0.5
 #: A page that the template covers to this part is a copy too.
 WHOLE_SHARE = 0.9
+#: Pages on each side that are asked for a line of an article, and how many there must be.
+AROUND, WITNESSES = 4, 4
 
 
 @dataclass(frozen=True)
@@ -260,8 +264,8 @@ def common_prefix(a: str, b: str) -> int:
     return n
 
 
-def template(own: list[Block], near: list[set[int]]) -> set[int]:
-    """The indices of the template's blocks: ``near`` has what is shared with the nearest page, then with the page on the other side."""
+def template(own: list[Block], near: list[set[int]], around: list[frozenset[str]]) -> set[int]:
+    """The indices of the template's blocks: ``near`` has what is shared with the nearest page, then with the page on the other side, ``around`` the lines of all pages around."""
     size = lambda ids: sum(len(own[i].text) for i in ids)
     every = set(range(len(own)))
     twice = near[0] & near[1] if len(near) > 1 else set()
@@ -271,26 +275,27 @@ def template(own: list[Block], near: list[set[int]]) -> set[int]:
     if size(once) >= COPY_SHARE * size(every - twice):
         once = set()
     article = {i for i in every if own[i].article}
-    inside = twice & article
+    inside = {i for i in twice & article if all(own[i].text in x for x in around)} if len(around) >= WITNESSES else set()
     if 2 * size(inside) >= size(article):
         inside = set()
     return inside | ((twice | once) - article)
 
 
-def _text(own: list[Block], near: list[set[int]]) -> str:
-    gone = template(own, near)
+def _text(own: list[Block], near: list[set[int]], around: list[frozenset[str]]) -> str:
+    gone = template(own, near, around)
     whole = any(b.article for b in own)
     return "\n".join(b.text for i, b in enumerate(own) if i not in gone and (b.article or not whole))
 
 
 def main_text(own: list[Block], *near: list[Block] | None) -> str:
-    """The page's article, from its unmarked blocks and what the nearest page, and then the page on its other side, share with it.
+    """The page's article, from its unmarked blocks and what others share with it: the nearest page, the page on the other side, then any pages around.
 
     Where a page has an article element, its text lies there; else it is all that is left.
     """
     own, *others = ([b for b in page if not b.away] for page in (own, *near) if page is not None)
     texts = [b.text for b in own]
-    return _text(own, [{i for i, _ in common_subsequence(texts, [b.text for b in other])} for other in others])
+    shared = [{i for i, _ in common_subsequence(texts, [b.text for b in other])} for other in others[:2]]
+    return _text(own, shared, [frozenset(b.text for b in other) for other in others])
 
 
 def _packed(page: str | None) -> bytes:
@@ -304,55 +309,88 @@ def _unpacked(raw: bytes) -> list[Block]:
     return [Block(x[1:], False, x[0] == "-") for x in text.split("\n")] if text else []
 
 
+@dataclass
+class _Page:
+    host: object
+    path: str
+    blocks: list[Block]
+    wanted: bool
+    page: object
+    #: What this page shares with the one before and the one after it; None where that is on another host.
+    before: set[int] | None = None
+    after: set[int] | None = None
+
+    def __post_init__(self) -> None:
+        self.lines = frozenset(b.text for b in self.blocks)
+
+
 def along(pages: Iterator[tuple]) -> Iterator[tuple]:
     """(page, text) of each of (host, path, packed blocks, is it to be returned, page) in order of host and path.
 
     A page's neighbours are the pages before and after it on the same host; the one
     whose path has more in common with its own is the nearest, at a tie the one before.
     """
+    held: list[_Page] = []
 
-    def pair(x: tuple | None, y: tuple | None) -> tuple[set[int], set[int]] | None:
-        """What each of two pages in a row shares with the other; None if they are no neighbours."""
-        if x is None or y is None or x[0] != y[0]:
-            return None
-        found = common_subsequence([b.text for b in x[2]], [b.text for b in y[2]])
-        return {i for i, _ in found}, {j for _, j in found}
-
-    before = now = earlier = None
-
-    def done(later: tuple | None, after: tuple | None) -> tuple:
-        near = [(common_prefix(p[1], now[1]), -k, x[1 - k]) for k, (p, x) in enumerate(((before, earlier), (after, later))) if x is not None]
-        return now[4], _text(now[2], [x[2] for x in sorted(near, key=lambda x: x[:2], reverse=True)])
+    def done(k: int) -> tuple:
+        now = held[k]
+        sides = [(common_prefix(held[j].path, now.path), j < k, shared) for j, shared in ((k - 1, now.before), (k + 1, now.after)) if shared is not None]
+        around = [x.lines for j, x in enumerate(held[max(0, k - AROUND) : k + AROUND + 1], max(0, k - AROUND)) if j != k and x.host == now.host]
+        return now.page, _text(now.blocks, [x[2] for x in sorted(sides, key=lambda x: x[:2], reverse=True)], around)
 
     for host, path, raw, wanted, page in pages:
-        after = host, path, _unpacked(raw), wanted, page
-        later = pair(now, after)
-        if now is not None and now[3]:
-            yield done(later, after)
-        before, now, earlier = now, after, later
-    if now is not None and now[3]:
-        yield done(None, None)
-
-
-#: Ranges of keys at most; each has two keys on the driver.
+        new = _Page(host, path, _unpacked(raw), wanted, page)
+        if held and held[-1].host == host:
+            found = common_subsequence([b.text for b in held[-1].blocks], [b.text for b in new.blocks])
+            held[-1].after, new.before = {i for i, _ in found}, {j for _, j in found}
+        held.append(new)
+        if len(held) > 2 * AROUND + 1:
+            held.pop(0)
+        if len(held) > AROUND and held[-1 - AROUND].wanted:
+            yield done(len(held) - 1 - AROUND)
+    for k in range(max(0, len(held) - AROUND), len(held)):
+        if held[k].wanted:
+            yield done(k)
+
+
+#: Ranges of keys at most; a few keys of each are on the driver.
 RANGES = 50_000
 
 
-def _ranges(keys: DataFrame, names: list[str], parts: int) -> list[tuple[tuple, tuple]]:
-    """(first key, last key) of ranges of about equal size, in order; keys are (host, path, id), a null id first."""
-    schema = keys.select(*names).schema
+def _ranges(keys: DataFrame, names: list[str], parts: int) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """The first keys of ranges of about equal size, in order, and the other ranges that a key near an end also goes to; keys are (host, path, id), a null id first."""
+    number = f"{OWN}range"
+    schema = keys.select(*names).withColumn(number, F.lit(0)).schema
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = high = None
+        n = 0
         for b in batches:
-            if b.num_rows:
-                low = b.slice(0, 1) if low is None else low
-                high = b.slice(b.num_rows - 1)
-        yield from () if low is None else (low, high)
+            n += b.num_rows
+            t = pa.Table.from_batches([b])
+            low = t.slice(0, AROUND) if low is None else low if low.num_rows == AROUND else pa.concat_tables([low, t]).slice(0, AROUND)
+            high = t if high is None else pa.concat_tables([high, t])
+            high = high.slice(max(0, high.num_rows - AROUND)).combine_chunks()
+        if n:
+            if n < 2 * AROUND:
+                high = high.slice(high.num_rows - max(0, n - low.num_rows)) if n > low.num_rows else high.slice(0, 0)
+            rows = pa.concat_tables([low, high])
+            own = pa.array([TaskContext.get().partitionId()] * rows.num_rows, pa.int32())
+            yield from rows.append_column(pa.field(number, pa.int32(), False), own).combine_chunks().to_batches()
 
     rows = keys.select(*names).repartitionByRange(parts, *names).sortWithinPartitions(*names).mapInArrow(ends, schema).collect()
-    found = sorted(((_key(*r) for r in rows)))
-    return list(zip(found[::2], found[1::2]))
+    found: dict[int, list[tuple]] = defaultdict(list)
+    for *key, own in rows:
+        found[own].append(_key(*key))
+    edges = sorted(sorted(x) for x in found.values())
+    flat = [(key, k) for k, x in enumerate(edges) for key in x]
+    extra: dict[tuple, set[int]] = defaultdict(set)
+    at = 0
+    for k, x in enumerate(edges):
+        for key, other in (*flat[max(0, at - AROUND) : at], *flat[at + len(x) : at + len(x) + AROUND]):
+            extra[key].add(k)
+        at += len(x)
+    return [x[0] for x in edges], {k: sorted(v) for k, v in extra.items()}
 
 
 def _key(host: str, path: str, id: object) -> tuple:
@@ -366,7 +404,7 @@ def with_main_text(pages: DataFrame, id: str = "page_id", url: str = "url", page
     comes first among equal URLs, and repeated rows stay, each compared with the
     other. Other columns are not read. The result does not depend on how pages are
     dealt: ranges of keys come from one pass over the URLs alone, and the first and
-    the last page of a range also go to the ranges next to it. Three pages in a row
+    the last pages of a range also go to the ranges next to it. Nine pages in a row
     are held at once, whole.
     """
     host, path, tie, part, own, packed = (f"{OWN}{x}" for x in ("host", "path", "tie", "part", "own", "packed"))
@@ -377,15 +415,14 @@ def with_main_text(pages: DataFrame, id: str = "page_id", url: str = "url", page
     ranges = pages.sparkSession.sparkContext.broadcast(_ranges(keyed, names, parts))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts = [a for a, _ in ranges.value]
-        lasts = [b for _, b in ranges.value]
+        firsts, extra = ranges.value
         for b in batches:
             rows, to, mine, raw = [], [], [], []
             for i, (h, p, x, text) in enumerate(zip(*(b.column(c) for c in (host, path, id, page)))):
                 key = _key(h.as_py(), p.as_py(), x.as_py())
                 at = bisect_right(firsts, key) - 1
                 made = _packed(text.as_py())
-                for other in (at, *([at - 1] if key == firsts[at] and at else []), *([at + 1] if key == lasts[at] and at + 1 < len(firsts) else [])):
+                for other in (at, *extra.get(key, ())):
                     rows.append(i)
                     to.append(other)
                     mine.append(other == at)

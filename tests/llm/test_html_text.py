@@ -98,11 +98,12 @@ def text_of(*pages):
 
 
 def test_lines_inside_articles():
+    """They go if all of four pages around have them, and not on the word of two."""
     art = lambda x: f"<article><p>Read our newsletter</p><p>{x}</p><p>Shared passage</p></article>"
     one, two = art("The first has its own long text, as articles do."), art("Another, with words of another kind and length.")
-    three = "<article><p>Read our newsletter</p><p>The third is alone with its words here.</p></article>"
-    assert text_of(two, one, three) == "Another, with words of another kind and length.\nShared passage"
-    assert text_of(two, one) == text_of(two) == text_of(two, two, two)
+    three, four, five = (f"<article><p>Read our newsletter</p><p>{x} is alone with its words here.</p></article>" for x in "xyz")
+    assert text_of(two, one, three, four, five) == "Another, with words of another kind and length.\nShared passage"
+    assert text_of(two, one, three, four) == text_of(two, one) == text_of(two) == text_of(two, *[two] * 5)
 
 
 @pytest.mark.parametrize("n", [300, 700])
@@ -157,13 +158,16 @@ def test_result_does_not_depend_on_partitions(spark, seed):
     ordered = sorted(rows, key=place)
     want = []
     for k, r in enumerate(ordered):
-        near = [(x, html_text.common_prefix(place(x)[1], place(r)[1])) for x in (*ordered[max(0, k - 1) : k], *ordered[k + 1 : k + 2]) if place(x)[0] == place(r)[0]]
-        near.sort(key=lambda x: -x[1])
-        want.append((r[0], r[1], text_of(r[2], *(x[2] for x, _ in near))))
+        around = [(j, x) for j, x in enumerate(ordered) if 0 < abs(j - k) <= 4 and place(x)[0] == place(r)[0]]
+        beside = sorted((y for y in around if abs(y[0] - k) == 1), key=lambda y: -html_text.common_prefix(place(y[1])[1], place(r)[1]))
+        own, *others = ([b for b in html_text.blocks(x[2]) if not b.away] for x in (r, *(y[1] for y in beside)))
+        shared = [{i for i, _ in html_text.common_subsequence([b.text for b in own], [b.text for b in o])} for o in others]
+        lines = [frozenset(b.text for b in html_text.blocks(y[1][2]) if not b.away) for y in around]
+        want.append((r[0], r[1], html_text._text(own, shared, lines)))
     want.sort(key=repr)
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        for n in (1, 3, 8):
+        for n in (1, 3, 8, 40):
             spark.conf.set("spark.sql.shuffle.partitions", n)
             df = spark.createDataFrame(rows, "page_id int, url string, html string, text string").repartition(n)
             got = [tuple(r) for r in html_text.with_main_text(df).collect()]
