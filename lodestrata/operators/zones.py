@@ -23,8 +23,11 @@ def morsel(ordinal: Column | str) -> Column:
     return F.floor(F.col(ordinal) / MORSEL_ROWS if isinstance(ordinal, str) else ordinal / MORSEL_ROWS).cast("long")
 
 
-def zone_stats(df: DataFrame, zone: list[str], columns: list[str]) -> DataFrame:
-    """One row per zone: ``rows``, and for each column ``c__nulls``, ``c__min``, ``c__max``, ``c__nan``."""
+def zone_stats(df: DataFrame, zone: list[str], columns: list[str], sums: bool = False) -> DataFrame:
+    """One row per zone: ``rows``, and for each column ``c__nulls``, ``c__min``, ``c__max``, ``c__nan``.
+
+    With ``sums``, integers and decimals also have ``c__sum``, exact, and truth values ``c__true`` and ``c__false`` instead.
+    """
     kinds = dict(df.dtypes)
     aggs = [F.count("*").alias("rows")]
     for c in columns:
@@ -32,9 +35,20 @@ def zone_stats(df: DataFrame, zone: list[str], columns: list[str]) -> DataFrame:
         v = F.when(~F.isnan(c), F.col(c)) if real else F.col(c)
         nan = F.max(F.coalesce(F.isnan(c), F.lit(False))) if real else F.lit(False)
         aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"), F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max"), nan.alias(f"{c}__nan")]
+        if sums and (exact := exact_sum_type(kinds[c])):
+            aggs.append(F.sum(F.col(c).cast(exact)).alias(f"{c}__sum"))
+        if sums and kinds[c] == "boolean":
+            aggs += [F.count_if(F.col(c)).alias(f"{c}__true"), F.count_if(~F.col(c)).alias(f"{c}__false")]
     return df.groupBy(*zone).agg(*aggs)
 
 
+def exact_sum_type(kind: str) -> str | None:
+    """The decimal type in which sums of a type are exact: as many places as the type has, 38 digits in all."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return "decimal(38,0)"
+    return f"decimal(38,{kind.rpartition(',')[2].rstrip(')')})" if kind.startswith("decimal") else None
+
+
 def describe_zones(df: DataFrame, zone: list[str], column: str) -> DataFrame:
     """Statistics of one column with flags: constant, all null, has NaN, distinct values."""
     s = zone_stats(df, zone, [column]).join(df.groupBy(*zone).agg(F.count_distinct(column).alias("distinct")), zone)
@@ -207,6 +221,39 @@ def z_order(*ranks: Column, bits: int = 16) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
+def hilbert(x: Column, y: Column, bits: int = 16) -> Column:
+    """Place along a Hilbert curve of non-negative integer columns below 2**bits: near keys are near in both."""
+    one = F.lit(1).cast("long")
+    start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
+
+    def turn(a: Column, i: Column) -> Column:
+        side = F.call_function("shiftleft", one, i)
+        rx, ry = (F.when(a[c].bitwiseAND(side) > 0, 1).otherwise(0) for c in "xy")
+        last = F.lit((1 << bits) - 1).cast("long")
+        step = a["d"] + side * side * (rx * 3).bitwiseXOR(ry)
+        flip = (ry == 0) & (rx == 1)
+        u, v = F.when(flip, last - a["x"]).otherwise(a["x"]), F.when(flip, last - a["y"]).otherwise(a["y"])
+        return F.struct(F.when(ry == 0, v).otherwise(u).alias("x"), F.when(ry == 0, u).otherwise(v).alias("y"), step.cast("long").alias("d"))
+
+    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, turn, lambda a: a["d"])
+
+
+#: Steps of a column's range along a curve.
+_STEPS = 64
+
+
+def with_curve(df: DataFrame, out: str, columns: tuple[str, ...], kind: str = "z") -> DataFrame:
+    """Add a clustering key along a curve over columns of numbers or times; each is cut into steps of about equal counts, nulls first."""
+    numbers = [F.col(c).cast("timestamp").cast("double") if t.startswith(("timestamp", "date")) else F.col(c).cast("double") for c, t in ((c, dict(df.dtypes)[c]) for c in columns)]
+    marks = df.agg(*(F.percentile_approx(n, [i / _STEPS for i in range(1, _STEPS)], 1000).alias(f"m{i}") for i, n in enumerate(numbers))).first()
+    ranks = []
+    for n, cuts in zip(numbers, marks):
+        cuts = F.array(*(F.lit(float(x)) for x in sorted(set(cuts or ()))))
+        ranks.append(F.coalesce(F.size(F.filter(cuts, lambda c, n=n: c <= n)), F.lit(0)).cast("long"))
+    bits = (_STEPS - 1).bit_length()
+    return df.withColumn(out, hilbert(*ranks, bits=bits) if kind == "hilbert" else z_order(*ranks, bits=bits))
+
+
 def synopsis_outcome(proves_no_match: Column, usable: Column) -> Column:
     """What a caller's synopsis says of a zone: a stale or corrupt one says nothing."""
     return F.when(~F.coalesce(usable, F.lit(False)), UNKNOWN).when(proves_no_match, NO).otherwise(SOME)

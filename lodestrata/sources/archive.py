@@ -1,8 +1,10 @@
 """Immutable archives: clustered Parquet with metadata tables beside it, and exports.
 
-Layout: ``<path>/data`` (Parquet), ``<path>/zones`` (statistics by file and
-row-group-sized block), ``<path>/manifest`` (one row per data file). Metadata is
-advisory: it is checked when used, and a scan without it gives the same rows.
+Layout: ``<path>/data`` (Parquet), ``<path>/zones`` (statistics and sums by file and
+block of rows), ``<path>/manifest`` (one row per data file), ``<path>/schema``, and
+where asked for ``<path>/histograms/<column>`` and ``<path>/index/<column>``. All of it
+is made in a new folder that then takes the archive's place. Metadata is advisory: it
+holds for a file only while the file's length and time are those it was made from.
 """
 
 from __future__ import annotations
@@ -13,14 +15,29 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.functions.predicates import to_column
 from lodestrata.operators import zones as Z
 
+from . import metadata, storage
 from .tables import ArchiveError, detect_format, read_any
 
+#: Files up to this many bytes have a digest of their bytes; larger ones are known by their rows' hashes.
+DIGEST_BYTES = 256_000_000
+#: Distinct values of a column for which ``auto`` makes a histogram.
+AUTO_VALUES = 1000
+
 
 @dataclass(frozen=True)
 class WriteOptions:
-    """``cluster_by``: sort columns; ``partition_by``: folder columns; ``bloom``: columns with a Bloom filter; ``statistics``: columns with zone statistics (None: all that can be ordered)."""
+    """How an archive is laid out and what metadata it gets.
+
+    ``cluster_by``: sort columns; ``curve``: columns whose z-order (or, for two,
+    ``curve_kind="hilbert"``) key rows are sorted by instead; ``partition_by``: folder
+    columns; ``bloom``: columns with a Bloom filter; ``statistics``: columns with zone
+    statistics (None: all that can be ordered); ``histograms`` and ``indexes``: columns,
+    or ``"none"``, or for histograms ``"auto"``: every scalar column of few values;
+    ``zone_rows``: rows of a zone. Row groups are Parquet's own.
+    """
 
     cluster_by: tuple[str, ...] = ()
     partition_by: tuple[str, ...] = ()
@@ -28,8 +45,25 @@ class WriteOptions:
     statistics: tuple[str, ...] | None = None
     compression: str = "zstd"
     partitions: int | None = None
-    zone_rows: int = Z.MORSEL_ROWS
+    zone_rows: int = 131_072
     mode: str = "errorifexists"
+    histograms: tuple[str, ...] | str = ()
+    indexes: tuple[str, ...] | str = ()
+    curve: tuple[str, ...] = ()
+    curve_kind: str = "z"
+
+    def check(self, df: DataFrame) -> WriteOptions:
+        if self.mode not in ("errorifexists", "error", "overwrite", "ignore", "append") or self.curve_kind not in ("z", "hilbert") or self.zone_rows < 1:
+            raise ArchiveError("bad_option", str(self))
+        for name in ("histograms", "indexes"):
+            if isinstance(v := getattr(self, name), str) and v not in (("none", "auto") if name == "histograms" else ("none",)):
+                raise ArchiveError("bad_option", f"{name}: {v}")
+        named = {*self.cluster_by, *self.partition_by, *self.bloom, *self.curve, *(self.statistics or ()), *(() if isinstance(self.histograms, str) else self.histograms), *(() if isinstance(self.indexes, str) else self.indexes)}
+        if missing := sorted(named - set(df.columns)):
+            raise ArchiveError("unknown_column", missing[0])
+        if self.curve_kind == "hilbert" and len(self.curve) not in (0, 2):
+            raise ArchiveError("bad_option", "a Hilbert curve runs over two columns")
+        return self
 
 
 def storable(df: DataFrame) -> DataFrame:
@@ -45,26 +79,71 @@ def _orderable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.NullType)) and kind.simpleString() not in ("variant", "interval")
 
 
+def clustered(df: DataFrame, o: WriteOptions) -> DataFrame:
+    """Rows ranged over the cluster and sorted, by columns or along a curve."""
+    n = (o.partitions,) if o.partitions else ()
+    if o.curve:
+        key = "__curve"
+        return Z.with_curve(df, key, o.curve, o.curve_kind).repartitionByRange(*n, key).sortWithinPartitions(*o.partition_by, key).drop(key)
+    if o.cluster_by:
+        return df.repartitionByRange(*n, *o.cluster_by).sortWithinPartitions(*o.partition_by, *o.cluster_by)
+    return df.repartition(o.partitions) if o.partitions else df
+
+
 def write(df: DataFrame, path: str, options: WriteOptions | None = None) -> None:
-    """Write an archive: rows ranged and sorted by the cluster columns, then statistics and manifest from what was written."""
-    o, spark = options or WriteOptions(), df.sparkSession
+    """Write an archive: data, then the metadata of what was written, and then put it in place as a whole.
+
+    ``append`` adds files to the data; they have no metadata, and so are always read, until :func:`refresh`.
+    """
+    o, spark = (options or WriteOptions()).check(df), df.sparkSession
     df = storable(df)
-    if o.cluster_by:
-        n = (o.partitions,) if o.partitions else ()
-        df = df.repartitionByRange(*n, *o.cluster_by).sortWithinPartitions(*o.partition_by, *o.cluster_by)
-    w = df.write.mode(o.mode).option("compression", o.compression).option("parquet.block.row.count.limit", o.zone_rows)
+    storage.recover(spark, path)
+    there = storage.exists(spark, path)
+    if there and o.mode in ("errorifexists", "error"):
+        raise ArchiveError("exists", path)
+    if there and o.mode == "ignore":
+        return
+    append = there and o.mode == "append"
+    target = path if append else f"{path}.new-{storage.uuid.uuid4().hex}"
+    w = clustered(df, o).write.mode("append").option("compression", o.compression)
     for c in o.bloom:
         w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
-    (w.partitionBy(*o.partition_by) if o.partition_by else w).parquet(f"{path}/data")
+    (w.partitionBy(*o.partition_by) if o.partition_by else w).parquet(f"{target}/data")
+    if not append:
+        _describe(spark, target, o)
+        storage.replace(spark, target, path)
+
+
+def refresh(spark: SparkSession, path: str, options: WriteOptions | None = None) -> None:
+    """Make the metadata again from the data files as they are."""
+    _describe(spark, path, options or WriteOptions())
+
+
+def _describe(spark: SparkSession, path: str, o: WriteOptions) -> None:
     rows = with_places(spark, path, o.zone_rows)
-    columns = [f.name for f in df.schema if _orderable(f.dataType) and (o.statistics is None or f.name in o.statistics)]
-    Z.zone_stats(rows, ["file", "zone"], columns).write.mode("overwrite").parquet(f"{path}/zones")
-    manifest(spark, f"{path}/data", rows).write.mode("overwrite").parquet(f"{path}/manifest")
+    kept = spark.read.parquet(f"{path}/data").schema
+    columns = [f.name for f in kept if _orderable(f.dataType) and (o.statistics is None or f.name in o.statistics)]
+    first = Z.zone_stats(rows, ["file", "zone"], columns, sums=True).withColumn("row_start", F.col("zone") * o.zone_rows)
+    first.coalesce(1 if (storage.few(spark, f"{path}/data") or None) else 64).write.mode("overwrite").parquet(f"{path}/zones")
+    manifest(spark, f"{path}/data", rows.drop("row_index", "zone")).coalesce(1 if (storage.few(spark, f"{path}/data") or None) else 64).write.mode("overwrite").parquet(f"{path}/manifest")
+    spark.createDataFrame([(kept.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
+    names = [] if o.histograms == "none" else o.histograms
+    if o.histograms == "auto":
+        scalar = [c for c in columns if c not in o.partition_by]
+        few = rows.agg(*(F.approx_count_distinct(c).alias(c) for c in scalar)).first() if scalar else {}
+        names = [c for c in scalar if few[c] <= AUTO_VALUES]
+    for c in names:
+        hist = rows.where(F.col(c).isNotNull()).groupBy("file", "zone", F.col(c).alias("key")).agg(F.count("*").alias("n"))
+        hist.write.mode("overwrite").parquet(f"{path}/histograms/{c}")
+    for c in () if isinstance(o.indexes, str) else o.indexes:
+        # sorted by key, so that row-group statistics prune lookups
+        keys = rows.where(F.col(c).isNotNull()).select(F.col(c).alias("key"), "file", "row_index")
+        keys.repartitionByRange("key").sortWithinPartitions("key", "file", "row_index").write.mode("overwrite").parquet(f"{path}/index/{c}")
 
 
 def _file() -> Column:
     """The name of a row's file below the data folder."""
-    return F.regexp_extract("_metadata.file_path", "/data/(.*)$", 1)
+    return storage.below("_metadata.file_path")
 
 
 def with_places(spark: SparkSession, path: str, zone_rows: int = Z.MORSEL_ROWS) -> DataFrame:
@@ -73,50 +152,115 @@ def with_places(spark: SparkSession, path: str, zone_rows: int = Z.MORSEL_ROWS)
     return df.select("*", _file().alias("file"), F.col("_metadata.row_index").alias("row_index")).withColumn("zone", F.expr(f"row_index div {zone_rows}"))
 
 
-def read(spark: SparkSession, path: str, predicate: dict | None = None) -> DataFrame:
-    """Scan an archive. With a predicate, zones that cannot match are left out first; missing statistics mean a full scan."""
+def read(spark: SparkSession, path: str, predicate: dict | None = None, *, use_index: bool = True) -> DataFrame:
+    """Scan an archive. With a predicate, only files that may match are opened, as statistics and indexes prove; the predicate is then applied in full.
+
+    Files without valid metadata (new, rewritten) are always read, and metadata of
+    files that are gone says nothing: the rows are those of a full scan.
+    """
+    storage.recover(spark, path)
     if predicate is None:
         return spark.read.parquet(f"{path}/data")
-    try:
-        stats = spark.read.parquet(f"{path}/zones")
-    except Exception:  # advisory: no statistics, no pruning
-        stats = None
-    df = with_places(spark, path)
-    return Z.pruned_scan(df, ["file", "zone"], stats, predicate).drop("file", "row_index", "zone")
+    a = metadata.opened(spark, path)
+    if a is None:
+        return spark.read.parquet(f"{path}/data").where(to_column(predicate))
+    return metadata.scan(a, predicate, metadata.survey(a, predicate, use_index))
 
 
 def manifest(spark: SparkSession, data: str, rows: DataFrame | None = None) -> DataFrame:
-    """(file, bytes, sha256, rows) of each data file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(data)
-    ident = files.select(_file().alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(file, bytes, modified, sha256, content, rows) of each data file.
+
+    ``sha256`` is over the bytes of files up to DIGEST_BYTES, which Spark reads whole;
+    ``content`` is a sum of hashes of the rows, whatever the file's size, and needs no
+    file in one piece.
+    """
+    own = storage.listing(spark, data)
+    name = data.rstrip("/").rpartition("/")[2]
+    bytes_ = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(data).where(F.col("length") <= DIGEST_BYTES)
+    digests = bytes_.select(F.regexp_extract("path", f"/{name}/(.*)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    ident = own.join(digests, "file", "left")
     if rows is None:
         return ident
-    return ident.join(rows.groupBy("file").agg(F.count("*").alias("rows")), "file", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    cells = [F.to_json(f"`{f.name}`") if "map" in f.dataType.simpleString() or f.dataType.simpleString() == "variant" else F.col(f"`{f.name}`") for f in rows.schema if f.name != "file"]
+    counted = rows.groupBy("file").agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*cells).cast("decimal(38,0)")).cast("string").alias("content"))
+    return ident.join(counted, "file", "left").select("file", "bytes", "modified", "sha256", "content", F.coalesce("rows", F.lit(0)).alias("rows"))
+
 
+def verify(spark: SparkSession, path: str, *, deep: bool = True) -> DataFrame:
+    """(file, finding) of each file that differs from the manifest: missing, unknown, length, digest, or (not ``deep``) time.
 
-def verify(spark: SparkSession, path: str) -> DataFrame:
-    """(file, finding) of each file that differs from the manifest: missing, unknown, or with another length or digest."""
-    want, have = spark.read.parquet(f"{path}/manifest"), manifest(spark, f"{path}/data")
+    ``deep`` reads the files: digests of bytes, and hashes of rows where a file has none.
+    """
+    want = spark.read.parquet(f"{path}/manifest")
+    if deep:
+        have = manifest(spark, f"{path}/data", with_places(spark, path).drop("row_index", "zone"))
+    else:
+        have = storage.listing(spark, f"{path}/data").withColumns({"sha256": F.lit(None).cast("string"), "content": F.lit(None).cast("string")})
     w, h = want.alias("w"), have.alias("h")
     both = w.join(h, F.col("w.file") == F.col("h.file"), "full")
-    finding = F.when(F.col("h.file").isNull(), "missing").when(F.col("w.file").isNull(), "unknown").when(F.col("w.bytes") != F.col("h.bytes"), "length").when(F.col("w.sha256") != F.col("h.sha256"), "digest")
+    unlike = F.coalesce(F.col("w.sha256") != F.col("h.sha256"), F.col("w.content") != F.col("h.content")) if deep else F.lit(False)
+    finding = (
+        F.when(F.col("h.file").isNull(), "missing").when(F.col("w.file").isNull(), "unknown").when(F.col("w.bytes") != F.col("h.bytes"), "length")
+        .when(unlike, "digest").when(F.lit(not deep) & (F.col("w.modified") != F.col("h.modified")), "time")
+    )
     return both.select(F.coalesce("w.file", "h.file").alias("file"), finding.alias("finding")).where("finding is not null")
 
 
-def scan_manifest(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:
-    """Scan the files that a manifest lists. A file that is not what it says is an error, or where not strict, is read all the same."""
-    bad = verify(spark, path).where("finding <> 'unknown'")
+def scan_manifest(spark: SparkSession, path: str, *, strict: bool = True, deep: bool = False) -> DataFrame:
+    """Scan the files that a manifest lists, and no others. A file that is not what it says is an error, or where not strict, is read all the same."""
+    bad = verify(spark, path, deep=deep).where("finding <> 'unknown'")
     if strict and (first := bad.first()):
         raise ArchiveError("file_identity", f"{first.file}: {first.finding}")
     listed = spark.read.parquet(f"{path}/manifest").select("file")
-    df = spark.read.parquet(f"{path}/data").withColumn("__f", _file())
+    names = [r.file for r in listed.limit(metadata.NAMED_FILES + 1).collect()]
+    data = f"{path}/data"
+    if len(names) <= metadata.NAMED_FILES:
+        now = storage.few(spark, data)
+        names = [n for n in names if now is None or n in now]
+        schema = spark.read.parquet(data).schema
+        return spark.read.schema(schema).option("basePath", data).parquet(*(f"{data}/{n}" for n in names)) if names else spark.createDataFrame([], schema)
+    df = spark.read.parquet(data).withColumn("__f", _file())
     return df.join(listed.withColumnRenamed("file", "__f"), "__f", "left_semi").drop("__f")
 
 
+def scan_listed(spark: SparkSession, root: str, files: DataFrame | list[dict], *, strict: bool = True) -> DataFrame:
+    """Scan the files of a dataset manifest: rows (uri, bytes, and optionally sha256), URIs absolute or relative to ``root``.
+
+    ``strict``: a file that is missing or of another length or digest is an error;
+    else such entries are taken as they are, and one that is missing is left out. A
+    stale entry never leaves a file out.
+    """
+    rows = files if isinstance(files, list) else [r.asDict() for r in files.limit(metadata.NAMED_FILES + 1).collect()]
+    if len(rows) > metadata.NAMED_FILES:
+        raise ArchiveError("manifest_too_long", str(len(rows)))
+    paths = []
+    for r in rows:
+        uri = r["uri"] if "://" in r["uri"] or r["uri"].startswith("/") else f"{root.rstrip('/')}/{r['uri']}"
+        found = storage.stamp(spark, uri)
+        wrong = "missing" if found is None else "length" if r.get("bytes") is not None and found[0] != r["bytes"] else None
+        if wrong is None and strict and r.get("sha256"):
+            wrong = None if spark.read.format("binaryFile").load(uri).select(F.sha2("content", 256)).first()[0] == r["sha256"] else "digest"
+        if wrong and strict:
+            raise ArchiveError("file_identity", f"{r['uri']}: {wrong}")
+        if found is not None:
+            paths.append(uri)
+    if not paths:
+        raise ArchiveError("empty_listing", root)
+    return spark.read.parquet(*paths)
+
+
 def describe_layout(spark: SparkSession, path: str) -> DataFrame:
-    """Files with their rows, bytes and zones."""
+    """Files with their rows, bytes and zones, and whether their metadata holds."""
     n = spark.read.parquet(f"{path}/zones").groupBy("file").agg(F.count("*").alias("zones"))
-    return spark.read.parquet(f"{path}/manifest").join(n, "file", "left").select("file", "rows", "bytes", F.coalesce("zones", F.lit(0)).alias("zones"))
+    now = storage.listing(spark, f"{path}/data").withColumn("valid", F.lit(True))
+    return spark.read.parquet(f"{path}/manifest").join(n, "file", "left").join(now, ["file", "bytes", "modified"], "left").select("file", "rows", "bytes", F.coalesce("zones", F.lit(0)).alias("zones"), F.coalesce("valid", F.lit(False)).alias("valid"))
+
+
+def scan_splits(spark: SparkSession, path: str, target_rows: int) -> DataFrame:
+    """(split, file, zone, row_start, rows): zones dealt to splits of about ``target_rows`` rows, in file order, none across files."""
+    z = spark.read.parquet(f"{path}/zones").select("file", "zone", "row_start", "rows")
+    before = F.sum("rows").over(Window.partitionBy("file").orderBy("zone")) - F.col("rows")
+    return z.withColumn("split", F.concat_ws("#", "file", F.floor(before / target_rows).cast("string")))
 
 
 def trust_chain(df: DataFrame, segment: list[str], order: list[str], payload: Column, seed: str = "") -> DataFrame:
