@@ -77,3 +77,36 @@ def test_slices_change_nothing(monkeypatch):
     for step in (1, 7, 100, 10_000):
         monkeypatch.setattr(bytewords, "STEP", step)
         assert (bytewords.word_hashes(raw, a, b) == want).all()
+
+
+def test_partitions_skip_what_cannot_fit():
+    """Each size partition has its own sketch; a document too small for one is not looked up there."""
+    rnd = random.Random(2)
+    items = [(k, " ".join(f"p{k}x{i}" for i in range(n))) for k, n in enumerate([2, 5, 9, 12, 40, 200, 1000])]
+    s = decontam.Sketches(items, 5, 0.8)
+    assert set(s.parts[5]) == {decontam.partition_of(len(grams(t))) for _, t in items[1:]} and set(s.parts[2]) == {0}
+    for n, parts in s.parts.items():
+        for k, part in parts.items():
+            mine = [x for x in s.items if len(next(iter(x[1]))) == n and decontam.partition_of(len(x[1])) == k]
+            assert part.least == min(x[2] for x in mine) and {i for v in part.probes.values() for i in v} == {s.items.index(x) for x in mine}
+            assert part.top == max(part.probes)
+    asked = []
+    for parts in s.parts.values():
+        for k, part in parts.items():
+            part.probes = type("D", (dict,), {"get": lambda self, h, d=(), k=k: asked.append(k) or dict.get(self, h, d)})(part.probes)
+    assert {h[1] for h in s.search([items[2][1], items[3][1] + " and more"])} == {2, 3}
+    # ten shingles hold nothing of forty and more
+    assert asked and max(asked) <= 4
+    words = [w for _, t in items[3:] for w in t.split()]
+    docs = [" ".join(items[k][1] if rnd.random() < 0.5 else " ".join(rnd.choice(words) for _ in range(60)) for k in rnd.sample(range(7), 3)) for _ in range(40)]
+    assert {(d, i, a, b) for d, i, a, b in s.search(docs)} == brute(list(enumerate(docs)), items)
+
+
+def test_joined_and_sent_are_equal_for_nulls_and_copies(spark):
+    passage = " ".join(f"q{i}" for i in range(30))
+    docs = [(None, f"x {passage} y"), (None, f"x {passage} y"), (None, "none"), (1, passage), (1, passage), (1, f"{passage} {passage}"), (2, None), (3, "")]
+    items = [(7, passage), (7, passage + " end"), (None, passage), (8, "none"), (9, "")]
+    df, bench = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    sent, joined = (sorted((tuple(r) for r in decontam.contained(df, bench, block_words=n).collect()), key=str) for n in (10**6, 1))
+    assert sent == joined and len(sent) == 3 * 5 + 1
+    assert decontam.contained(df.where("false"), bench, block_words=1).count() == 0
