@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -23,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Where the session has no such setting (tests, single machine), one
-    temporary folder is made, set, and removed when Python ends.
+    Where a session on one machine has no such setting (tests), one temporary
+    folder is made, set, and removed when Python ends. On a cluster executors would
+    write to disks of their own: there the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="lodestrata-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
@@ -47,6 +51,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the session delete the shuffle files of finished steps now.
+
+    It does so when the driver's JVM collects the plans that made them, which on a
+    large heap can take until the disks are full.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a ``materialize()`` result that nothing will read again."""
     spark = df.sparkSession

@@ -20,6 +20,12 @@ all documents share, arrive once per task, not once per document.
 Strings are dealt in two rounds. The first sends only their digits and places,
 a few bytes each; what one document has alone ends there. Only the strings whose
 digit two documents have are then cut from their texts and sent in full.
+
+A digit that very many strings have (a common phrase in ever other surroundings) is
+split by the next pass of the radix order before it is dealt: the gram with the
+bytes before it names a bucket for windows that begin well before the gram, the
+gram with the bytes after it one for the others. Of the strings that share a digit
+within one task, two go to the first round, to tell all others.
 """
 
 from __future__ import annotations
@@ -36,11 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords
-from .common import materialize
+from .common import materialize, release
 
 GRAM = 20
 #: Text bytes whose strings leave a task together; text bytes of a bucket; window starts of a long text that are taken at once.
 FLUSH, BUCKET, SEGMENT = 16_000_000, 4_000_000, 4_000_000
+#: Strings of one digit in one flush, and in one bucket, from which on the digit is split; partitions at most.
+HOT_FLUSH, HOT_BUCKET, PARTITIONS = 64, 20_000, 20_000
 NO_ID = 2**63 - 1
 _VALUE_BITS = 40
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -58,6 +66,35 @@ def gram_values(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return bytewords.mix(total) >> np.uint64(64 - _VALUE_BITS)
 
 
+def wide_values(raw: np.ndarray, at: np.ndarray, wide: int, right: np.ndarray) -> np.ndarray:
+    """The 40-bit values of the ``wide`` bytes from ``at``, apart by side."""
+    up, total = bytewords._power_tables(1 << 16)[0], right.astype(np.uint64) * _MULT
+    for i in range(wide):
+        total += bytewords._VALUE[raw[at + i]] * up[i]
+    return bytewords.mix(bytewords.mix(total)) >> np.uint64(64 - _VALUE_BITS)
+
+
+def split(raw: np.ndarray, start: np.ndarray, length: np.ndarray, value: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """(string, start, length, place, right): runs of windows whose first gram of the string's value lies at one place, on one side.
+
+    ``place`` counts from the run's start and is that of the bytes that name the run: the gram with those before it, or (``right``) after it.
+    """
+    beside = (depth - GRAM) // 2
+    at, of = flat(start, length - GRAM + 1), np.repeat(np.arange(len(start)), length - GRAM + 1)
+    hit = np.flatnonzero(gram_values(raw, at) == value[of])
+    # the strings are told apart by adding room between them
+    room = int(length.max(initial=0)) + 1
+    marks = (at - start[of])[hit] + of[hit] * room
+    w, w_of = flat(np.zeros(len(start), np.int64), length - depth + 1), np.repeat(np.arange(len(start)), length - depth + 1)
+    gram = marks[np.searchsorted(marks, w + w_of * room)] - w_of * room
+    right = gram - w < beside
+    place = np.where(right, gram, gram - beside)
+    new = np.concatenate(([True], (w_of[1:] != w_of[:-1]) | (place[1:] != place[:-1]) | (right[1:] != right[:-1])))[: len(w)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(w)) - 1
+    return w_of[first], w[first], w[last[: len(first)]] - w[first] + depth, place[first] - w[first], right[first]
+
+
 def strings_of(raw: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, value, place): maximal runs of windows in one text whose smallest gram value is the same, as byte spans.
 
@@ -208,8 +245,8 @@ def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-def _deal(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, bases: np.ndarray, depth: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, kind, blob) of one flush: kind 0 holds strings, kind 1 spans that are resolved already. ``bases``: where each text starts in its document."""
+def _deal(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, bases: np.ndarray, depth: int, buckets: int, many_here: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, kind, blob) of one flush: kind 0 holds strings, kind 1 spans that are resolved already, kind 2 strings whose digit is known to be shared. ``bases``: where each text starts in its document."""
     part = []
     base = 0
     raws = []
@@ -243,9 +280,24 @@ def _deal(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, bases: np.ndarr
         yield int(xxhash.xxh32_intdigest(struct.pack("<qq", int(ids[0]), len(texts)))) % buckets, 1, _pack(ids[text[m][f]], keys[text[m][f]], a[f], ends)
     travels = np.ones(len(start), bool)
     travels[me] = False
+    x = np.flatnonzero(travels)
+    hot = np.zeros(len(start), bool)
+    if len(x):
+        # of a digit that many strings here have, the first and the last document's go on for all
+        by = x[np.lexsort((doc[x], value[x]))]
+        first = np.flatnonzero(np.concatenate(([True], value[by][1:] != value[by][:-1])))
+        last = np.append(first[1:], len(by)) - 1
+        many = (last - first >= many_here - 1) & (doc[by[first]] != doc[by[last]])
+        hot[by[np.repeat(many, last - first + 1)]] = True
+        known = hot.copy()
+        known[by[first]] = known[by[last]] = False
+        travels &= ~known
+        x = np.flatnonzero(known)
+        if len(x):
+            yield int(xxhash.xxh32_intdigest(struct.pack("<qq", int(ids[-1]), len(texts)))) % buckets, 2, _pack(doc[x], keys[text[x]].astype("<u4"), offset[x].astype("<i4"), length[x].astype("<i4"), place[x].astype("u1"))
     for b, x in _by_bucket(np.flatnonzero(travels), value, buckets):
         docs, local = np.unique(text[x], return_inverse=True)
-        yield b, 0, _pack(np.diff(ids[docs], prepend=np.int64(0)), keys[docs].astype("<u4"), np.diff(local, prepend=0).astype("<i4"), offset[x].astype("<i4"), length[x].astype("<i4"), place[x].astype("u1"), (value[x] & np.uint64(0xFFFFFFFF)).astype("<u4"))
+        yield b, 0, _pack(np.diff(ids[docs], prepend=np.int64(0)), keys[docs].astype("<u4"), np.diff(local, prepend=0).astype("<i4"), offset[x].astype("<i4"), length[x].astype("<i4"), place[x].astype("u1"), (value[x] & np.uint64(0xFFFFFFFF)).astype("<u4"), hot[x].astype("u1"))
 
 
 def _by_bucket(items: np.ndarray, value: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -258,27 +310,48 @@ def _by_bucket(items: np.ndarray, value: np.ndarray, buckets: int) -> Iterator[t
         yield int(bucket[a]), items[a:b]
 
 
-def _several(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(id, key, offset, length, place) of the strings whose digit more than one document has."""
+def _several(blobs: list[bytes], many: int) -> tuple[np.ndarray, ...]:
+    """(id, key, offset, length, place and 256 if the digit is to be split) of the strings whose digit more than one document has."""
     parts = []
     for blob in blobs:
-        d, k, local, off, n, place, value = _unpack(blob, "<i8", "<u4", "<i4", "<i4", "<i4", "u1", "<u4")
+        d, k, local, off, n, place, value, hot = _unpack(blob, "<i8", "<u4", "<i4", "<i4", "<i4", "u1", "<u4", "u1")
         local = np.cumsum(local)
-        parts.append((np.cumsum(d)[local], k[local], off, n, place, value))
-    doc, key, offset, length, place, value = (np.concatenate(x) for x in zip(*parts))
-    order, _ = refine(np.arange(len(doc)), np.zeros(len(doc), np.int64), value, doc)
+        parts.append((np.cumsum(d)[local], k[local], off, n, place, value, hot))
+    doc, key, offset, length, place, value, hot = (np.concatenate(x) for x in zip(*parts))
+    order, group = refine(np.arange(len(doc)), np.zeros(len(doc), np.int64), value, doc)
+    times = np.bincount(group, minlength=1)
+    wide = (times >= many) | (np.bincount(group, weights=hot[order], minlength=1) > 0)
+    place = place.astype(np.int64)
+    place[order] += 256 * wide[group]
     order = np.sort(order)
     return doc[order], key[order], offset[order], length[order], place[order]
 
 
-def _strings(texts: list[np.ndarray], ids: np.ndarray, keys: np.ndarray, places: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[tuple[int, bytes]]:
+#: Marks in a place's byte: the digit is the next pass's, and its bytes are after the gram.
+_WIDE, _RIGHT = 128, 64
+
+
+def _strings(texts: list[np.ndarray], ids: np.ndarray, keys: np.ndarray, places: list[tuple[np.ndarray, ...]], buckets: int, depth: int) -> Iterator[tuple[int, bytes]]:
     """(bucket, blob) of the named strings of some texts, in full."""
     count = [len(p[0]) for p in places]
     text = np.repeat(np.arange(len(texts)), count)
     offset, length, place = (np.concatenate(x) for x in zip(*places))
     raw = np.concatenate(texts)
-    start = np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1]))[text] + offset
-    for b, x in _by_bucket(np.arange(len(text)), gram_values(raw, start + place), buckets):
+    base = np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1]))
+    hot = np.flatnonzero(place >= 256)
+    place = place % 256
+    value = gram_values(raw, base[text] + offset + place)
+    if len(hot):
+        start = base[text[hot]] + offset[hot]
+        of, at, n, p, right = split(raw, start, length[hot], value[hot], depth)
+        new = wide_values(raw, start[of] + at + p, GRAM + (depth - GRAM) // 2, right)
+        cool = np.ones(len(text), bool)
+        cool[hot] = False
+        more = (text[hot[of]], offset[hot[of]] + at, n, p | _WIDE | np.where(right, _RIGHT, 0), new)
+        text, offset, length, place, value = (np.concatenate((a[cool], b)) for a, b in zip((text, offset, length, place, value), more))
+    start = base[text] + offset
+    for b, x in _by_bucket(np.arange(len(text)), value, buckets):
+        x = x[np.lexsort((offset[x], text[x]))]
         docs, local = np.unique(text[x], return_inverse=True)
         yield b, _pack(ids[docs], keys[docs].astype("<u4"), np.diff(local, prepend=0).astype("<i4"), offset[x].astype("<i4"), length[x].astype("<i4"), place[x].astype("u1"), raw[flat(start[x], length[x])])
 
@@ -296,18 +369,22 @@ def _resolve(blobs: list[bytes], depth: int) -> tuple[np.ndarray, ...]:
         places.append(place)
         raws.append(raw)
     doc, key, offset, length, place = map(np.concatenate, (ids, keys, offsets, lengths, places))
+    place = place.astype(np.int64)
     raw = np.concatenate(raws)
     start = np.concatenate(([0], np.cumsum(length)[:-1]))
-    value = gram_values(raw, start + place)
+    value = np.zeros(len(start), np.uint64)
+    wide = place >= _WIDE
+    value[~wide] = gram_values(raw, start[~wide] + place[~wide])
+    value[wide] = wide_values(raw, start[wide] + place[wide] % _RIGHT, GRAM + (depth - GRAM) // 2, place[wide] & _RIGHT > 0)
     found, of = lowest_owner(raw, start, length, value, doc, depth)
     shift = (offset - start)[of]
     return doc[of], key[of], found[:, 0] + shift, found[:, 1] + shift
 
 
 def partitions(docs: DataFrame) -> tuple[int, int]:
-    """(partitions, buckets) in proportion to the text."""
+    """(partitions, buckets) in proportion to the text; tasks take their buckets one by one, so that partitions may be bounded."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (4 * BUCKET)))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(PARTITIONS, -(-size // (4 * BUCKET))))
     return parts, max(4 * parts, -(-size // BUCKET))
 
 
@@ -331,7 +408,7 @@ def _columns(arrays: tuple[np.ndarray, ...], names: list[str]) -> Iterator[pa.Re
 
 
 def _first_round(docs: DataFrame, depth: int, parts: int, buckets: int) -> DataFrame:
-    """(doc_id, key, kind, x, y, z): strings to send in full (kind 0: offset, length, place), covered spans (kind 1: start, end)."""
+    """(doc_id, key, kind, x, y, z): strings to send in full (kind 0: offset, length, place and 256 if the digit is split), covered spans (kind 1: start, end)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[bytes] = []
@@ -339,7 +416,7 @@ def _first_round(docs: DataFrame, depth: int, parts: int, buckets: int) -> DataF
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for bucket, kind, blob in _deal(texts, *np.array(ids, np.int64).T, depth, buckets):
+            for bucket, kind, blob in _deal(texts, *np.array(ids, np.int64).T, depth, buckets, HOT_FLUSH):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "kind", "blob"])
 
         for b in batches:
@@ -363,16 +440,21 @@ def _first_round(docs: DataFrame, depth: int, parts: int, buckets: int) -> DataF
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resolved: list[bytes] = []
+        shared: list[bytes] = []
 
         def digits_only() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                one = np.array(b.column("kind").to_numpy()) == 1
-                resolved.extend(b.column("blob").filter(pa.array(one)).to_pylist())
-                yield b.filter(pa.array(~one))
+                kind = np.array(b.column("kind").to_numpy())
+                for k, held in ((1, resolved), (2, shared)):
+                    held.extend(b.column("blob").filter(pa.array(kind == k)).to_pylist())
+                yield b.filter(pa.array(kind == 0))
 
         for blobs in _grouped(digits_only()):
-            doc, key, offset, length, place = _several(blobs)
+            doc, key, offset, length, place = _several(blobs, HOT_BUCKET)
             yield from _columns((doc, key, np.zeros(len(doc)), offset, length, place), names)
+        for blob in shared:
+            doc, key, offset, length, place = _unpack(blob, "<i8", "<u4", "<i4", "<i4", "u1")
+            yield from _columns((doc, key, np.zeros(len(doc)), offset, length, place + np.int64(256)), names)
         for blob in resolved:
             doc, key, start, end = _unpack(blob, "<i8", "<i8", "<i8", "<i8")
             yield from _columns((doc, key, np.ones(len(doc)), start, end, np.zeros(len(doc))), names)
@@ -395,6 +477,7 @@ def remove_repeats(docs: DataFrame, depth: int = 50, keep_bytes: bool = True) ->
     key = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), key.alias("key"), F.col("doc_id").isNull().alias("no"), "text")
     found = materialize(_first_round(own, depth, parts, buckets), "suffixes")
+    release(docs.sparkSession)
     # both joins below read one and the same exchange of the texts
     met = own.repartition(parts, "doc_id", "key")
     wanted = found.where("kind = 0").repartition(parts, "doc_id", "key").groupBy("doc_id", "key").agg(F.collect_list(F.struct("x", "y", "z")).alias("at"))
@@ -404,7 +487,7 @@ def remove_repeats(docs: DataFrame, depth: int = 50, keep_bytes: bool = True) ->
         ids, keys, places, seen = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for bucket, blob in _strings(texts, np.array(ids, np.int64), np.array(keys, np.int64), places, buckets):
+            for bucket, blob in _strings(texts, np.array(ids, np.int64), np.array(keys, np.int64), places, buckets, depth):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
         last = None
