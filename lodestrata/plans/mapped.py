@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import canonical as K
 from lodestrata.operators import mapping as M
-from lodestrata.operators.projection import Output, Projector, project_evidence
+from lodestrata.operators.projection import Output, Projection, Projector, project_evidence
 from lodestrata.sources.tables import read_table
 
 from .registry import query
@@ -27,11 +27,12 @@ MAPPING = M.Mapping(
 
 
 def sources(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Three sources: all customers, all orders, and a derived CRM extract, which as such extracts do knows some of the customers (every third)."""
     c, o = read_table(spark, d, "customer"), read_table(spark, d, "orders")
     return {
         "customer": c.select(F.col("c_custkey").alias("row_index"), F.col("c_name").alias("key"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation")),
         "crm": c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("row_index"), F.concat(F.lit("  "), F.upper("c_name"), F.lit(" ")).alias("key"), F.when(F.col("c_custkey") % 2 == 0, "VIP").alias("segment")),
-        "orders": o.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("row_index"), F.col("o_orderkey").alias("okey"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(15,2)").cast("string").alias("price"), F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("ckey")),
+        "orders": o.select(F.col("o_orderkey").alias("row_index"), F.col("o_orderkey").alias("okey"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(15,2)").cast("string").alias("price"), F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("ckey")),
     }
 
 
@@ -106,7 +107,7 @@ def map_candidates(spark: SparkSession, d: str) -> DataFrame:
     return M.candidates(M.identities(MAPPING, sources(spark, d))).select("source_id", "row_index", "rule_id")
 
 
-@query("SELECT 'customer' AS rule_id, c_custkey AS row_index, 'Baseline' AS record_kind FROM customer UNION ALL SELECT 'crm', c_custkey, 'Delta' FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'order', o_orderkey, 'Baseline' FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT 'customer' AS rule_id, c_custkey AS row_index, 'Baseline' AS record_kind FROM customer UNION ALL SELECT 'crm', c_custkey, 'Delta' FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'order', o_orderkey, 'Baseline' FROM orders")
 def map_objects(spark: SparkSession, d: str) -> DataFrame:
     return M.objects(M.identities(MAPPING, sources(spark, d))).select("rule_id", "row_index", "record_kind")
 
@@ -129,20 +130,20 @@ def map_conflict_reject(spark: SparkSession, d: str) -> DataFrame:
     return M.conflicts(_merged_values(spark, d).withColumn("policy", F.lit("reject_conflict"))).select("goid", "kinds")
 
 
-@query(f"WITH {IDS} SELECT o_orderkey AS row_index, goid AS target_goid FROM orders JOIN customer ON c_name = 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') JOIN ids ON ids.c_custkey = customer.c_custkey AND rule_id = 'customer' WHERE o_orderkey % 10 = 0")
+@query(f"WITH {IDS} SELECT o_orderkey AS row_index, goid AS target_goid FROM orders JOIN customer ON c_name = 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') JOIN ids ON ids.c_custkey = customer.c_custkey AND rule_id = 'customer'")
 def map_associations(spark: SparkSession, d: str) -> DataFrame:
     s = sources(spark, d)
     return M.associations(MAPPING, s, M.identities(MAPPING, s)).select("row_index", "target_goid")
 
 
-@query("SELECT kind AS output_kind, n FROM (SELECT 'object' AS kind, (SELECT count(*) FROM customer) + (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) + (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0) AS n UNION ALL SELECT 'property', 2 * (SELECT count(*) FROM customer) + (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) + 2 * (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0)) t")
+@query("SELECT kind AS output_kind, n FROM (SELECT 'object' AS kind, (SELECT count(*) FROM customer) + (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) + (SELECT count(*) FROM orders) AS n UNION ALL SELECT 'property', 2 * (SELECT count(*) FROM customer) + (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) + 2 * (SELECT count(*) FROM orders)) t")
 def map_evidence(spark: SparkSession, d: str) -> DataFrame:
     s = sources(spark, d)
     ids = M.identities(MAPPING, s)
     return M.evidence(M.objects(ids), M.resolve(M.property_values(MAPPING, s, ids))).groupBy("output_kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'Fact' AS operation, 'Baseline' AS record_kind, (SELECT count(*) FROM customer) + (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) + (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0) AS n UNION ALL SELECT 'PatchProperty', 'Delta', count(*) FROM customer WHERE c_custkey % 3 = 0")
+@query("SELECT 'Fact' AS operation, 'Baseline' AS record_kind, (SELECT count(*) FROM customer) + (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) + (SELECT count(*) FROM orders) AS n UNION ALL SELECT 'PatchProperty', 'Delta', count(*) FROM customer WHERE c_custkey % 3 = 0")
 def map_operations(spark: SparkSession, d: str) -> DataFrame:
     return M.operation_counts(MAPPING, M.identities(MAPPING, sources(spark, d)))
 
@@ -155,7 +156,7 @@ def map_governance(spark: SparkSession, d: str) -> DataFrame:
     return g.join(anchor, "goid").select("row_index", "rank", F.array_join("labels", ",").alias("labels"), F.array_join("policies", ",").alias("policies"))
 
 
-@query("WITH n AS (SELECT (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) AS m, (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0) AS o, (SELECT count(*) FROM customer WHERE c_custkey % 6 = 0) AS v) SELECT CAST(3 AS BIGINT) AS sources, c + m + o AS rows, c + m + o AS materialised, c + m + o AS objects, m AS candidates, 2 * c + v + 2 * o AS property_values, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 10 = 0) AS associations FROM n")
+@query("WITH n AS (SELECT (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) AS m, (SELECT count(*) FROM orders) AS o, (SELECT count(*) FROM customer WHERE c_custkey % 6 = 0) AS v) SELECT CAST(3 AS BIGINT) AS sources, c + m + o AS rows, c + m + o AS materialised, c + m + o AS objects, m AS candidates, 2 * c + v + 2 * o AS property_values, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey) AS associations FROM n")
 def map_report(spark: SparkSession, d: str) -> DataFrame:
     s = sources(spark, d)
     ids = M.identities(MAPPING, s)
@@ -222,6 +223,54 @@ def proj_reverse_role(spark: SparkSession, d: str) -> DataFrame:
     return model(spark, d).project([Output("id", "goid"), Output("name", "association(placed, target).name")], object_type="Order")
 
 
+def typed_model(spark: SparkSession, d: str) -> Projector:
+    """Parties and orders with typed properties, and associations with roles and a property of their own."""
+    c, o = read_table(spark, d, "customer"), read_table(spark, d, "orders")
+    text, v = lambda x: F.col(x).cast("string"), lambda x: (F.col(x) if isinstance(x, str) else x).cast("variant")
+    objs = c.select(F.concat(F.lit("c"), text("c_custkey")).alias("goid"), F.lit("Party").alias("object_type"), F.create_map(F.lit("name"), v("c_name"), F.lit("nation"), v("c_nationkey"), F.lit("code"), v(text("c_nationkey"))).alias("properties")).unionByName(
+        o.select(F.concat(F.lit("o"), text("o_orderkey")).alias("goid"), F.lit("Order").alias("object_type"), F.create_map(F.lit("status"), v(F.expr("nullif(o_orderstatus, 'P')")), F.lit("price"), v("o_totalprice"), F.lit("key"), v("o_orderkey")).alias("properties"))
+    )
+    edges = o.select(
+        F.lit("placed").alias("type"), F.concat(F.lit("c"), text("o_custkey")).alias("source_goid"), F.concat(F.lit("o"), text("o_orderkey")).alias("target_goid"), F.lpad(text("o_orderkey"), 9, "0").alias("association_goid"),
+        F.lit("buyer").alias("source_role"), F.lit("purchase").alias("target_role"), F.create_map(F.lit("urgency"), v("o_orderpriority")).alias("properties"),
+    )
+    return Projector(objs, edges)
+
+
+@query("SELECT 'c' || c_custkey AS id, min(o_totalprice) AS low, max(o_totalprice) AS high, min(o_orderkey) AS first FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def proj_minmax_numeric(spark: SparkSession, d: str) -> DataFrame:
+    return typed_model(spark, d).project([Output("id", "goid"), Output("low", "min(association(placed).price)", "double"), Output("high", "max(association(placed).price)", "double"), Output("first", "min(association(placed).key)", "bigint")], object_type="Party")
+
+
+@query("SELECT 'c' || c_custkey AS id, count(DISTINCT nullif(o_orderstatus, 'P')) AS kinds, count(nullif(o_orderstatus, 'P')) AS n, count(o_orderkey) AS edges FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def proj_distinct_null(spark: SparkSession, d: str) -> DataFrame:
+    return typed_model(spark, d).project([Output("id", "goid"), Output("kinds", "distinct_count(association(placed).status)", "bigint"), Output("n", "count(association(placed).status)", "bigint"), Output("edges", "count(association(placed))", "bigint")], object_type="Party")
+
+
+@query("SELECT 'o' || o_orderkey AS id, c_name AS buyer, o_orderpriority AS urgency, CAST(0 AS BIGINT) AS none FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def proj_named_role(spark: SparkSession, d: str) -> DataFrame:
+    return typed_model(spark, d).project([Output("id", "goid"), Output("buyer", "association(placed, purchase).name"), Output("urgency", "association(placed, purchase).urgency"), Output("none", "count(association(placed, buyer))", "bigint")], object_type="Order")
+
+
+@query("SELECT 'c' || c_custkey AS id, c_nationkey > 9 AS number_above, CAST(c_nationkey AS VARCHAR) > '9' AS text_above, c_nationkey <> 0 AS some, true AS zero_text FROM customer")
+def proj_typed_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers compare as numbers, strings of digits as text; 0 is false and the string "0" is true."""
+    columns = [Output("id", "goid"), Output("number_above", "Party.nation > 9", "boolean"), Output("text_above", "Party.code > '9'", "boolean"), Output("some", "if(Party.nation, true, false)", "boolean"), Output("zero_text", "if(Party.code, true, false)", "boolean")]
+    return typed_model(spark, d).project(columns, object_type="Party")
+
+
+@query("SELECT 'c' || c_custkey AS id, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey), '') AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def proj_ordered_list(spark: SparkSession, d: str) -> DataFrame:
+    out = typed_model(spark, d).project([Output("id", "goid"), Output("orders", "association(placed).key", policy="list", order_by="association.urgency desc, Order.price, -missing")], object_type="Party")
+    return out.select("id", F.array_join("orders", ",").alias("orders"))
+
+
+@query("SELECT lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS id, 'c' || o_custkey AS source, 'buyer' AS role, o_orderpriority AS urgency FROM orders")
+def proj_link_object(spark: SparkSession, d: str) -> DataFrame:
+    columns = (Output("id", "association.goid"), Output("source", "association.source_goid"), Output("role", "association.source_role"), Output("urgency", "placed.urgency"))
+    return typed_model(spark, d).run(Projection("links", "links", "link_object", columns, association_type="placed"))
+
+
 @query("SELECT 'customer.segment' AS assertion_id, CAST(NULL AS VARCHAR) AS absent, count(*) AS n FROM customer")
 def proj_evidence(spark: SparkSession, d: str) -> DataFrame:
     values = M.resolve(_merged_values(spark, d))
