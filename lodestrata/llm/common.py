@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -39,28 +38,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: While this is set, a query's shuffle files go when the query ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts lineage: a lost executor costs no recomputation, and what a
-    non-deterministic step has decided (row ids) stays decided.
+    non-deterministic step has decided (row ids) stays decided. The shuffle files of
+    the step are deleted, so that disks hold one step at a time.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    old = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, old)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the session delete the shuffle files of finished steps now.
-
-    It does so when the driver's JVM collects the plans that made them, which on a
-    large heap can take until the disks are full.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a ``materialize()`` result that nothing will read again."""
     spark = df.sparkSession
