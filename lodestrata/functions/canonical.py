@@ -81,7 +81,14 @@ def record_id(source: Column, row: Column, rule: Column, goid_: Column) -> Colum
 
 def row_digest(names: list[str]) -> Column:
     """Digest of the row as JSON with sorted keys, nulls kept."""
-    return F.sha2(F.to_json(F.struct(*[F.col(n) for n in sorted(names)]), {"ignoreNullFields": "false"}), 256)
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{n}`") for n in sorted(names)]), {"ignoreNullFields": "false"}), 256)
+
+
+def row_schema_digest(kinds: dict[str, str]) -> Column:
+    """Digest of a row's sorted ``name:type``, by column name -> Spark type; a null's type is null."""
+    names = {"boolean": "bool", "tinyint": "int64", "smallint": "int64", "int": "int64", "bigint": "int64", "float": "float64", "double": "float64"}
+    kind = lambda t: names.get(t) or ("list" if t.startswith("array") else "struct" if t.startswith(("struct", "map")) else "float64" if t.startswith("decimal") else "utf8")
+    return F.sha2(F.concat_ws("|", *(F.concat(F.lit(f"{n}:"), F.when(F.col(f"`{n}`").isNull(), "null").otherwise(kind(kinds[n]))) for n in sorted(kinds))), 256)
 
 
 def property_id(name: str, ordinal: int) -> int:

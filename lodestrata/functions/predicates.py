@@ -8,6 +8,7 @@ SQL's.
 from __future__ import annotations
 
 import itertools
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,7 +28,11 @@ OPS = {
     "FunctionCall": ("name", "arguments"), "Literal": ("value",), "ColumnRef": ("column",),
 }
 NULL_POLICIES = ("SqlWhere", "NullExcluded", "NullIncluded", "NullOnly", "NullRejected")
-_FUNCTIONS = {"lower": F.lower, "upper": F.upper, "trim": F.trim, "length": F.length, "abs": F.abs, "coalesce": F.coalesce}
+#: Functions of one row that a predicate may call; they depend on their arguments alone.
+_FUNCTIONS = frozenset(
+    "lower upper trim ltrim rtrim length char_length octet_length substring left right concat concat_ws replace translate reverse lpad rpad startswith endswith contains instr "
+    "abs ceil floor round sqrt power mod sign greatest least coalesce nullif nvl if year month day hour minute second date_trunc to_date cast_string md5 sha2 crc32 xxhash64 size array_contains element_at".split()
+)
 
 
 def pred(op: str, *values: object) -> dict:
@@ -102,7 +107,8 @@ def to_column(p: dict) -> Column:
         case "Literal":
             return F.lit(p["value"])
         case "FunctionCall" if p["name"] in _FUNCTIONS:
-            return _FUNCTIONS[p["name"]](*map(to_column, p["arguments"]))
+            made = [to_column(x) for x in p["arguments"]]
+            return made[0].cast("string") if p["name"] == "cast_string" else F.call_function(p["name"], *made)
     raise ArchiveError("unsupported_predicate", op)
 
 
@@ -209,10 +215,35 @@ def parse_filter(text: str) -> dict:
     if op not in _DSL or not column or (op.startswith("is_") == bool(value.strip())):
         raise ArchiveError("bad_filter", text)
     if op == "in":
-        return pred("InSet", column, [_literal(x) for x in value.strip().strip("()").split(",")])
+        inner = value.strip()
+        inner = inner[1:-1] if inner.startswith("(") and inner.endswith(")") else inner
+        return pred("InSet", column, [_literal(x) for x in re.findall(r"(?:'[^']*'|\"[^\"]*\"|[^,'\"])+", inner)])
     return pred(_DSL[op], column) if op.startswith("is_") else pred(_DSL[op], column, _literal(value))
 
 
+#: What a test costs, by operation: bitmaps, then fixed widths, then text, then functions.
+_COSTS = {**dict.fromkeys(("True", "False", "IsNull", "IsNotNull"), 0), **dict.fromkeys((*COMPARE, "Between", "InSet", "IsNaN", "IsFinite"), 1), "LikePrefix": 4, "Contains": 5, "FunctionCall": 6}
+
+
+def cost(p: dict, kinds: dict[str, str]) -> int:
+    """Rank of a predicate by its dearest part: nulls, numbers, coded text equality, other text, functions."""
+    inner = children(p)
+    if p["op"] in ("And", "Or", "Not"):
+        return max((cost(x, kinds) for x in inner), default=0)
+    own = _COSTS.get(p["op"], 6)
+    if own == 1 and kinds.get(p.get("column"), "") in ("string", "binary"):
+        own = 2 if p["op"] in ("Eq", "InSet") else 3
+    return max([own, *(cost(x, kinds) for x in inner if x["op"] in _COSTS)])
+
+
+def cost_ordered(p: dict, kinds: dict[str, str]) -> dict:
+    """The same predicate with every conjunction's parts from cheap to dear, stably; Spark tests them in this order. ``kinds``: column -> Spark type."""
+    if p["op"] in ("And", "Or"):
+        parts = [cost_ordered(x, kinds) for x in p["items"]]
+        return pred(p["op"], sorted(parts, key=lambda x: cost(x, kinds)) if p["op"] == "And" else parts)
+    return pred("Not", cost_ordered(p["item"], kinds)) if p["op"] == "Not" else p
+
+
 def classify(p: dict) -> str:
     """What a scan can promise: ``exact`` pushed comparison, ``inexact`` (prunes, residual stays), or ``unsupported``."""
     op = p["op"]

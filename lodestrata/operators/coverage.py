@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ELIGIBLE = ("ExactTight", "ExactConservative", "ProbabilisticConservative")
@@ -94,6 +94,12 @@ class CoverageCache:
         return True
 
 
+def inspect(spark: SparkSession, cache: CoverageCache) -> DataFrame:
+    """(snapshot, key, fragments) of what a cache holds."""
+    rows = [(cache.snapshot, "/".join(map(str, k)), v.count()) for k, v in cache.entries.items()]
+    return spark.createDataFrame(rows, "snapshot string, key string, fragments long")
+
+
 def choose_plan(candidates: list[dict], full_cost: float) -> dict:
     """The cheapest candidate that is proven and cheaper than the scan; else the scan. Candidates: name, cost, strength."""
     safe = [c for c in candidates if may_prune(c["strength"], c.get("under_inclusive", False)) and c["cost"] < full_cost]

@@ -7,7 +7,10 @@ expression over one row, and groups are rows with equal ids.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import json
+import re
+from dataclasses import MISSING, asdict, dataclass, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +29,10 @@ OPERATIONS = {
     "ReplaceObjectState": "Snapshot",
     **dict.fromkeys(("TombstoneObject", "TombstoneProperty", "TombstoneAssociation"), "Tombstone"),
 }
+#: What an operation does to its target, where it is not its own name in snake case, and what that is, where it is not an object.
+_EFFECTS = {"Insert": "insert_object_state", "Upsert": "upsert_object_state"}
+_TARGETS = {**dict.fromkeys(("PatchProperty", "TombstoneProperty"), "property"), **dict.fromkeys(("CloseAssociation", "TombstoneAssociation"), "association"), **dict.fromkeys(("RedactEvidence", "EvidenceOnly"), "evidence")}
+TOMBSTONE_TARGETS = ("object", "property", "association", "source_record", "evidence")
 CONFLICT_POLICIES = ("reject_conflict", "source_priority_wins")
 
 
@@ -52,6 +59,7 @@ class Property:
     column: str
     missing: str = "null"  #: or reject
     conflict: str = "reject_conflict"
+    nullable: bool = True
 
 
 @dataclass(frozen=True)
@@ -70,6 +78,8 @@ class Rule:
     candidate_only: bool = False
     operation: str = "Fact"
     record_kind: str = "Baseline"
+    when: str | None = None  #: SQL over the source row: only these rows are the rule's (discriminators, fragments)
+    tombstone_target: str | None = None
 
     def scope(self) -> str:
         """global, source or row: how far equal keys mean one object."""
@@ -86,10 +96,20 @@ class Rule:
         """The kind of temporal record that its operation makes."""
         return OPERATIONS[self.operation] or self.record_kind
 
+    def effect(self) -> str:
+        return _EFFECTS.get(self.operation) or re.sub(r"(?<=[a-z])(?=[A-Z])", "_", self.operation).lower()
+
+    def target(self) -> str:
+        return self.tombstone_target or _TARGETS.get(self.operation, "object")
+
 
 @dataclass(frozen=True)
 class Association:
-    """Links from the object that one rule finds in a row to the object with an equal key under another rule."""
+    """Links from the object that one rule finds in a row to the object with an equal key under another rule.
+
+    Without a ``to_key`` the other rule is one of the same source and finds its object in the same row.
+    A validity that is declared and missing in a row counts like a missing end.
+    """
 
     id: str
     type: str
@@ -100,6 +120,10 @@ class Association:
     missing: str = "skip"  #: or reject
     valid_from: str | None = None
     valid_to: str | None = None
+    observed_at: str | None = None
+    source_role: str = ""
+    target_role: str = ""
+    cardinality: str = "one"
 
 
 @dataclass(frozen=True)
@@ -126,6 +150,8 @@ class Mapping:
         for r in self.rules:
             if r.source not in known:
                 raise ArchiveError("undeclared_source", r.source)
+            if r.tombstone_target is not None and (r.kind != "Tombstone" or r.tombstone_target not in TOMBSTONE_TARGETS):
+                raise ArchiveError("bad_tombstone_target", r.id)
             if r.kind not in OBJECT_KINDS + NO_OBJECT_KINDS or r.merge_class not in CLASSES or r.operation not in OPERATIONS:
                 raise ArchiveError("bad_rule", r.id)
             for c in r.key:
@@ -141,8 +167,11 @@ class Mapping:
             if len({p.name for p in r.properties}) != len(r.properties):
                 raise ArchiveError("duplicate_property", r.id)
         for a in self.associations:
-            if a.from_rule not in rules or a.to_rule not in rules or a.source not in known:
+            if a.from_rule not in rules or a.to_rule not in rules or a.source not in known or a.missing not in ("skip", "reject"):
                 raise ArchiveError("bad_association", a.id)
+            sources = {r.id: r.source for r in self.rules}
+            if sources[a.from_rule] != a.source or not a.to_key and sources[a.to_rule] != a.source:
+                raise ArchiveError("bad_association_end", a.id)
         return self
 
 
@@ -160,25 +189,36 @@ def _key(m: Mapping, rule_id: str, type_id: int, components: tuple[Component, ..
     return K.join_key(type_id, rule_id, cols)
 
 
+def _goid(m: Mapping, r: Rule, key: Column) -> Column:
+    """The id of a row's object under a rule, from its key; null for candidates. It is an expression over the row."""
+    row = F.concat_ws(":", F.lit(r.source), F.col("row_index").cast("string"))
+    scope = {"global": F.lit(""), "source": F.lit(r.source), "row": row}[r.scope()]
+    return F.lit(None).cast("string") if r.candidate() else K.goid(m.id, m.version, m.types()[r.object_type], r.id, key, scope)
+
+
+def _rows(r: Rule, sources: dict[str, DataFrame]) -> DataFrame:
+    """The source rows of a rule."""
+    if r.source not in sources:
+        raise ArchiveError("missing_source", r.source)
+    return sources[r.source] if r.when is None else sources[r.source].where(r.when)
+
+
 def identities(m: Mapping, sources: dict[str, DataFrame]) -> DataFrame:
-    """One row for each source row under each of its rules: source_id, row_index, rule_id, object_type, kind, key_tuple, key_digest, goid, candidate, and the order of its group's anchor."""
+    """One row for each source row under each of its rules: source_id, row_index, rule_id, object_type, kind, key_tuple, key_digest, goid, candidate, the row's digest, and the order of its group's anchor."""
     m.validate()
     types, order = m.types(), {s.id: i for i, s in enumerate(m.sources)}
     if missing := sorted(set(sources) - {r.source for r in m.rules}):
         raise ArchiveError("no_rule", missing[0])
     parts = []
     for i, r in enumerate(m.rules):
-        if r.source not in sources:
-            raise ArchiveError("missing_source", r.source)
-        row = F.concat_ws(":", F.lit(r.source), F.col("row_index").cast("string"))
-        scope = {"global": F.lit(""), "source": F.lit(r.source), "row": row}[r.scope()]
+        rows = _rows(r, sources)
         key = _key(m, r.id, types[r.object_type], r.key, r.null_policy)
-        df = sources[r.source].select(
+        df = rows.select(
             F.lit(r.source).alias("source_id"), F.col("row_index").cast("long"), F.lit(r.id).alias("rule_id"), F.lit(r.object_type).alias("object_type"), F.lit(r.kind).alias("kind"), F.lit(r.commits()).alias("record_kind"),
-            key.alias("key_tuple"), scope.alias("scope"), F.lit(r.candidate()).alias("candidate"), F.lit(CLASSES.index(r.merge_class)).alias("class_rank"), F.lit(i).alias("rule_order"), F.lit(order[r.source]).alias("source_order"),
+            key.alias("key_tuple"), F.lit(r.candidate()).alias("candidate"), F.lit(CLASSES.index(r.merge_class)).alias("class_rank"), F.lit(i).alias("rule_order"), F.lit(order[r.source]).alias("source_order"),
+            K.row_digest([c for c in rows.columns if c != "row_index"]).alias("row_digest"),
         )
-        made = K.goid(m.id, m.version, types[r.object_type], r.id, F.col("key_tuple"), F.col("scope"))
-        parts.append(df.withColumn("key_digest", K.digest(F.col("key_tuple"))).withColumn("goid", F.when(~F.col("candidate"), made)))
+        parts.append(df.withColumn("key_digest", K.digest(F.col("key_tuple"))).withColumn("goid", _goid(m, r, F.col("key_tuple"))))
     return _union(parts)
 
 
@@ -200,17 +240,27 @@ def equivalences(ids: DataFrame) -> DataFrame:
 
 
 def check_do_not_merge(m: Mapping, ids: DataFrame) -> DataFrame:
-    """Objects that hold both sides of a constraint, named by row (source:row) or key (rule:digest)."""
+    """Objects that hold both sides of a constraint, named by row (source:row), row digest, key (rule:digest) or key of a type (type:digest)."""
     if not m.do_not_merge:
         return ids.select("goid").limit(0).select("goid", F.lit("").alias("a"), F.lit("").alias("b"))
     spark = ids.sparkSession
     pairs = spark.createDataFrame(list(m.do_not_merge), "a string, b string")
-    names = F.array(F.concat_ws(":", "source_id", F.col("row_index").cast("string")), F.concat_ws(":", "rule_id", "key_digest"))
-    alias = ids.where("not candidate").select("goid", F.explode(names).alias("n")).distinct()
+    sides = sorted({x for pair in m.do_not_merge for x in pair})
+    names = [F.concat_ws(":", "source_id", F.col("row_index").cast("string")), F.concat_ws(":", "rule_id", "key_digest"), F.concat_ws(":", "object_type", "key_digest")]
+    if "row_digest" in ids.columns:
+        names.append(F.col("row_digest"))
+    # only names that some constraint has go on
+    alias = ids.where("not candidate").select("goid", F.explode(F.array(*names)).alias("n")).where(F.col("n").isin(sides)).distinct()
     a = alias.join(F.broadcast(pairs), F.col("n") == F.col("a")).select("goid", "a", "b")
     return a.join(alias.withColumnRenamed("n", "b"), ["goid", "b"]).select("goid", "a", "b").distinct()
 
 
+def reject_merges(m: Mapping, ids: DataFrame) -> None:
+    """An error if any object holds both sides of a constraint."""
+    if first := check_do_not_merge(m, ids).first():
+        raise ArchiveError("do_not_merge", f"{first.a} <-> {first.b}")
+
+
 def property_values(m: Mapping, sources: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
     """Long form: goid, object_type, property, value, policy, and who asserts it."""
     rank = {s.id: (s.priority, i) for i, s in enumerate(m.sources)}
@@ -223,8 +273,10 @@ def property_values(m: Mapping, sources: dict[str, DataFrame], ids: DataFrame) -
             v = F.col(p.column).cast("string")
             if p.missing == "reject":
                 v = F.when(v.isNotNull(), v).otherwise(F.raise_error(F.lit(f"missing property: {r.id}.{p.name}")).cast("string"))
+            if not p.nullable:
+                v = F.when(v.isNotNull(), v).otherwise(F.raise_error(F.lit(f"null in non-nullable property: {r.id}.{p.name}")).cast("string"))
             cells.append(F.struct(F.lit(p.name).alias("property"), v.alias("value"), F.lit(p.conflict).alias("policy"), F.lit(f"{r.id}.{p.name}").alias("assertion_id")))
-        own = sources[r.source].select(F.col("row_index").cast("long"), F.explode(F.array(*cells)).alias("c")).select("row_index", "c.*")
+        own = _rows(r, sources).select(F.col("row_index").cast("long"), F.explode(F.array(*cells)).alias("c")).select("row_index", "c.*")
         mine = ids.where((F.col("rule_id") == r.id)).select("goid", "object_type", "row_index")
         parts.append(own.join(mine, "row_index").withColumns({"source_id": F.lit(r.source), "priority": F.lit(rank[r.source][0]), "source_order": F.lit(rank[r.source][1])}))
     return _union(parts)
@@ -258,26 +310,68 @@ def object_states(objs: DataFrame, resolved: DataFrame) -> DataFrame:
     return objs.select("goid", "object_type").distinct().join(won, "goid", "left").select("goid", "object_type", F.coalesce("properties", empty).alias("properties"))
 
 
-def associations(m: Mapping, sources: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
-    """(association_id, type, association_goid, source_goid, target_goid, source_id, row_index, valid_from, valid_to)."""
+#: Properties that every association has.
+ASSOCIATION_PROPERTIES = ("source_goid", "target_goid", "association_type", "mapping_rule_id", "source_evidence_id", "source_role", "target_role", "valid_from", "valid_to", "cardinality_policy")
+
+
+def associations(m: Mapping, sources: dict[str, DataFrame], ids: DataFrame | None = None) -> DataFrame:
+    """(association_id, type, association_goid, source_goid, target_goid, source_id, row_index, roles, validity, source_evidence_id, cardinality_policy).
+
+    Both ends are expressions over the row that makes the association; what is looked
+    up is only whether the target's key is known, and which objects have it where equal
+    keys are not one object. ``ids`` is not needed.
+    """
     types, rules = m.types(), {r.id: r for r in m.rules}
     parts = []
     for a in m.associations:
-        target = rules[a.to_rule]
-        key = K.digest(_key(m, a.to_rule, types[target.object_type], a.to_key, "marker"))
+        source, target = rules[a.from_rule], rules[a.to_rule]
+        if source.kind not in ASSOCIATION_KINDS or source.candidate():
+            continue
         text = lambda c: (F.col(c).cast("string") if c else F.lit(None).cast("string"))
-        rows = sources[a.source].select(F.col("row_index").cast("long"), key.alias("key_digest"), text(a.valid_from).alias("valid_from"), text(a.valid_to).alias("valid_to"))
-        start = ids.where((F.col("rule_id") == a.from_rule) & (F.col("source_id") == a.source) & F.col("kind").isin(*ASSOCIATION_KINDS)).select("row_index", F.col("goid").alias("source_goid"))
-        # equal keys under one rule are one object where it merges; where it does not, every object of the key is an end
-        end = ids.where(F.col("rule_id") == a.to_rule).select("key_digest", F.col("goid").alias("target_goid")).distinct()
-        found = rows.join(start, "row_index").join(end, "key_digest", "left")
-        if a.missing == "reject":
-            found = found.withColumn("target_goid", F.when(F.col("target_goid").isNotNull(), F.col("target_goid")).otherwise(F.raise_error(F.lit(f"missing end: {a.id}")).cast("string")))
+        fail = lambda what, a=a: F.raise_error(F.lit(f"missing {what}: {a.id}")).cast("string")
+        own_key = _key(m, a.from_rule, types[source.object_type], source.key, source.null_policy)
+        same_row = not a.to_key
+        to_key = _key(m, a.to_rule, types[target.object_type], target.key if same_row else a.to_key, "marker")
+        rows = _rows(source, sources).select(
+            F.col("row_index").cast("long"), _goid(m, source, own_key).alias("source_goid"), K.digest(to_key).alias("key_digest"),
+            (_goid(m, target, to_key) if same_row or target.scope() == "global" else F.lit(None).cast("string")).alias("made"),
+            *(text(getattr(a, c)).alias(c) for c in ("valid_from", "valid_to", "observed_at")),
+        )
+        if same_row:
+            found = rows.withColumnRenamed("made", "target_goid")
+        else:
+            known = _rows(target, sources).select(K.digest(_key(m, a.to_rule, types[target.object_type], target.key, "marker")).alias("key_digest"), _goid(m, target, _key(m, a.to_rule, types[target.object_type], target.key, "marker")).alias("known"))
+            if target.scope() == "global":
+                # equal keys are one object, whose id the row itself tells
+                known = known.select("key_digest").distinct().withColumn("has", F.lit(True))
+                found = rows.join(known, "key_digest", "left").withColumn("target_goid", F.when(F.col("has"), F.col("made")))
+            else:
+                found = rows.join(known.distinct(), "key_digest", "left").withColumnRenamed("known", "target_goid")
+        ends = [("target_goid", "end"), *((c, c) for c in ("valid_from", "valid_to") if getattr(a, c))]
+        for c, what in ends:
+            if a.missing == "reject":
+                found = found.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c)).otherwise(fail(what)))
+            else:
+                found = found.where(F.col(c).isNotNull())
         made = F.substring(F.sha2(F.concat_ws("|", F.lit(m.id.hex()), F.lit(a.type), F.lit(a.id), "source_goid", "target_goid"), 256), 1, 32)
-        parts.append(found.where("target_goid is not null").select(F.lit(a.id).alias("association_id"), F.lit(a.type).alias("type"), made.alias("association_goid"), "source_goid", "target_goid", F.lit(a.source).alias("source_id"), "row_index", "valid_from", "valid_to"))
+        parts.append(
+            found.where("target_goid is not null").select(
+                F.lit(a.id).alias("association_id"), F.lit(a.type).alias("type"), made.alias("association_goid"), "source_goid", "target_goid", F.lit(a.source).alias("source_id"), "row_index", "valid_from", "valid_to", "observed_at",
+                F.lit(a.source_role).alias("source_role"), F.lit(a.target_role).alias("target_role"), F.concat_ws(":", F.lit(a.source), F.col("row_index").cast("string")).alias("source_evidence_id"), F.lit(a.cardinality).alias("cardinality_policy"),
+            )
+        )
+    if not parts:
+        raise ArchiveError("no_associations", m.version)
     return _union(parts)
 
 
+def association_objects(links: DataFrame) -> DataFrame:
+    """Associations as objects (goid, object_type, properties) of type ``Association:<type>``, with the properties that all have."""
+    names = {"association_type": "type", "mapping_rule_id": "association_id"}
+    cells = [x for p in ASSOCIATION_PROPERTIES for x in (F.lit(p), F.col(names.get(p, p)).cast("string"))]
+    return links.select(F.col("association_goid").alias("goid"), F.concat(F.lit("Association:"), "type").alias("object_type"), F.create_map(*cells).alias("properties"))
+
+
 def evidence(objs: DataFrame, resolved: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(assertion_id, output_kind, output_id, source_id, row_index, note) for everything that was made or suppressed."""
     parts = [
@@ -289,6 +383,18 @@ def evidence(objs: DataFrame, resolved: DataFrame, links: DataFrame | None = Non
     return _union(parts)
 
 
+def with_operations(m: Mapping, evidence_: DataFrame) -> DataFrame:
+    """Evidence with the operation of the rule that made it: source_operation_kind, operation_effect, operation_target."""
+    rows = [(x, r.operation, r.effect(), r.target()) for r in m.rules for x in (r.id, *(f"{r.id}.{p.name}" for p in r.properties), *(a.id for a in m.associations if a.from_rule == r.id))]
+    dim = evidence_.sparkSession.createDataFrame(rows, "assertion_id string, source_operation_kind string, operation_effect string, operation_target string").dropDuplicates(["assertion_id"])
+    return evidence_.join(F.broadcast(dim), "assertion_id", "left")
+
+
+def repeated_evidence(evidence_: DataFrame) -> DataFrame:
+    """(assertion_id, output_kind, output_id, source_id, row_index, n) of evidence that is there more than once; there should be none."""
+    return evidence_.groupBy("assertion_id", "output_kind", "output_id", "source_id", "row_index").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def explain(evidence_: DataFrame, id_: str) -> DataFrame:
     """The evidence of an assertion or of an output; an unknown id is an error."""
     found = evidence_.where((F.col("assertion_id") == id_) | (F.col("output_id") == id_))
@@ -353,6 +459,147 @@ def check_sources(declared: dict[str, str], sources: dict[str, DataFrame]) -> No
             raise ArchiveError("source_fingerprint", f"{s}: {got}")
 
 
+def schema_digest(df: DataFrame, kind: str, prefix: str = "map-schema-v1") -> str:
+    """``prefix:sha256`` over the source's kind and its sorted ``field:kinds`` as observed: null, bool, int, float, string, list, object."""
+    names = sorted(c for c in df.columns if c != "row_index")
+
+    def kind_of(t: str) -> str:
+        if t in ("tinyint", "smallint", "int", "bigint"):
+            return "int"
+        if t in ("double", "float") or t.startswith("decimal"):
+            return "float"
+        return {"boolean": "bool", "void": "null"}.get(t) or ("list" if t.startswith("array") else "object" if t.startswith(("struct", "map")) else "string")
+
+    kinds = dict(df.dtypes)
+    seen = df.agg(*(F.struct(F.max(F.col(f"`{c}`").isNull()).alias("n"), F.max(F.col(f"`{c}`").isNotNull()).alias("v")).alias(f"k{i}") for i, c in enumerate(names))).first() if names else []
+    fields = []
+    for c, k in zip(names, seen):
+        found = ({"null"} if k.n else set()) | ({kind_of(kinds[c])} if k.v else set())
+        if found:
+            fields.append(f"{c}:{','.join(sorted(found))}")
+    return f"{prefix}:{hashlib.sha256((kind + chr(10) + '|'.join(fields)).encode()).hexdigest()}"
+
+
+def byte_digest(spark: SparkSession, path: str) -> str:
+    """``sha256:<hex>`` of a source file's bytes; the file is read by one task, whole."""
+    return "sha256:" + spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+
+
+@dataclass(frozen=True)
+class Declared:
+    """What a mapping says of a source's state; ``replay``: both digests are needed and must hold."""
+
+    schema: str | None = None
+    snapshot: str | None = None
+    replay: bool = False
+
+
+def check_replay(m: Mapping, declared: dict[str, Declared], observed: list[tuple[str, str, str]]) -> None:
+    """Observed (source, schema digest, byte digest) against what is declared: a source that is unknown, given twice, missing where rules or a replay need it, or in another state is an error."""
+    known, seen = {s.id for s in m.sources}, {}
+    for source, schema, snapshot in observed:
+        if source in seen:
+            raise ArchiveError("duplicate_source", source)
+        if source not in known:
+            raise ArchiveError("undeclared_source", source)
+        seen[source] = schema, snapshot
+        want = declared.get(source, Declared())
+        if want.replay and not (want.schema and want.snapshot):
+            raise ArchiveError("incomplete_replay", source)
+        for have, should in ((schema, want.schema), (snapshot, want.snapshot)):
+            if should is not None and have != should:
+                raise ArchiveError("source_state", f"{source}: {have}")
+    needed = {r.source for r in m.rules} | {s for s, d in declared.items() if d.replay}
+    if missing := sorted(needed - set(seen)):
+        raise ArchiveError("missing_source", missing[0])
+
+
+def preview(spark: SparkSession, m: Mapping) -> DataFrame:
+    """(section, entries, ids) of a mapping."""
+    rows = [("sources", [s.id for s in m.sources]), ("rules", [r.id for r in m.rules]), ("associations", [a.id for a in m.associations]), ("object_types", sorted(m.types(), key=str.encode)), ("functions", list(m.functions)), ("do_not_merge", [f"{a} <-> {b}" for a, b in m.do_not_merge])]
+    return spark.createDataFrame([(n, len(x), x) for n, x in rows], "section string, entries int, ids array<string>")
+
+
+def plan_keys(m: Mapping, sources: dict[str, DataFrame]) -> DataFrame:
+    """Every row's key under every rule, before anything is made: identities with their anchor, and candidate matches with an id of their own."""
+    ids = identities(m, sources)
+    row = F.concat_ws(":", "source_id", F.col("row_index").cast("string"))
+    anchors = equivalences(ids).select("goid", "anchor").distinct()
+    out = ids.withColumn("source_row_identity", row).withColumn("identity_alias", F.concat_ws(":", "rule_id", "key_digest")).join(anchors, "goid", "left")
+    match = F.when(F.col("candidate"), F.substring(F.sha2(F.concat_ws("|", row, "rule_id", "key_digest"), 256), 1, 32))
+    return out.select("source_id", "row_index", "source_row_identity", "row_digest", "rule_id", "object_type", F.col("key_digest").alias("join_key_sha256"), "identity_alias", F.col("anchor").alias("canonical_anchor"), "goid", match.alias("candidate_match_id"))
+
+
+def object_catalog(spark: SparkSession, m: Mapping) -> DataFrame:
+    """(object_type_id, object_type, kind): every type and whether it is an object, an event, a link object or an association."""
+    kinds: dict[str, str] = {}
+    for r in m.rules:
+        kinds.setdefault(r.object_type, {"EventObject": "event", "LinkObject": "link_object"}.get(r.kind, "object"))
+    return spark.createDataFrame([(i, n, "association" if n.startswith("Association:") else kinds[n]) for n, i in m.types().items()], "object_type_id int, object_type string, kind string")
+
+
+def property_catalog(spark: SparkSession, m: Mapping) -> DataFrame:
+    """(object_type, property_id, property, nullable, conflict, role): declared properties, and those that associations have."""
+    rows: dict[tuple[str, str], tuple] = {}
+    for r in m.rules:
+        for i, p in enumerate(r.properties, 1):
+            old = rows.get((r.object_type, p.name))
+            rows[(r.object_type, p.name)] = (r.object_type, K.property_id(p.name, i), p.name, p.nullable and (old is None or old[3]), p.conflict, None)
+    roles = {"source_goid": "from_goid", "target_goid": "to_goid", "association_type": "type", "mapping_rule_id": "rule", "source_evidence_id": "evidence", "valid_from": "valid_from", "valid_to": "valid_to"}
+    for t in sorted({f"Association:{a.type}" for a in m.associations}):
+        for i, p in enumerate(ASSOCIATION_PROPERTIES, 1):
+            rows[(t, p)] = (t, i, p, p.startswith("valid"), "reject_conflict", roles.get(p))
+    return spark.createDataFrame(sorted(rows.values(), key=lambda x: x[:2]), "object_type string, property_id long, property string, nullable boolean, conflict string, role string")
+
+
+_SECTIONS = {"sources": Source, "rules": Rule, "associations": Association}
+_PARTS = {"key": Component, "to_key": Component, "properties": Property}
+
+
+def from_document(doc: str | dict) -> Mapping:
+    """A mapping from its document: {"id": hex, "version", "sources": [...], "rules": [...], ...} with the fields of the classes; unknown, missing or ill-typed fields are errors."""
+    try:
+        doc = json.loads(doc) if isinstance(doc, str) else doc
+    except ValueError as e:
+        raise ArchiveError("bad_document", str(e)) from e
+    top = {"id", "version", "sources", "rules", "associations", "functions", "do_not_merge"}
+
+    def made(kind: type, entry: object, where: str):
+        if not isinstance(entry, dict):
+            raise ArchiveError("bad_document", where)
+        own = {f.name: f for f in fields(kind)}
+        if unknown := sorted(set(entry) - set(own)):
+            raise ArchiveError("unknown_field", f"{where}.{unknown[0]}")
+        if missing := sorted(n for n, f in own.items() if f.default is MISSING and n not in entry):
+            raise ArchiveError("missing_field", f"{where}.{missing[0]}")
+        given = {}
+        for n, v in entry.items():
+            want = str(own[n].type)
+            fits = {"str": str, "int": int, "bool": bool}.get(want.split(" |")[0])
+            if fits and not (isinstance(v, fits) and not (fits is int and isinstance(v, bool)) or v is None and "None" in want) or want.startswith("tuple") and not isinstance(v, list):
+                raise ArchiveError("bad_field", f"{where}.{n}")
+            given[n] = tuple(made(_PARTS[n], x, f"{where}.{n}") for x in v) if n in _PARTS else tuple(v) if isinstance(v, list) else v
+        return kind(**given)
+
+    if not isinstance(doc, dict) or set(doc) - top:
+        raise ArchiveError("unknown_field", str(sorted(set(doc) - top)[:1]) if isinstance(doc, dict) else "document")
+    if missing := sorted({"id", "version", "sources", "rules"} - set(doc)):
+        raise ArchiveError("missing_field", missing[0])
+    try:
+        id_ = bytes.fromhex(doc["id"])
+    except (TypeError, ValueError) as e:
+        raise ArchiveError("bad_field", "id") from e
+    parts = {n: tuple(made(k, x, f"{n}[{i}]") for i, x in enumerate(doc.get(n, ()))) for n, k in _SECTIONS.items()}
+    extra = {"functions": tuple(doc["functions"])} if "functions" in doc else {}
+    return Mapping(id_, doc["version"], **parts, **extra, do_not_merge=tuple(map(tuple, doc.get("do_not_merge", ())))).validate()
+
+
+def to_document(m: Mapping) -> str:
+    """The document of a mapping; :func:`from_document` reads it back."""
+    out = {"id": m.id.hex(), "version": m.version, **{n: [asdict(x) for x in getattr(m, n)] for n in _SECTIONS}, "functions": m.functions, "do_not_merge": m.do_not_merge}
+    return json.dumps(out)
+
+
 def diff(spark: SparkSession, old: Mapping, new: Mapping) -> DataFrame:
     """(section, id, change): what was added, removed or changed between versions."""
     parts = {"source": lambda m: {s.id: repr(s) for s in m.sources}, "rule": lambda m: {r.id: repr(r) for r in m.rules}, "association": lambda m: {a.id: repr(a) for a in m.associations}, "version": lambda m: {"version": m.version}}

@@ -13,6 +13,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .zones import exact_sum_type
+
+#: What each synopsis may answer: an approximate one never answers an exact query.
+ACCURACY = {**dict.fromkeys(("count", "min_max", "sum", "histogram", "truth_counts", "distinct_keys"), "exact"), **dict.fromkeys(("distinct_sketch", "quantile_sketch", "top_k_sketch"), "approximate")}
+
+
+def may_answer(kind: str, *, exact: bool) -> bool:
+    """Whether a synopsis may answer a query, by its accuracy; an unknown kind may not."""
+    return ACCURACY.get(kind) == "exact" or not exact and ACCURACY.get(kind) == "approximate"
+
 
 @dataclass
 class Synopses:
@@ -34,8 +44,8 @@ def build(df: DataFrame, zone: list[str], columns: list[str], histograms: list[s
     kinds, aggs = dict(df.dtypes), [F.count("*").alias("rows")]
     for c in columns:
         aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"), F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max")]
-        if kinds[c] in ("tinyint", "smallint", "int", "bigint") or kinds[c].startswith("decimal"):
-            aggs.append(F.sum(F.col(c).cast("decimal(38,2)")).alias(f"{c}__sum"))
+        if kind := exact_sum_type(kinds[c]):
+            aggs.append(F.sum(F.col(c).cast(kind)).alias(f"{c}__sum"))
         if kinds[c] == "boolean":
             aggs += [F.count_if(F.col(c)).alias(f"{c}__true"), F.count_if(~F.col(c)).alias(f"{c}__false")]
     return Synopses(df.groupBy(*zone).agg(*aggs), list(zone), list(columns), {c: histogram(df, zone, c) for c in histograms}, **state)
@@ -117,3 +127,24 @@ def quantiles(df: DataFrame, column: str, shares: list[float], accuracy: int = 1
     """Approximate quantiles, one row per share."""
     found = df.agg(F.percentile_approx(column, shares, accuracy).alias("v"))
     return found.select(F.posexplode("v").alias("i", "value")).select(F.element_at(F.array(*map(F.lit, shares)), F.col("i") + 1).alias("share"), "value")
+
+
+def _kll(kind: str) -> str:
+    return "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "float" if kind == "float" else "double"
+
+
+def quantile_sketch(df: DataFrame, column: str, zone: list[str] = (), k: int = 200) -> DataFrame:
+    """KLL sketches by zone, mergeable; nulls are not counted. Read with :func:`quantile_estimate`."""
+    kind = _kll(dict(df.dtypes)[column])
+    value = F.col(column) if kind != "double" else F.col(column).cast("double")
+    return df.where(F.col(column).isNotNull()).groupBy(*zone).agg(F.call_function(f"kll_sketch_agg_{kind}", value, F.lit(k)).alias("sketch"), F.lit(kind).alias("kind"))
+
+
+def quantile_estimate(sketches: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, value) of the merged sketches of any zones, files or archives; no rows if there are none."""
+    first = sketches.select("kind").first()
+    if first is None:
+        return sketches.sparkSession.createDataFrame([], "share double, value double")
+    merged = sketches.agg(F.call_function(f"kll_merge_agg_{first.kind}", F.col("sketch")).alias("s"))
+    found = F.array(*(F.struct(F.lit(float(x)).alias("share"), F.call_function(f"kll_sketch_get_quantile_{first.kind}", F.col("s"), F.lit(float(x))).cast("double").alias("value")) for x in shares))
+    return merged.select(F.explode(found).alias("x")).select("x.*")

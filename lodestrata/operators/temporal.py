@@ -90,6 +90,22 @@ def unsorted_records(records: DataFrame) -> DataFrame:
     return records.withColumn("__b", before).withColumn("__n", now).where("__b.col1 is not null and __n < __b").drop("__b", "__n")
 
 
+def segment_bloom(records: DataFrame, bits: int = 8192) -> DataFrame:
+    """(segment_id, bits): a Bloom filter of each segment's object ids."""
+    from .zones import bloom_index
+
+    return bloom_index(records, ["segment_id"], "goid", bits)
+
+
+def history_of(records: DataFrame, goid: str, bloom: DataFrame | None = None, bits: int = 8192) -> DataFrame:
+    """One object's records in order; with filters, only segments that may have it are looked at."""
+    from .zones import bloom_zones
+
+    if bloom is not None:
+        records = records.join(bloom_zones(bloom, ["segment_id"], F.lit(goid), bits), "segment_id", "left_semi").select(*records.columns)
+    return records.where(F.col("goid") == goid).orderBy(*ORDER)
+
+
 def valid_at(edges: DataFrame, at: object, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
     """Rows whose half-open validity interval holds a moment; an open end is valid for ever."""
     t = F.lit(at)

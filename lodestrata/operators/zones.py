@@ -49,6 +49,26 @@ def exact_sum_type(kind: str) -> str | None:
     return f"decimal(38,{kind.rpartition(',')[2].rstrip(')')})" if kind.startswith("decimal") else None
 
 
+def zone_order(df: DataFrame, zone: list[str], column: str, at: str) -> DataFrame:
+    """(zone, sorted, runs): whether a zone's values never fall along ``at``, nulls first, and how many runs of equal values it has. Zones are of bounded size."""
+    w = Window.partitionBy(*zone).orderBy(at)
+    c, before = F.col(column), F.lag(column).over(w)
+    first = F.row_number().over(w) == 1
+    falls = F.coalesce((before > c) | (before.isNotNull() & c.isNull()), F.lit(False)) & ~first
+    new = first | ~before.eqNullSafe(c)
+    marked = df.select(*zone, falls.alias("__f"), new.alias("__n"))
+    return marked.groupBy(*zone).agg((~F.max("__f")).alias("sorted"), F.count_if("__n").alias("runs"))
+
+
+def truncated_stats(stats: DataFrame, column: str, length: int) -> DataFrame:
+    """Statistics with a text column's bounds cut to ``length`` characters: the lower one as a prefix, the upper one as a prefix with the largest character after it. Such bounds can rule a zone out, and never in; ``c__cut`` says so."""
+    low, high = F.col(f"{column}__min"), F.col(f"{column}__max")
+    cut = (F.length(low) > length) | (F.length(high) > length)
+    # whatever follows the prefix is below it with the largest character
+    above = F.when(F.length(high) <= length, high).otherwise(F.concat(F.substring(high, 1, length), F.lit("\U0010ffff")))
+    return stats.withColumns({f"{column}__cut": F.coalesce(cut, F.lit(False)), f"{column}__min": F.substring(low, 1, length), f"{column}__max": above})
+
+
 def describe_zones(df: DataFrame, zone: list[str], column: str) -> DataFrame:
     """Statistics of one column with flags: constant, all null, has NaN, distinct values."""
     s = zone_stats(df, zone, [column]).join(df.groupBy(*zone).agg(F.count_distinct(column).alias("distinct")), zone)
@@ -71,38 +91,38 @@ def outcome_not(a: Column, null_free: Column) -> Column:
     return F.when(a == ALL, NO).when((a == NO) & null_free, ALL).when(a == NO, UNKNOWN).otherwise(a)
 
 
-def outcome(p: dict) -> Column:
-    """The outcome of a predicate as a Column over :func:`zone_stats` rows."""
+def outcome(p: dict, truncated: frozenset[str] = frozenset()) -> Column:
+    """The outcome of a predicate as a Column over :func:`zone_stats` rows; the bounds of ``truncated`` columns may be cut (:func:`truncated_stats`)."""
     op = p["op"]
     if op in ("And", "Or"):
         join = outcome_and if op == "And" else outcome_or
-        return reduce(join, map(outcome, p["items"]), F.lit(ALL if op == "And" else NO))
+        return reduce(join, [outcome(x, truncated) for x in p["items"]], F.lit(ALL if op == "And" else NO))
     if op == "Not":
         inner = push_negation(p)
         if inner["op"] != "Not":
-            return outcome(inner)
+            return outcome(inner, truncated)
         clean = reduce(lambda a, b: a & b, [(F.col(f"{c}__nulls") == 0) & ~F.col(f"{c}__nan") for c in columns_of(p)], F.lit(True))
-        return outcome_not(outcome(inner["item"]), clean)
+        return outcome_not(outcome(inner["item"], truncated), clean)
     if op in ("True", "False"):
         return F.lit(ALL if op == "True" else NO)
     if "column" not in p:
         return F.lit(UNKNOWN)
     low, high, nulls, nan = (F.col(f"{p['column']}__{x}") for x in ("min", "max", "nulls", "nan"))
-    rows = F.col("rows")
+    rows, cut = F.col("rows"), F.col(f"{p['column']}__cut") if p["column"] in truncated else F.lit(False)
     if op in ("IsNull", "IsNotNull"):
         none, every = (NO, ALL) if op == "IsNull" else (ALL, NO)
         return F.when(nulls == 0, none).when(nulls == rows, every).otherwise(SOME)
 
     def decide(never: Column, always: Column) -> Column:
         # NaN takes part in no order that the statistics know
-        return F.when(nulls == rows, NO).when(nan, UNKNOWN).when(never, NO).when(always & (nulls == 0), ALL).otherwise(SOME)
+        return F.when(nulls == rows, NO).when(nan, UNKNOWN).when(never, NO).when(always & (nulls == 0) & ~cut, ALL).otherwise(SOME)
 
     v = F.lit(p["value"]) if "value" in p else None
     match op:
         case "Eq":
             return decide((low > v) | (high < v), (low == v) & (high == v))
         case "NotEq":
-            return decide((low == v) & (high == v), (low > v) | (high < v))
+            return decide((low == v) & (high == v) & ~cut, (low > v) | (high < v))
         case "Lt":
             return decide(low >= v, high < v)
         case "LtEq":
@@ -116,7 +136,7 @@ def outcome(p: dict) -> Column:
             return decide((low > b) | (high < a) | (a > b), (low >= a) & (high <= b))
         case "InSet":
             values = [x for x in p["values"] if x is not None]
-            return reduce(outcome_or, [outcome({"op": "Eq", "column": p["column"], "value": x}) for x in values], F.lit(NO))
+            return reduce(outcome_or, [outcome({"op": "Eq", "column": p["column"], "value": x}, truncated) for x in values], F.lit(NO))
         case "LikePrefix":
             return decide((high < v) | (low > F.concat(v, F.lit("\U0010ffff"))), low.startswith(p["value"]) & high.startswith(p["value"]))
     return F.lit(UNKNOWN)
@@ -192,8 +212,27 @@ def top_n_zones(summary: DataFrame, zone: list[str], n: int, largest: bool = Tru
 
 
 def domain(df: DataFrame, column: str) -> DataFrame:
-    """(value, rank): distinct values in byte order. Only distinct values meet in one task."""
-    return df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().withColumn("rank", F.row_number().over(Window.orderBy("value")) - 1)
+    """(value, rank): distinct values in byte order, numbered over sorted ranges of them."""
+    from .ordinals import numbered
+
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
+    return numbered(values, ["value"], "rank").withColumn("rank", F.col("rank").cast("int"))
+
+
+def domain_outcome(ranges: DataFrame, ranks: DataFrame, zone: list[str], low: object = None, high: object = None) -> DataFrame:
+    """(zone, outcome) of ``low <= value <= high`` from a column's domain and the ranks that each zone holds: no rank of the domain in the interval, or none in the zone's, is a sure no."""
+    inside = ranks
+    if low is not None:
+        inside = inside.where(F.col("value") >= F.lit(low))
+    if high is not None:
+        inside = inside.where(F.col("value") <= F.lit(high))
+    span = inside.agg(F.min("rank").alias("a"), F.max("rank").alias("b")).first()
+    if span.a is None:
+        return ranges.select(*zone, F.lit(NO).alias("outcome"))
+    no = (F.col("high_rank") < span.a) | (F.col("low_rank") > span.b)
+    every = (F.col("low_rank") >= span.a) & (F.col("high_rank") <= span.b)
+    nulls = F.col("nulls") > 0 if "nulls" in ranges.columns else F.lit(True)
+    return ranges.select(*zone, F.when(no, NO).when(every & ~nulls, ALL).otherwise(SOME).alias("outcome"))
 
 
 def domain_rank_ranges(df: DataFrame, zone: list[str], column: str) -> DataFrame:

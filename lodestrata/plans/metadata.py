@@ -6,14 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators import synopses, zones
+from lodestrata.sources import metadata
 from lodestrata.sources.tables import read_table
 
-from .registry import query
-from .skipping import orders
+from .registry import query, stored
+from .skipping import ORDERS, orders, orders_archive
 
 
 def _of_orders(spark: SparkSession, d: str) -> synopses.Synopses:
-    return synopses.build(orders(spark, d), ["morsel"], ["o_custkey", "o_orderstatus", "o_orderdate"], ["o_orderstatus", "o_custkey"])
+    """What the orders' archive has stored, if it holds for every file."""
+    return metadata.synopses(orders_archive(spark, d))
+
+
+@query("SELECT o_orderstatus AS key, count(*) AS n FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders) t GROUP BY 1")
+def meta_merged_archives(spark: SparkSession, d: str) -> DataFrame:
+    """Histograms of two archives, merged."""
+    other = metadata.synopses(metadata.opened(spark, stored(spark, d, "orders", **{**ORDERS, "partitions": 2, "indexes": ()})))
+    return synopses.group_count(metadata.merged([_of_orders(spark, d), other]), "o_orderstatus")
 
 
 @query("SELECT count(*) AS n FROM orders")
@@ -82,13 +91,36 @@ def topk_by_zone(spark: SparkSession, d: str) -> DataFrame:
     return synopses.heavy_hitters(read_table(spark, d, "events"), "user_id", 3, ["event_type"])
 
 
-@query()
+@query("SELECT count(DISTINCT o_custkey) AS n, true AS close FROM orders")
 def hll_distinct(spark: SparkSession, d: str) -> DataFrame:
-    """Approximate: merged sketches of zones."""
-    return synopses.distinct_estimate(synopses.distinct_sketch(orders(spark, d), "o_custkey", ["morsel"]))
+    """Approximate: merged sketches of zones, within 3 in 100 of the count."""
+    df = orders(spark, d)
+    guess = synopses.distinct_estimate(synopses.distinct_sketch(df, "o_custkey", ["morsel"])).withColumnRenamed("n", "guess")
+    exact = df.agg(F.count_distinct("o_custkey").alias("n"))
+    return exact.join(F.broadcast(guess)).select("n", (F.abs(F.col("guess") - F.col("n")) <= F.ceil(0.03 * F.col("n"))).alias("close"))
+
+
+SHARES = [0.01, 0.25, 0.5, 0.75, 0.99]
+NEAR = "SELECT CAST(share AS DOUBLE) AS share, true AS close FROM (VALUES (0.01), (0.25), (0.5), (0.75), (0.99)) t(share)"
 
 
-@query()
+def _near(df: DataFrame, column: str, found: DataFrame, tolerance: float) -> DataFrame:
+    """(share, close): whether each quantile's rank is within a tolerance. The quantiles are a few rows."""
+    one = df.join(F.broadcast(found.withColumnRenamed("value", "guess")))
+    c = F.col(column)
+    ranks = one.groupBy("share").agg((F.count_if(c < F.col("guess")) / F.count(c)).alias("below"), (F.count_if(c <= F.col("guess")) / F.count(c)).alias("upto"))
+    return ranks.select(F.col("share").cast("double").alias("share"), ((F.col("below") <= F.col("share") + tolerance) & (F.col("upto") >= F.col("share") - tolerance)).alias("close"))
+
+
+@query(NEAR)
 def kll_quantile(spark: SparkSession, d: str) -> DataFrame:
-    """Approximate quantiles."""
-    return synopses.quantiles(read_table(spark, d, "events"), "value", [0.01, 0.25, 0.5, 0.75, 0.99])
+    """Quantiles from merged KLL sketches of zones, each within 3 hundredths of its rank."""
+    df = read_table(spark, d, "events")
+    return _near(df, "value", synopses.quantile_estimate(synopses.quantile_sketch(df, "value", ["event_type"]), SHARES), 0.03)
+
+
+@query(NEAR)
+def approximate_quantile(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles by Spark's own summary, each within a hundredth of its rank."""
+    df = read_table(spark, d, "events")
+    return _near(df, "value", synopses.quantiles(df, "value", SHARES), 0.01)

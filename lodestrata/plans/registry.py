@@ -7,8 +7,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrata.sources import archive, storage
 from lodestrata.sources.tables import TABLES, read_table
 
+_stored: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, **options: object) -> str:
+    """The archive of a table, with its metadata, below the session's shared folder; written once for a session and a state of the table."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = spark.sparkContext.applicationId, path, storage.stamp(spark, path), tuple(sorted(options.items()))
+    if key not in _stored:
+        where = storage.scratch(spark, f"archive-{name}")
+        archive.write(read_table(spark, sf_dir, name), where, archive.WriteOptions(**options))
+        _stored[key] = where
+    return _stored[key]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import predicates as P
-from lodestrata.operators import coverage, key_index, visibility, zones
+from lodestrata.operators import coverage, joins, key_index, visibility, zones
+from lodestrata.sources import archive, metadata, storage
 from lodestrata.sources.tables import read_table
 
-from .registry import query
+from .registry import query, stored
 
 Z = "CAST(floor(o_orderkey / 4096) AS BIGINT)"
 
@@ -22,6 +23,15 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "lineitem").withColumn("morsel", zones.morsel("l_orderkey"))
 
 
+#: How the orders' archive is laid out: by key, in files of some thousand rows, with indexes and histograms.
+ORDERS = {"cluster_by": ("o_orderkey",), "partitions": 8, "zone_rows": zones.MORSEL_ROWS, "indexes": ("o_custkey", "o_orderkey"), "histograms": ("o_orderstatus", "o_custkey")}
+
+
+def orders_archive(spark: SparkSession, d: str) -> metadata.Archive:
+    """The stored orders, opened: written once for a session, read back by every query."""
+    return metadata.opened(spark, stored(spark, d, "orders", **ORDERS))
+
+
 PRED = P.AND(P.pred("Between", "o_orderkey", 5000, 9000), P.OR(P.pred("Gt", "o_totalprice", 200000.0), P.pred("Eq", "o_orderstatus", "P")))
 PRED_SQL = "o_orderkey BETWEEN 5000 AND 9000 AND (o_totalprice > 200000 OR o_orderstatus = 'P')"
 
@@ -58,11 +68,68 @@ def outcome_algebra(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT o_orderkey, o_totalprice FROM orders WHERE {PRED_SQL}")
 def pruned_scan_equals_full(spark: SparkSession, d: str) -> DataFrame:
+    """Through the stored statistics: files that cannot match are not opened."""
+    return archive.read(spark, orders_archive(spark, d).path, PRED).select("o_orderkey", "o_totalprice")
+
+
+@query(f"SELECT o_orderkey, o_totalprice FROM orders WHERE {PRED_SQL}")
+def pruned_zones_equal_full(spark: SparkSession, d: str) -> DataFrame:
+    """Through statistics of this table's zones, made on the way."""
     df = orders(spark, d)
     stats = zones.zone_stats(df, ["morsel"], ["o_orderkey", "o_totalprice", "o_orderstatus"])
     return zones.pruned_scan(df, ["morsel"], stats, PRED).select("o_orderkey", "o_totalprice")
 
 
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey < 0) AS low FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey - 1000000000 FROM orders) t WHERE o_orderkey < 100")
+def pruned_stale_archive(spark: SparkSession, d: str) -> DataFrame:
+    """A file that came after the metadata is read, whatever the statistics of the others prove."""
+    path = storage.scratch(spark, "stale")
+    df = read_table(spark, d, "orders")
+    archive.write(df, path, archive.WriteOptions(cluster_by=("o_orderkey",), partitions=4))
+    df.withColumn("o_orderkey", F.col("o_orderkey") - 1_000_000_000).coalesce(1).write.mode("append").parquet(f"{path}/data")
+    return archive.read(spark, path, P.pred("Lt", "o_orderkey", 100)).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderkey") < 0).alias("low"))
+
+
+@query("SELECT 'read' AS what, count(*) AS n FROM orders WHERE o_custkey = 42 UNION ALL SELECT 'pruned', 1")
+def scan_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a selective scan, and whether its counters show files that were left out."""
+    a = orders_archive(spark, d)
+    p = P.pred("Eq", "o_custkey", 42)
+    shown = metadata.counters(a, P.AND(p, P.pred("Lt", "o_orderkey", 100))).select(F.lit("pruned").alias("what"), F.when(F.col("files_pruned") > 0, 1).otherwise(0).cast("long").alias("n"))
+    return archive.read(spark, a.path, p).agg(F.count("*").alias("n")).select(F.lit("read").alias("what"), "n").union(shown)
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey = 77")
+def late_materialised_scan(spark: SparkSession, d: str) -> DataFrame:
+    return archive.read_late(spark, orders_archive(spark, d).path, P.pred("Eq", "o_custkey", 77), ["o_orderkey", "o_orderstatus", "o_totalprice"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (5, 6, 1234)")
+def lookup_only_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Through the index alone: no zone is looked at."""
+    return archive.lookup(spark, orders_archive(spark, d).path, "o_custkey", [5, 6, 1234]).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 100000 AND 150000 AND o_custkey < 300")
+def hilbert_archive(spark: SparkSession, d: str) -> DataFrame:
+    path = stored(spark, d, "orders", curve=("o_totalprice", "o_custkey"), curve_kind="hilbert", partitions=8)
+    return archive.read(spark, path, P.AND(P.pred("Between", "o_totalprice", 100000.0, 150000.0), P.pred("Lt", "o_custkey", 300))).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
+def join_salted(spark: SparkSession, d: str) -> DataFrame:
+    o, c = read_table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), read_table(spark, d, "customer").where("c_acctbal > 0")
+    return joins.salted_join(o, c, ["c_custkey"], 4, "left").select("o_orderkey", "c_mktsegment")
+
+
+@query("WITH v AS (SELECT * FROM events WHERE event_type = 'view'), b AS (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) SELECT v.event_id, b.event_id AS last_event_id FROM v ASOF LEFT JOIN b ON v.user_id = b.user_id AND v.ts >= b.ts")
+def join_asof_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Each view with its user's last purchase, a day's events of a user at a time."""
+    e = read_table(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    views, buys = e.where("event_type = 'view'").drop("event_type"), e.where("event_type = 'purchase'").select("user_id", "at", "event_id")
+    return joins.asof_join(views, buys, ["user_id"], "at", prefix="last_", step=86_400_000_000).select("event_id", "last_event_id")
+
+
 @query(f"SELECT {Z} AS morsel, count(*) AS rows, CASE WHEN min(o_orderkey) > 9000 OR max(o_orderkey) < 5000 THEN 'pruned' ELSE 'kept' END AS decision, CASE WHEN min(o_orderkey) > 9000 OR max(o_orderkey) < 5000 THEN 'Between:o_orderkey' ELSE 'none' END AS evidence FROM orders GROUP BY 1")
 def explain_pruning(spark: SparkSession, d: str) -> DataFrame:
     stats = zones.zone_stats(orders(spark, d), ["morsel"], ["o_orderkey", "o_totalprice", "o_orderstatus"])
@@ -113,6 +180,12 @@ def topn_zone(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
 def topn_hinted_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Stored bounds give a value that at least 15 rows reach; rows below it need no sort, and files below it are not opened. The sort is kept."""
+    return metadata.top_n(orders_archive(spark, d), "o_totalprice", 15, ["o_orderkey"]).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
+def topn_zone_scan(spark: SparkSession, d: str) -> DataFrame:
     df = orders(spark, d)
     held = zones.top_n_zones(zones.top_n_summary(df, ["morsel"], "o_totalprice", 15), ["morsel"], 15)
     return df.join(held, "morsel", "left_semi").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(15).select("o_orderkey", "o_totalprice")
@@ -161,14 +234,14 @@ def custkeys(spark: SparkSession, d: str) -> tuple[DataFrame, key_index.KeyIndex
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 99")
 def index_eq(spark: SparkSession, d: str) -> DataFrame:
-    df, i = custkeys(spark, d)
-    return key_index.fetch(df, i, key_index.lookup_eq(i, 99)).select("o_orderkey", "o_totalprice")
+    a = orders_archive(spark, d)
+    return metadata.fetch(a, key_index.lookup_eq(metadata.index(a, "o_custkey"), 99)).select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey > 10 AND o_custkey <= 14")
 def index_range(spark: SparkSession, d: str) -> DataFrame:
-    df, i = custkeys(spark, d)
-    return key_index.fetch(df, i, key_index.lookup_range(i, 10, 14, low_open=True)).select("o_orderkey", "o_custkey")
+    a = orders_archive(spark, d)
+    return metadata.fetch(a, key_index.lookup_range(metadata.index(a, "o_custkey"), 10, 14, low_open=True)).select("o_orderkey", "o_custkey")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (1, 2, 3, 100000)")

@@ -9,7 +9,10 @@ holds for a file only while the file's length and time are those it was made fro
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+import json
+import re
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -152,19 +155,75 @@ def with_places(spark: SparkSession, path: str, zone_rows: int = Z.MORSEL_ROWS)
     return df.select("*", _file().alias("file"), F.col("_metadata.row_index").alias("row_index")).withColumn("zone", F.expr(f"row_index div {zone_rows}"))
 
 
-def read(spark: SparkSession, path: str, predicate: dict | None = None, *, use_index: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, predicate: dict | None = None, *, use_index: bool = True, residual: str = "preserve") -> DataFrame:
     """Scan an archive. With a predicate, only files that may match are opened, as statistics and indexes prove; the predicate is then applied in full.
 
     Files without valid metadata (new, rewritten) are always read, and metadata of
-    files that are gone says nothing: the rows are those of a full scan.
+    files that are gone says nothing: the rows are those of a full scan. With the
+    residual policy ``elide_exact``, files all of whose rows match are not filtered.
     """
+    if residual not in ("preserve", "elide_exact"):
+        raise ArchiveError("bad_option", residual)
     storage.recover(spark, path)
     if predicate is None:
         return spark.read.parquet(f"{path}/data")
     a = metadata.opened(spark, path)
     if a is None:
         return spark.read.parquet(f"{path}/data").where(to_column(predicate))
-    return metadata.scan(a, predicate, metadata.survey(a, predicate, use_index))
+    found = metadata.survey(a, predicate, use_index)
+    return metadata.scan(a, predicate, found, metadata.matched(a, predicate) if residual == "elide_exact" else frozenset())
+
+
+def read_late(spark: SparkSession, path: str, predicate: dict, columns: list[str], *, most: int = 10_000) -> DataFrame:
+    """The columns of matching rows, in two steps: the predicate's columns find the rows, then the other columns are read in their files only.
+
+    Worth it for few matches and wide rows; beyond ``most`` matches it is the plain scan.
+    """
+    a = metadata.opened(spark, path)
+    if a is None:
+        return read(spark, path, predicate).select(*columns)
+    rows = metadata.scan(a, predicate, metadata.survey(a, predicate))
+    places = rows.select(_file().alias("file"), F.col("_metadata.row_index").alias("row_index"))
+    few = places.limit(most + 1).collect()
+    if len(few) > most:
+        return rows.select(*columns)
+    return metadata.fetch(a, spark.createDataFrame([tuple(r) for r in few], "file string, row_index long")).select(*columns)
+
+
+def lookup(spark: SparkSession, path: str, column: str, values: list[object]) -> DataFrame:
+    """Rows with one of the values, through the column's index alone; without one that holds, by a scan."""
+    from lodestrata.functions.predicates import pred
+    from lodestrata.operators.key_index import lookup_in
+
+    a = metadata.opened(spark, path)
+    index = metadata.index(a, column) if a is not None else None
+    if index is None:
+        return read(spark, path, pred("InSet", column, values))
+    return metadata.fetch(a, lookup_in(index, values))
+
+
+def sections(spark: SparkSession, path: str) -> list[str]:
+    """The parts that an archive has."""
+    fs, p = storage._at(spark, path)
+    names = [n for n in ("data", "zones", "manifest", "schema") if storage.exists(spark, f"{path}/{n}")]
+    for kind in ("histograms", "index"):
+        if storage.exists(spark, f"{path}/{kind}"):
+            names += sorted(f"{kind}/{s.getPath().getName()}" for s in fs.listStatus(storage._at(spark, f"{path}/{kind}")[1]))
+    return names
+
+
+def inspect(spark: SparkSession, path: str) -> DataFrame:
+    """(section, files, bytes) of every part of an archive."""
+    rows = []
+    for n in sections(spark, path):
+        # metadata is plain files, data may be very many
+        if n == "data":
+            one = storage.listing(spark, f"{path}/data").agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+            rows.append((n, one[0], one[1]))
+        else:
+            held = storage.few(spark, f"{path}/{n}") or {}
+            rows.append((n, len(held), sum(x for x, _ in held.values())))
+    return spark.createDataFrame(rows, "section string, files long, bytes long")
 
 
 def manifest(spark: SparkSession, data: str, rows: DataFrame | None = None) -> DataFrame:
@@ -270,28 +329,78 @@ def trust_chain(df: DataFrame, segment: list[str], order: list[str], payload: Co
     return rows.select(*segment, F.size("r").alias("n"), chained.alias("head"))
 
 
+#: What conversion makes of source types (Arrow names): the type, and whether something is lost.
+TYPE_POLICIES = {
+    "timestamp[s]": ("timestamp", False), "timestamp[ms]": ("timestamp", False), "timestamp[us]": ("timestamp", False), "timestamp[ns]": ("timestamp", True), "large_string": ("string", False), "large_binary": ("binary", False),
+    "uint8": ("smallint", False), "uint16": ("int", False), "uint32": ("bigint", False), "uint64": ("decimal(20,0)", False), "halffloat": ("float", False), "date64[ms]": ("date", True), "time64[us]": ("bigint", True), "null": ("string", True),
+}
+
+
+def source_type(name: str) -> tuple[str, bool]:
+    """(Spark type, lossy) of an Arrow type by name; time zones are dropped to UTC, decimals keep precision and scale, what has no row here is kept as Arrow has it."""
+    plain = re.sub(r", tz=[^\]]*", "", name)
+    if m := re.fullmatch(r"decimal(?:128|256)?\((\d+), ?(\d+)\)", plain):
+        return (f"decimal({m[1]},{m[2]})", False) if int(m[1]) <= 38 else ("string", True)
+    if plain in TYPE_POLICIES:
+        return TYPE_POLICIES[plain]
+    same = {"int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "float": "float", "double": "double", "bool": "boolean", "string": "string", "binary": "binary", "date32[day]": "date"}
+    return same.get(plain, plain), False
+
+
 @dataclass
 class ConversionReport:
+    """What a conversion read, wrote and lost."""
+
     source: str
     format: str
     rows: int = 0
     columns: list[dict] = field(default_factory=list)
     lossy: list[str] = field(default_factory=list)
+    source_digest: str | None = None
+    schema_digest: str = ""
+    sections: list[str] = field(default_factory=list)
+    histograms: list[str] = field(default_factory=list)
+    indexes: list[str] = field(default_factory=list)
+    files: int = 0
+    bytes: int = 0
+    policies: dict[str, str] = field(default_factory=lambda: {"timestamp": "micros", "timezone": "session", "decimal": "keep", "collation": "binary", "nested": "keep", "unstorable": "json"})
+    reordered: bool = False
+    fallbacks: list[str] = field(default_factory=list)
+
+    def json(self) -> str:
+        return json.dumps(asdict(self))
 
 
 def convert(spark: SparkSession, source: str, target: str, options: WriteOptions | None = None, schema: T.StructType | None = None) -> ConversionReport:
     """Read any known format, write an archive, report what became of each column."""
+    o = options or WriteOptions()
     df = read_any(spark, source, schema)
     stored = storable(df)
-    write(df, target, options)
-    rep = ConversionReport(source, detect_format(source), spark.read.parquet(f"{target}/data").count())
+    write(df, target, o)
+    rep = ConversionReport(source, detect_format(source))
+    made = spark.read.parquet(f"{target}/manifest").agg(F.sum("rows").alias("rows"), F.count("*").alias("files"), F.sum("bytes").alias("bytes")).first()
+    rep.rows, rep.files, rep.bytes = made.rows or 0, made.files, made.bytes or 0
     for a, b in zip(df.schema, stored.schema):
         rep.columns.append({"name": a.name, "source_type": a.dataType.simpleString(), "type": b.dataType.simpleString(), "nullable": a.nullable})
         if a.dataType != b.dataType:
             rep.lossy.append(a.name)
+            rep.fallbacks.append(f"{a.name}: {a.dataType.simpleString()} as {b.dataType.simpleString()}")
+    # one digest over the source's files, each up to DIGEST_BYTES by its bytes
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
+    parts = files.where(F.col("length") <= DIGEST_BYTES).select(F.sha2("content", 256).alias("d")).union(files.where(F.col("length") > DIGEST_BYTES).select(F.concat(F.lit("length:"), F.col("length").cast("string"))))
+    rep.source_digest = "sha256:" + parts.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("d")), ","), 256)).first()[0]
+    rep.schema_digest = hashlib.sha256("|".join(sorted(f"{f.name}:{f.dataType.simpleString()}" for f in stored.schema)).encode()).hexdigest()
+    rep.sections, rep.reordered = sections(spark, target), bool(o.cluster_by or o.curve)
+    rep.histograms, rep.indexes = ([s.partition("/")[2] for s in rep.sections if s.startswith(kind)] for kind in ("histograms/", "index/"))
     return rep
 
 
+def report_rows(spark: SparkSession, report: ConversionReport) -> DataFrame:
+    """One row per column of a conversion."""
+    rows = [(c["name"], c["source_type"], c["type"], c["nullable"], c["name"] in report.lossy, c["name"] in report.histograms, c["name"] in report.indexes) for c in report.columns]
+    return spark.createDataFrame(rows, "name string, source_type string, type string, nullable boolean, lossy boolean, histogram boolean, indexed boolean")
+
+
 def sql_type(kind: T.DataType) -> str:
     names = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "tinyint": "SMALLINT", "double": "DOUBLE", "float": "REAL", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
     text = kind.simpleString()
@@ -326,8 +435,18 @@ def write_partitioned(df: DataFrame, path: str, *columns: str) -> None:
 
 
 def fidelity(df: DataFrame) -> DataFrame:
-    """(column, type, exact): whether an Arrow export keeps a column's type."""
-    rows = [(f.name, f.dataType.simpleString(), not isinstance(f.dataType, T.NullType)) for f in df.schema]
+    """(column, type, exact): whether a column's type comes back from Arrow as it was."""
+    from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
+
+    def exact(kind: T.DataType) -> bool:
+        if isinstance(kind, T.NullType):
+            return False
+        try:
+            return from_arrow_type(to_arrow_type(kind)).simpleString() == kind.simpleString()
+        except Exception:  # Arrow has no such type
+            return False
+
+    rows = [(f.name, f.dataType.simpleString(), exact(f.dataType)) for f in df.schema]
     return df.sparkSession.createDataFrame(rows, "column string, type string, exact boolean")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.functions.predicates import children, columns_of, pred, to_column
+from lodestrata.functions.predicates import children, columns_of, cost_ordered, pred, to_column
 from lodestrata.operators import zones as Z
 from lodestrata.operators.key_index import KeyIndex
 from lodestrata.operators.synopses import Synopses
@@ -154,14 +154,30 @@ def _index_atom(a: Archive, p: dict) -> tuple[str, dict] | None:
     return None
 
 
-def scan(a: Archive, p: dict, found: Survey) -> DataFrame:
-    """The files of a survey, filtered by the whole predicate."""
+def matched(a: Archive, p: dict) -> frozenset[str]:
+    """Files that valid statistics show to match whole; none where there are many files."""
+    stats, columns, local = _zone_table(a)
+    states = _states(a)
+    if states is None or not local:
+        return frozenset()
+    partial = {r.file for r in stats.where(Z.outcome(_known(p, columns)) != Z.ALL).select("file").collect()}
+    return frozenset(states[1] - partial)
+
+
+def scan(a: Archive, p: dict, found: Survey, whole_files: frozenset[str] = frozenset()) -> DataFrame:
+    """The files of a survey, filtered by the predicate, cheap tests first; ``whole_files`` need no filter."""
     data = f"{a.path}/data"
-    if found.files is None:
-        return a.spark.read.schema(a.schema).parquet(data).where(to_column(p)) if not found.unknown else a.spark.read.parquet(data).where(to_column(p))
-    if not found.files:
+    test = to_column(cost_ordered(p, {f.name: f.dataType.simpleString() for f in a.schema}))
+    if found.files is None and not whole_files:
+        return (a.spark.read.parquet(data) if found.unknown else a.spark.read.schema(a.schema).parquet(data)).where(test)
+    files = found.files if found.files is not None else sorted(storage.few(a.spark, data) or {})
+    part = lambda names: a.spark.read.schema(a.schema).option("basePath", data).parquet(*(f"{data}/{f}" for f in names))
+    some, every = [f for f in files if f not in whole_files], [f for f in files if f in whole_files]
+    if not files:
         return a.spark.createDataFrame([], a.schema)
-    return a.spark.read.schema(a.schema).option("basePath", data).parquet(*(f"{data}/{f}" for f in found.files)).where(to_column(p))
+    if not every:
+        return part(some).where(test)
+    return part(every) if not some else part(every).unionByName(part(some).where(test))
 
 
 def synopses(a: Archive) -> Synopses | None:
@@ -232,6 +248,31 @@ def fetch(a: Archive, found: DataFrame) -> DataFrame:
     return df.join(F.broadcast(local), ["__file", "__row"], "left_semi").select(*a.schema.names)
 
 
+def top_n(a: Archive, column: str, n: int, ties: list[str], largest: bool = True) -> DataFrame:
+    """The n rows with the largest (or smallest) values, nulls last, then by ``ties``.
+
+    Zones in order of their worst bound, as far as they surely hold n rows, give a
+    value that the n-th row reaches at least. Only rows up to it are sorted, and files
+    without one are not opened.
+    """
+    order = [F.desc_nulls_last(column) if largest else F.asc_nulls_last(column), *ties]
+    stats, columns, local = _zone_table(a)
+    if column not in columns or not local or not whole(a):
+        return a.spark.read.parquet(f"{a.path}/data").orderBy(*order).limit(n)
+    worst = f"{column}__{'min' if largest else 'max'}"
+    rows = stats.select((F.col("rows") - F.col(f"{column}__nulls")).alias("n"), F.col(worst).alias("worst"), F.col(f"{column}__nan").alias("nan")).where("n > 0").collect()
+    held, bound = 0, None
+    for r in sorted((r for r in rows if r.worst is not None), key=lambda r: r.worst, reverse=largest):
+        held += r.n
+        if held >= n:
+            bound = r.worst
+            break
+    if bound is None or any(r.nan for r in rows):
+        return a.spark.read.schema(a.schema).parquet(f"{a.path}/data").orderBy(*order).limit(n)
+    p = pred("GtEq" if largest else "LtEq", column, bound)
+    return scan(a, p, survey(a, p)).orderBy(*order).limit(n)
+
+
 def explain(a: Archive, p: dict, projection: list[str] | None = None) -> DataFrame:
     """One row per zone: file, zone, row_start, rows, decision, outcome, evidence, fallback; files without valid metadata have one row that is kept."""
     stats, columns, _ = _zone_table(a)

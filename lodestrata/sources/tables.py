@@ -6,6 +6,7 @@ partition values reach the Parquet scan.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -122,20 +123,92 @@ def detect_format(path: str) -> str:
     return FORMATS[ext]
 
 
+def _arrow_batches(raw: object) -> Iterator[object]:
+    """The record batches of Arrow IPC bytes, file or stream."""
+    import pyarrow as pa
+    import pyarrow.ipc as ipc
+
+    try:
+        reader = ipc.open_file(raw)
+        yield from (reader.get_batch(i) for i in range(reader.num_record_batches))
+    except pa.ArrowInvalid:
+        if hasattr(raw, "seek"):
+            raw.seek(0)
+        yield from ipc.open_stream(raw)
+
+
+def read_arrow(spark: SparkSession, path: str) -> DataFrame:
+    """Arrow IPC files of one schema, from any store that Spark reads; a task holds a file whole."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    def schema_of(raw: bytes):
+        import pyarrow.ipc as ipc
+
+        try:
+            return ipc.open_file(raw).schema
+        except pa.ArrowInvalid:
+            return ipc.open_stream(raw).schema
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    first = files.limit(1).mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([schema_of(x.as_py()).serialize().to_pybytes()], pa.binary())], ["s"]) for b in it for x in b.column(0)), "s binary").first()
+    if first is None:
+        raise ArchiveError("empty_listing", path)
+    schema = from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(first.s)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                for part in _arrow_batches(x.as_py()):
+                    if part.schema.names != schema.names:
+                        raise ArchiveError("schema_mismatch", str(part.schema.names))
+                    yield part
+
+    return files.mapInArrow(run, schema)
+
+
+def read_bytes(spark: SparkSession, source: object, kind: str, schema: T.StructType | None = None) -> DataFrame:
+    """A table out of memory: bytes, or a file-like object that is read by ranges (Parquet and ORC read what they need).
+
+    ``kind``: parquet, orc, arrow, csv or jsonl. The rows are converted on the driver, and so need to fit there.
+    """
+    import io
+
+    import pyarrow as pa
+
+    if kind not in ("parquet", "orc", "arrow", "csv", "jsonl", "json"):
+        raise ArchiveError("unknown_format", kind)
+    f = pa.BufferReader(source) if isinstance(source, (bytes, bytearray, memoryview)) else pa.PythonFile(source, "r")
+    try:
+        if kind == "parquet":
+            import pyarrow.parquet as pq
+
+            found = pq.read_table(f, columns=schema.names if schema is not None else None)
+        elif kind == "orc":
+            import pyarrow.orc as orc
+
+            found = orc.ORCFile(f).read(columns=schema.names if schema is not None else None)
+        elif kind == "arrow":
+            found = pa.Table.from_batches(list(_arrow_batches(f)))
+        elif kind == "csv":
+            import pyarrow.csv as csv
+
+            found = csv.read_csv(f)
+        else:
+            import pyarrow.json as pj
+
+            found = pj.read_json(io.BytesIO(f.read()))
+    except (pa.ArrowInvalid, OSError) as e:
+        raise ArchiveError("bad_bytes", str(e)) from e
+    df = spark.createDataFrame(found)
+    return df if schema is None else df.select(*(F.col(x.name).cast(x.dataType).alias(x.name) for x in schema))
+
+
 def read_any(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read by extension. Arrow files are converted on the driver and so suit small inputs only."""
+    """Read by extension."""
     kind = detect_format(path)
     if kind == "arrow":
-        import pyarrow.ipc as ipc
-        import pyarrow as pa
-
-        with pa.memory_map(path.removeprefix("file://")) as f:
-            try:
-                found = ipc.open_file(f).read_all()
-            except pa.ArrowInvalid:
-                f.seek(0)
-                found = ipc.open_stream(f).read_all()
-        return spark.createDataFrame(found)
+        return read_arrow(spark, path)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind == "csv":
         reader = reader.option("header", True) if schema is not None else reader.option("header", True).option("inferSchema", True)
