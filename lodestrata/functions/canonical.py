@@ -39,7 +39,19 @@ def le32(c: Column) -> Column:
 
 def with_length(b: Column) -> Column:
     b = b.cast("binary")
-    return F.concat(le64(F.octet_length(b)), b)
+    n = F.octet_length(b)
+    # one byte of length and seven of nothing, for what is short
+    short = F.unhex(F.concat(F.lpad(F.hex(n), 2, "0"), F.lit("0" * 14)))
+    return F.concat(F.when(n < 256, short).otherwise(le64(n)), b)
+
+
+def _sized(b: bytes) -> bytes:
+    """:func:`with_length` of what is known."""
+    return len(b).to_bytes(8, "little") + b
+
+
+def _lit(b: bytes) -> Column:
+    return F.lit(bytearray(b))
 
 
 def component_bytes(c: Column, kind: str) -> Column:
@@ -58,11 +70,54 @@ def component_bytes(c: Column, kind: str) -> Column:
 
 def join_key(object_type_id: int, rule: str, components: list[tuple[str, str, Column]], marker: bytes = KEY_MARKER) -> Column:
     """The byte tuple of a key: marker, type, rule, then (role, type, presence, bytes) of each component. Null is not empty."""
-    parts = [F.lit(bytearray(marker)), le32(F.lit(object_type_id)), with_length(F.lit(rule)), le32(F.lit(len(components)))]
+    known, parts = marker + object_type_id.to_bytes(4, "little") + _sized(rule.encode()) + len(components).to_bytes(4, "little"), []
+    for role, kind, c in components:
+        known += _sized(role.encode()) + _sized(kind.encode())
+        made = component_bytes(c, kind)
+        value = with_length(made) if kind in ("utf8", "binary") else F.concat(_lit((1 if kind == "bool" else 8).to_bytes(8, "little")), made)
+        parts += [_lit(known), F.when(c.isNull(), _lit(b"\x00")).otherwise(F.concat(_lit(b"\x01"), value))]
+        known = b""
+    return F.concat(*parts) if parts else _lit(known)
+
+
+# The same as SQL over named columns: one expression is parsed at once, where each Column call is a trip to the JVM.
+def _hexed(b: bytes) -> str:
+    return f"X'{b.hex()}'"
+
+
+def _le_sql(value: str, size: int = 8) -> str:
+    digits = f"lpad(hex(cast({value} as bigint)), 16, '0')"
+    return f"unhex(concat({', '.join(f'substring({digits}, {15 - 2 * i}, 2)' for i in range(size))}))"
+
+
+def sized_sql(binary: str) -> str:
+    """:func:`with_length` of a binary expression."""
+    n = f"octet_length({binary})"
+    return f"concat(if({n} < 256, unhex(concat(lpad(hex({n}), 2, '0'), '{'0' * 14}')), {_le_sql(n)}), {binary})"
+
+
+def key_sql(object_type_id: int, rule: str, components: list[tuple[str, str, str]], marker: bytes = KEY_MARKER) -> str:
+    """:func:`join_key` of components (role, kind, column name)."""
+    known, parts = marker + object_type_id.to_bytes(4, "little") + _sized(rule.encode()) + len(components).to_bytes(4, "little"), []
     for role, kind, c in components:
-        value = F.when(c.isNull(), F.lit(bytearray(b"\x00"))).otherwise(F.concat(F.lit(bytearray(b"\x01")), with_length(component_bytes(c, kind))))
-        parts += [with_length(F.lit(role)), with_length(F.lit(kind)), value]
-    return F.concat(*parts)
+        known += _sized(role.encode()) + _sized(kind.encode())
+        if kind in ("utf8", "binary"):
+            value = sized_sql(f"cast(`{c}` as binary)")
+        elif kind == "bool":
+            value = f"concat({_hexed((1).to_bytes(8, 'little'))}, if(cast(`{c}` as boolean), X'01', X'00'))"
+        elif kind in ("int64", "uint64"):
+            value = f"concat({_hexed((8).to_bytes(8, 'little'))}, {_le_sql(f'`{c}`')})"
+        else:
+            component_bytes(F.lit(0), kind)
+        parts += [_hexed(known), f"if(`{c}` is null, X'00', concat(X'01', {value}))"]
+        known = b""
+    return f"concat({', '.join(parts)})" if parts else _hexed(known)
+
+
+def goid_sql(mapping_id: bytes, version: str, type_id: int, rule: str, tuple_: str, scope: str) -> str:
+    """:func:`goid` of a binary column and a string expression."""
+    head = _sized(mapping_id) + _sized(version.encode()) + _sized(type_id.to_bytes(4, "little")) + _sized(rule.encode())
+    return f"substring(sha2(concat({_hexed(head)}, {sized_sql(tuple_)}, {sized_sql(f'cast({scope} as binary)')}), 256), 1, 32)"
 
 
 def digest(b: Column) -> Column:
@@ -71,8 +126,8 @@ def digest(b: Column) -> Column:
 
 def goid(mapping_id: bytes, version: str, type_id: int, rule: str, tuple_: Column, scope: Column) -> Column:
     """The 32-digit object id: half of a digest over length-prefixed parts. It depends on the row alone."""
-    parts = [F.lit(bytearray(mapping_id)), F.lit(version), le32(F.lit(type_id)), F.lit(rule), tuple_, scope]
-    return F.substring(F.sha2(F.concat(*map(with_length, parts)), 256), 1, 32)
+    head = _sized(mapping_id) + _sized(version.encode()) + _sized(type_id.to_bytes(4, "little")) + _sized(rule.encode())
+    return F.substring(F.sha2(F.concat(_lit(head), with_length(tuple_), with_length(scope)), 256), 1, 32)
 
 
 def record_id(source: Column, row: Column, rule: Column, goid_: Column) -> Column:

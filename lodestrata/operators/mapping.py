@@ -13,7 +13,7 @@ import re
 from dataclasses import MISSING, asdict, dataclass, fields
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import canonical as K
@@ -179,21 +179,28 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _key(m: Mapping, rule_id: str, type_id: int, components: tuple[Component, ...], null_policy: str) -> Column:
-    cols = []
-    for c in components:
+def _text(s: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _with_key(m: Mapping, r: Rule, rows: DataFrame, components: tuple[Component, ...], null_policy: str, out: str) -> DataFrame:
+    """Rows with the canonical parts of a rule's key as columns, and the key's byte tuple in column ``out``."""
+    cells = {}
+    for i, c in enumerate(components):
         v = K.canonicalise(F.col(c.column).cast("string"), list(c.functions), list(m.functions)) if c.functions else F.col(c.column)
         if null_policy == "reject":
-            v = F.when(v.isNotNull(), v).otherwise(F.raise_error(F.lit(f"null key component: {rule_id}.{c.role}")).cast("string"))
-        cols.append((c.role, c.kind, v))
-    return K.join_key(type_id, rule_id, cols)
+            v = F.when(v.isNotNull(), v).otherwise(F.raise_error(F.lit(f"null key component: {r.id}.{c.role}")).cast("string"))
+        cells[f"{out}_{i}"] = v
+    kept = rows.withColumns(cells) if cells else rows
+    made = K.key_sql(m.types()[r.object_type], r.id, [(c.role, c.kind, f"{out}_{i}") for i, c in enumerate(components)])
+    return kept.withColumn(out, F.expr(made))
 
 
-def _goid(m: Mapping, r: Rule, key: Column) -> Column:
-    """The id of a row's object under a rule, from its key; null for candidates. It is an expression over the row."""
-    row = F.concat_ws(":", F.lit(r.source), F.col("row_index").cast("string"))
-    scope = {"global": F.lit(""), "source": F.lit(r.source), "row": row}[r.scope()]
-    return F.lit(None).cast("string") if r.candidate() else K.goid(m.id, m.version, m.types()[r.object_type], r.id, key, scope)
+def _goid(m: Mapping, r: Rule, key: str) -> str:
+    """SQL of the id of a row's object under a rule, from its key's column; null for candidates. It is an expression over the row."""
+    scope = {"global": "''", "source": _text(r.source), "row": f"concat_ws(':', {_text(r.source)}, cast(row_index as string))"}[r.scope()]
+    return "cast(null as string)" if r.candidate() else K.goid_sql(m.id, m.version, m.types()[r.object_type], r.id, key, scope)
 
 
 def _rows(r: Rule, sources: dict[str, DataFrame]) -> DataFrame:
@@ -206,19 +213,22 @@ def _rows(r: Rule, sources: dict[str, DataFrame]) -> DataFrame:
 def identities(m: Mapping, sources: dict[str, DataFrame]) -> DataFrame:
     """One row for each source row under each of its rules: source_id, row_index, rule_id, object_type, kind, key_tuple, key_digest, goid, candidate, the row's digest, and the order of its group's anchor."""
     m.validate()
-    types, order = m.types(), {s.id: i for i, s in enumerate(m.sources)}
+    order = {s.id: i for i, s in enumerate(m.sources)}
     if missing := sorted(set(sources) - {r.source for r in m.rules}):
         raise ArchiveError("no_rule", missing[0])
     parts = []
     for i, r in enumerate(m.rules):
         rows = _rows(r, sources)
-        key = _key(m, r.id, types[r.object_type], r.key, r.null_policy)
-        df = rows.select(
-            F.lit(r.source).alias("source_id"), F.col("row_index").cast("long"), F.lit(r.id).alias("rule_id"), F.lit(r.object_type).alias("object_type"), F.lit(r.kind).alias("kind"), F.lit(r.commits()).alias("record_kind"),
-            key.alias("key_tuple"), F.lit(r.candidate()).alias("candidate"), F.lit(CLASSES.index(r.merge_class)).alias("class_rank"), F.lit(i).alias("rule_order"), F.lit(order[r.source]).alias("source_order"),
-            K.row_digest([c for c in rows.columns if c != "row_index"]).alias("row_digest"),
+        names = sorted(c for c in rows.columns if c != "row_index")
+        row_json = f"to_json(struct({', '.join(f'`{c}`' for c in names)}), map('ignoreNullFields', 'false'))" if names else "'{}'"
+        keyed = _with_key(m, r, rows, r.key, r.null_policy, "__key")
+        parts.append(
+            keyed.selectExpr(
+                f"{_text(r.source)} as source_id", "cast(row_index as bigint) as row_index", f"{_text(r.id)} as rule_id", f"{_text(r.object_type)} as object_type", f"{_text(r.kind)} as kind", f"{_text(r.commits())} as record_kind",
+                "__key as key_tuple", f"{str(r.candidate()).lower()} as candidate", f"{CLASSES.index(r.merge_class)} as class_rank", f"{i} as rule_order", f"{order[r.source]} as source_order",
+                f"sha2({row_json}, 256) as row_digest", "sha2(__key, 256) as key_digest", f"{_goid(m, r, '__key')} as goid",
+            )
         )
-        parts.append(df.withColumn("key_digest", K.digest(F.col("key_tuple"))).withColumn("goid", _goid(m, r, F.col("key_tuple"))))
     return _union(parts)
 
 
@@ -321,30 +331,27 @@ def associations(m: Mapping, sources: dict[str, DataFrame], ids: DataFrame | Non
     up is only whether the target's key is known, and which objects have it where equal
     keys are not one object. ``ids`` is not needed.
     """
-    types, rules = m.types(), {r.id: r for r in m.rules}
+    rules = {r.id: r for r in m.rules}
     parts = []
     for a in m.associations:
         source, target = rules[a.from_rule], rules[a.to_rule]
         if source.kind not in ASSOCIATION_KINDS or source.candidate():
             continue
-        text = lambda c: (F.col(c).cast("string") if c else F.lit(None).cast("string"))
         fail = lambda what, a=a: F.raise_error(F.lit(f"missing {what}: {a.id}")).cast("string")
-        own_key = _key(m, a.from_rule, types[source.object_type], source.key, source.null_policy)
         same_row = not a.to_key
-        to_key = _key(m, a.to_rule, types[target.object_type], target.key if same_row else a.to_key, "marker")
-        rows = _rows(source, sources).select(
-            F.col("row_index").cast("long"), _goid(m, source, own_key).alias("source_goid"), K.digest(to_key).alias("key_digest"),
-            (_goid(m, target, to_key) if same_row or target.scope() == "global" else F.lit(None).cast("string")).alias("made"),
-            *(text(getattr(a, c)).alias(c) for c in ("valid_from", "valid_to", "observed_at")),
-        )
+        keyed = _with_key(m, source, _rows(source, sources), source.key, source.null_policy, "__own")
+        keyed = _with_key(m, target, keyed, target.key if same_row else a.to_key, "marker", "__to")
+        made = _goid(m, target, "__to") if same_row or target.scope() == "global" else "cast(null as string)"
+        cells = [f"cast({f'`{c}`' if (c := getattr(a, n)) else 'null'} as string) as {n}" for n in ("valid_from", "valid_to", "observed_at")]
+        rows = keyed.selectExpr("cast(row_index as bigint) as row_index", f"{_goid(m, source, '__own')} as source_goid", "sha2(__to, 256) as key_digest", f"{made} as made", *cells)
         if same_row:
             found = rows.withColumnRenamed("made", "target_goid")
         else:
-            known = _rows(target, sources).select(K.digest(_key(m, a.to_rule, types[target.object_type], target.key, "marker")).alias("key_digest"), _goid(m, target, _key(m, a.to_rule, types[target.object_type], target.key, "marker")).alias("known"))
+            known = _with_key(m, target, _rows(target, sources), target.key, "marker", "__to").selectExpr("sha2(__to, 256) as key_digest", f"{_goid(m, target, '__to')} as known")
             if target.scope() == "global":
                 # equal keys are one object, whose id the row itself tells
-                known = known.select("key_digest").distinct().withColumn("has", F.lit(True))
-                found = rows.join(known, "key_digest", "left").withColumn("target_goid", F.when(F.col("has"), F.col("made")))
+                known = known.selectExpr("key_digest", "true as has").distinct()
+                found = rows.join(known, "key_digest", "left").withColumn("target_goid", F.expr("if(has, made, null)"))
             else:
                 found = rows.join(known.distinct(), "key_digest", "left").withColumnRenamed("known", "target_goid")
         ends = [("target_goid", "end"), *((c, c) for c in ("valid_from", "valid_to") if getattr(a, c))]
@@ -353,11 +360,11 @@ def associations(m: Mapping, sources: dict[str, DataFrame], ids: DataFrame | Non
                 found = found.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c)).otherwise(fail(what)))
             else:
                 found = found.where(F.col(c).isNotNull())
-        made = F.substring(F.sha2(F.concat_ws("|", F.lit(m.id.hex()), F.lit(a.type), F.lit(a.id), "source_goid", "target_goid"), 256), 1, 32)
+        goid = f"substring(sha2(concat_ws('|', '{m.id.hex()}', {_text(a.type)}, {_text(a.id)}, source_goid, target_goid), 256), 1, 32)"
         parts.append(
-            found.where("target_goid is not null").select(
-                F.lit(a.id).alias("association_id"), F.lit(a.type).alias("type"), made.alias("association_goid"), "source_goid", "target_goid", F.lit(a.source).alias("source_id"), "row_index", "valid_from", "valid_to", "observed_at",
-                F.lit(a.source_role).alias("source_role"), F.lit(a.target_role).alias("target_role"), F.concat_ws(":", F.lit(a.source), F.col("row_index").cast("string")).alias("source_evidence_id"), F.lit(a.cardinality).alias("cardinality_policy"),
+            found.where("target_goid is not null").selectExpr(
+                f"{_text(a.id)} as association_id", f"{_text(a.type)} as type", f"{goid} as association_goid", "source_goid", "target_goid", f"{_text(a.source)} as source_id", "row_index", "valid_from", "valid_to", "observed_at",
+                f"{_text(a.source_role)} as source_role", f"{_text(a.target_role)} as target_role", f"concat_ws(':', {_text(a.source)}, cast(row_index as string)) as source_evidence_id", f"{_text(a.cardinality)} as cardinality_policy",
             )
         )
     if not parts:

@@ -173,9 +173,13 @@ def literal(v: object) -> Value:
     return Value(F.lit(v), F.lit(None).cast("double"), F.lit(json.dumps(v, ensure_ascii=False)), F.lit(True), quoted=True)
 
 
+#: Text that looks like a number.
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def loose(c: Column) -> Value:
     """Text without a type: a number where it looks like one."""
-    number = c.try_cast("double")
+    number = F.when(c.rlike(_NUMBER), c.try_cast("double"))
     return Value(c, number, F.when(number.isNotNull(), c).otherwise(F.concat(F.lit('"'), c, F.lit('"'))), number.isNull() & c.isNotNull(), loose=True)
 
 
@@ -523,8 +527,8 @@ class Projector:
             v = self._of_link(rows, path)
             whole = F.struct(v.text.alias("text"), v.number.alias("number"), v.json.alias("json"))
             if name in ("min", "max"):
+                # numbers as numbers if all are, else JSON text: one order for both, by which kind there is
                 by = F.min_by if name == "min" else F.max_by
-                # numbers as numbers if all are, else JSON text
                 all_numbers = F.count(v.number) == F.count(v.json)
                 made = F.when(all_numbers, by(whole, v.number)).otherwise(by(whole, v.json))
             else:

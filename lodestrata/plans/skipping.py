@@ -24,7 +24,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: How the orders' archive is laid out: by key, in files of some thousand rows, with indexes and histograms.
-ORDERS = {"cluster_by": ("o_orderkey",), "partitions": 8, "zone_rows": zones.MORSEL_ROWS, "indexes": ("o_custkey", "o_orderkey"), "histograms": ("o_orderstatus", "o_custkey")}
+ORDERS = {"cluster_by": ("o_orderkey",), "partitions": 8, "zone_rows": zones.MORSEL_ROWS, "indexes": ("o_custkey", "o_orderkey"), "include": ("o_orderkey", "o_totalprice"), "histograms": ("o_orderstatus", "o_custkey")}
 
 
 def orders_archive(spark: SparkSession, d: str) -> metadata.Archive:
@@ -235,7 +235,7 @@ def custkeys(spark: SparkSession, d: str) -> tuple[DataFrame, key_index.KeyIndex
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 99")
 def index_eq(spark: SparkSession, d: str) -> DataFrame:
     a = orders_archive(spark, d)
-    return metadata.fetch(a, key_index.lookup_eq(metadata.index(a, "o_custkey"), 99)).select("o_orderkey", "o_totalprice")
+    return metadata.fetch(a, key_index.lookup_eq(metadata.index(a, "o_custkey"), 99), ["o_orderkey", "o_totalprice"])
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey > 10 AND o_custkey <= 14")

@@ -39,6 +39,8 @@ class WriteOptions:
     columns; ``bloom``: columns with a Bloom filter; ``statistics``: columns with zone
     statistics (None: all that can be ordered); ``histograms`` and ``indexes``: columns,
     or ``"none"``, or for histograms ``"auto"``: every scalar column of few values;
+    ``include``: columns that every index holds beside its key, so that lookups of these
+    alone open no data file;
     ``zone_rows``: rows of a zone. Row groups are Parquet's own.
     """
 
@@ -52,6 +54,7 @@ class WriteOptions:
     mode: str = "errorifexists"
     histograms: tuple[str, ...] | str = ()
     indexes: tuple[str, ...] | str = ()
+    include: tuple[str, ...] = ()
     curve: tuple[str, ...] = ()
     curve_kind: str = "z"
 
@@ -61,7 +64,7 @@ class WriteOptions:
         for name in ("histograms", "indexes"):
             if isinstance(v := getattr(self, name), str) and v not in (("none", "auto") if name == "histograms" else ("none",)):
                 raise ArchiveError("bad_option", f"{name}: {v}")
-        named = {*self.cluster_by, *self.partition_by, *self.bloom, *self.curve, *(self.statistics or ()), *(() if isinstance(self.histograms, str) else self.histograms), *(() if isinstance(self.indexes, str) else self.indexes)}
+        named = {*self.cluster_by, *self.partition_by, *self.bloom, *self.curve, *self.include, *(self.statistics or ()), *(() if isinstance(self.histograms, str) else self.histograms), *(() if isinstance(self.indexes, str) else self.indexes)}
         if missing := sorted(named - set(df.columns)):
             raise ArchiveError("unknown_column", missing[0])
         if self.curve_kind == "hilbert" and len(self.curve) not in (0, 2):
@@ -140,7 +143,7 @@ def _describe(spark: SparkSession, path: str, o: WriteOptions) -> None:
         hist.write.mode("overwrite").parquet(f"{path}/histograms/{c}")
     for c in () if isinstance(o.indexes, str) else o.indexes:
         # sorted by key, so that row-group statistics prune lookups
-        keys = rows.where(F.col(c).isNotNull()).select(F.col(c).alias("key"), "file", "row_index")
+        keys = rows.where(F.col(c).isNotNull()).select(F.col(c).alias("key"), "file", "row_index", *(x for x in o.include if x not in ("key", "file", "row_index")))
         keys.repartitionByRange("key").sortWithinPartitions("key", "file", "row_index").write.mode("overwrite").parquet(f"{path}/index/{c}")
 
 

@@ -49,11 +49,17 @@ class Archive:
     schema: T.StructType
     files: dict[str, tuple[int, int]] | None
     tables: dict[str, _Table] = field(default_factory=dict)
+    #: By predicate, the files that there were and what was found of them.
+    surveys: dict[str, tuple[dict, Survey]] = field(default_factory=dict)
+    missing: set[str] = field(default_factory=set)
 
     def table(self, name: str) -> _Table | None:
+        if name in self.missing:
+            return None
         if name not in self.tables:
             path = f"{self.path}/{name}"
             if not storage.exists(self.spark, f"{path}/_SUCCESS"):
+                self.missing.add(name)
                 return None
             size = sum(n for n, _ in (storage.few(self.spark, path) or {"": (HELD_BYTES, 0)}).values())
             self.tables[name] = _Table(self.spark, path, size <= HELD_BYTES)
@@ -121,11 +127,16 @@ def _zone_table(a: Archive) -> tuple[DataFrame, set[str], bool]:
 
 
 def survey(a: Archive, p: dict, use_index: bool = True) -> Survey:
-    """Files that may hold a match: all but those with valid metadata of which every zone, or an index, says no."""
+    """Files that may hold a match: all but those with valid metadata of which every zone, or an index, says no.
+
+    What a predicate leaves is kept while the files stay as they are.
+    """
+    states = _states(a)
+    key = json.dumps([p, use_index], default=repr, sort_keys=True)
+    if states is not None and key in a.surveys and a.surveys[key][0] == states[0]:
+        return a.surveys[key][1]
     stats, columns, local = _zone_table(a)
     o = Z.outcome(_known(p, columns))
-    states = _states(a)
-    index = _index_atom(a, p) if use_index else None
     if states is None or not local:
         made = a.spark.read.parquet(f"{a.path}/manifest").select("file", "bytes", "modified")
         now = storage.listing(a.spark, f"{a.path}/data")
@@ -134,15 +145,19 @@ def survey(a: Archive, p: dict, use_index: bool = True) -> Survey:
         found = [r.file for r in left.limit(NAMED_FILES + 1).collect()]
         return Survey(found if len(found) <= NAMED_FILES else None)
     now, valid = states
-    may = {r.file for r in stats.where(o != Z.NO).select("file").distinct().collect()} if not local else {r.file for r in stats.where(o != Z.NO).select("file").collect()}
+    may = {r.file for r in stats.where(o != Z.NO).select("file").collect()}
     out = Survey(None, len(now), 0, len(now) - len(valid))
-    if index is not None:
+    if use_index and (index := _index_atom(a, p)) is not None:
         column, atom = index
-        hits = a.table(f"index/{column}").df.where(to_column({**atom, "column": "key"})).select("file")
-        may &= {r.file for r in (hits if a.table(f"index/{column}").local else hits.distinct()).collect()}
+        t = a.table(f"index/{column}")
+        hits = t.df.where(to_column({**atom, "column": "key"})).select("file")
+        may &= {r.file for r in (hits if t.local else hits.distinct()).collect()}
         out.by_index = column
     keep = sorted(f for f in now if f not in valid or f in may)
     out.pruned, out.files = len(now) - len(keep), keep if len(keep) < len(now) else None
+    if len(a.surveys) > 1000:
+        a.surveys.clear()
+    a.surveys[key] = now, out
     return out
 
 
@@ -222,18 +237,24 @@ def fingerprint(a: Archive) -> str:
     return hashlib.sha256(repr(sorted(a.files.items())).encode()).hexdigest()
 
 
-def fetch(a: Archive, found: DataFrame) -> DataFrame:
-    """The data rows at the places (file, row_index) of a lookup; few places name the files to read."""
+def fetch(a: Archive, found: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The data rows (or some columns) at the places (file, row_index) of a lookup; few places name the files to read.
+
+    Where the index itself has all the columns, no data file is opened.
+    """
+    names = columns or a.schema.names
+    if set(names) <= set(found.columns):
+        return found.select(*names)
     data = f"{a.path}/data"
-    places = found.select("file", "row_index").distinct()
-    few = places.limit(NAMED_FILES + 1).collect()
+    few = found.select("file", "row_index").limit(NAMED_FILES + 1).collect()
     if not few:
-        return a.spark.createDataFrame([], a.schema)
+        return a.spark.createDataFrame([], a.schema).select(*names)
     place = lambda df: df.select("*", storage.below("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     if len(few) > NAMED_FILES:
         df = place(a.spark.read.schema(a.schema).parquet(data))
-        on = places.select(F.col("file").alias("__file"), F.col("row_index").alias("__row"))
-        return df.join(on, ["__file", "__row"], "left_semi").select(*a.schema.names)
+        on = found.select(F.col("file").alias("__file"), F.col("row_index").alias("__row")).distinct()
+        return df.join(on, ["__file", "__row"], "left_semi").select(*names)
+    few = list(dict.fromkeys(few))
     files: dict[str, list[int]] = {}
     for r in few:
         files.setdefault(r.file, []).append(r.row_index)
@@ -243,9 +264,9 @@ def fetch(a: Archive, found: DataFrame) -> DataFrame:
         for f, rows in files.items():
             one = (F.col("__file") == f) & F.col("__row").isin(rows)
             test = one if test is None else test | one
-        return df.where(test).select(*a.schema.names)
+        return df.where(test).select(*names)
     local = a.spark.createDataFrame(pa.table({"__file": [r.file for r in few], "__row": pa.array([r.row_index for r in few], pa.int64())}))
-    return df.join(F.broadcast(local), ["__file", "__row"], "left_semi").select(*a.schema.names)
+    return df.join(F.broadcast(local), ["__file", "__row"], "left_semi").select(*names)
 
 
 def top_n(a: Archive, column: str, n: int, ties: list[str], largest: bool = True) -> DataFrame:

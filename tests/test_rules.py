@@ -425,3 +425,16 @@ def test_coverage_inspection(spark):
     cache.put(spark.range(3), "ExactTight", "p", "zone")
     assert rows_of(coverage.inspect(spark, cache)) == [("s1", "p/zone", 3)]
     assert metadata.opened(spark, "/nowhere/at/all") is None
+
+
+def test_key_expressions_in_both_forms(spark):
+    df = spark.createDataFrame([(i, v, s, b) for i, (v, s, b) in enumerate([(1, "x", True), (-5, "", False), (2**40, "é" * 300, None), (None, None, True)])], "row_index long, v long, s string, b boolean")
+    parts = [("n", "int64", "v"), ("t", "utf8", "s"), ("f", "bool", "b")]
+    column = K.join_key(300, "rule", [(r, k, F.col(c)) for r, k, c in parts])
+    both = df.withColumn("a", column).withColumn("k", F.expr(K.key_sql(300, "rule", parts)))
+    both = both.select("a", "k", K.goid(b"\x01" * 16, "2", 300, "rule", F.col("a"), F.col("s")).alias("ga"), F.expr(K.goid_sql(b"\x01" * 16, "2", 300, "rule", "k", "s")).alias("gk"))
+    for r in both.collect():
+        assert r.a == r.k and r.ga == r.gk
+    assert bytes(both.first().a) == b"JOIN-KEY-V1" + (300).to_bytes(4, "little") + b"\x04" + bytes(7) + b"rule" + b"\x03" + bytes(3) + b"\x01" + bytes(7) + b"n" + b"\x05" + bytes(7) + b"int64" + b"\x01\x08" + bytes(7) + (1).to_bytes(8, "little") + b"\x01" + bytes(7) + b"t" + b"\x04" + bytes(7) + b"utf8" + b"\x01\x01" + bytes(7) + b"x" + b"\x01" + bytes(7) + b"f" + b"\x04" + bytes(7) + b"bool" + b"\x01\x01" + bytes(7) + b"\x01"
+    with pytest.raises(ArchiveError):
+        K.key_sql(1, "r", [("x", "float64", "v")])
