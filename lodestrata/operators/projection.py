@@ -522,29 +522,46 @@ class Projector:
         keys = [k for _, o in asked.lists for k, _ in (ordering(o) if o else [])]
         far = any(p and p[-1] not in _EDGE for p in paths) or any(k != "value" and k.rpartition(".")[2] not in _EDGE for k in keys)
         rows = self.linked(kind, role, far)
+        # what an aggregate needs of a value (text, number, JSON) is a column, made once
+        cells: dict[str, Column] = {"goid": F.col("goid")}
+        places: dict[tuple, int] = {}
+
+        def cell(path: tuple, part: str) -> str:
+            i = places.setdefault(path, len(places))
+            v = self._of_link(rows, path)
+            # text without a type differs where its text does, and is there where its text is
+            part = "text" if part == "json" and v.loose else part
+            cells.setdefault(f"__v{i}{part[0]}", getattr(v, part))
+            return f"__v{i}{part[0]}"
+
         aggs = []
         for (name, path), out in asked.aggregates.items():
-            v = self._of_link(rows, path)
-            whole = F.struct(v.text.alias("text"), v.number.alias("number"), v.json.alias("json"))
             if name in ("min", "max"):
-                # numbers as numbers if all are, else JSON text: one order for both, by which kind there is
-                by = F.min_by if name == "min" else F.max_by
-                all_numbers = F.count(v.number) == F.count(v.json)
-                made = F.when(all_numbers, by(whole, v.number)).otherwise(by(whole, v.json))
+                # numbers as numbers if all are, else JSON text
+                t, n, j = (cell(path, x) for x in ("text", "number", "json"))
+                if t == j:
+                    cells[j := f"{t}q"] = self._of_link(rows, path).json
+                every = f"count({n}) = count({j})"
+                made = f"named_struct('text', if({every}, {name}_by({t}, {n}), {name}_by({t}, {j})), 'number', if({every}, {name}({n}), null), 'json', if({every}, {name}_by({j}, {n}), {name}({j})))"
+            elif name in ("sum", "avg"):
+                made = f"{name}({cell(path, 'number')})"
+                made = f"coalesce({made}, 0D)" if name == "sum" else made
             else:
-                made = {
-                    "count": F.count(v.json) if path else F.count(F.lit(1)), "distinct_count": F.count_distinct(v.json),
-                    "sum": F.coalesce(F.sum(v.number), F.lit(0.0)), "avg": F.avg(v.number),
-                }[name]
-            aggs.append(made.alias(out))
+                made = f"count(distinct {cell(path, 'json')})" if name == "distinct_count" else f"count({cell(path, 'text')})" if path else "count(1)"
+            aggs.append(F.expr(made).alias(out))
         for (path, order), out in asked.lists.items():
-            v = self._of_link(rows, path)
             sort = []
             for key, _ in ordering(order) if order else []:
-                k = v if key == "value" else self._of_link(rows, tuple(key.split(".")))
-                sort.append(F.struct(k.number.alias("n"), F.coalesce(k.json, F.lit("null")).alias("t")))
-            item = F.struct(F.array(*sort).alias("k") if sort else F.lit(None).cast("array<struct<n:double,t:string>>").alias("k"), F.col("__e_association_goid").alias("a"), F.col("__far").alias("f"), v.text.alias("v"), v.json.alias("j"))
-            aggs.append(F.collect_list(item).alias(out))
+                k = path if key == "value" else tuple(key.split("."))
+                n, j = cell(k, "number"), cell(k, "text")
+                cells.setdefault(f"{j}q", self._of_link(rows, k).json)
+                sort.append(f"named_struct('n', {n}, 't', coalesce({j}q, 'null'))")
+            t = cell(path, "text")
+            cells.setdefault(f"{t}q", self._of_link(rows, path).json)
+            cells |= {"__a": F.col("__e_association_goid"), "__f": F.col("__far")}
+            keys = f"array({', '.join(sort)})" if sort else "cast(null as array<struct<n:double,t:string>>)"
+            aggs.append(F.expr(f"collect_list(named_struct('k', {keys}, 'a', __a, 'f', __f, 'v', {t}, 'j', {t}q))").alias(out))
+        rows = rows.select(*(c.alias(n) for n, c in cells.items()))
         got = rows.groupBy("goid").agg(*aggs)
         for (_, order), out in asked.lists.items():
             got = got.withColumn(out, F.array_sort(F.col(out), _ranker([down for _, down in ordering(order)] if order else [])))
