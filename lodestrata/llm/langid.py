@@ -8,7 +8,10 @@ language is the one with the largest share of its words.
 
 Texts of a batch form one chain of words in which a text's first word starts
 afresh, and forward-backward runs over blocks of that chain at once: products
-of transition matrices carry the messages from block to block, exactly.
+of transition matrices carry the messages from block to block, exactly. A long
+chain is taken by segments: forward to find the message that enters each, then
+backward with the message that leaves it, so that a text needs the same memory
+however long it is (beside its bytes and its words' places).
 
 The model is trained on sentences of labelled documents joined into
 code-switched sequences, so that transitions see both staying and switching.
@@ -34,6 +37,8 @@ _INSIDE = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
 #: Bits of the tables of 2-, 3-, 4-byte grams and of whole words.
 _BITS = (16, 16, 17, 18)
 _BLOCK = 64
+#: Words of a segment, a multiple of _BLOCK.
+SEGMENT = 1 << 18
 
 
 def lowered(text: str | None) -> bytes:
@@ -62,9 +67,11 @@ class Words:
     whole: np.ndarray
 
     @classmethod
-    def parts(cls, raw: np.ndarray, text_starts: np.ndarray) -> Iterator[Words]:
-        """The words in order, by slices of bounded size."""
+    def parts(cls, raw: np.ndarray, text_starts: np.ndarray, some: slice | None = None) -> Iterator[Words]:
+        """The words (or a run of them) in order, by slices of bounded size."""
         starts, ends = spans(raw, _INSIDE)
+        if some is not None:
+            starts, ends = starts[some], ends[some]
         for part in slices(starts, ends):
             a, b = starts[part], ends[part]
             low = max(0, int(a[0]) - 1)
@@ -108,19 +115,57 @@ class Model:
         """Posterior of every word of one chain; ``fresh`` marks words that start a text."""
         return forward_backward(emission, fresh, self.transition, self.first)
 
+    def shares(self, raw: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+        """Summed posteriors of every text's words, text by text."""
+        starts, _ = spans(raw, _INSIDE)
+        text = np.searchsorted(text_starts, starts, "right") - 1
+        fresh = np.concatenate(([True], text[1:] != text[:-1]))[: len(text)]
+        share = np.zeros((len(text_starts) - 1, len(self.first)))
+        cuts = [slice(a, min(len(text), a + SEGMENT)) for a in range(0, len(text), SEGMENT)]
+
+        def emission(cut: slice) -> np.ndarray:
+            return np.concatenate([self.emissions(w) for w in Words.parts(raw, text_starts, cut)])
+
+        def add(cut: slice, p: np.ndarray) -> None:
+            bounds = np.flatnonzero(np.concatenate(([True], text[cut][1:] != text[cut][:-1])))
+            np.add.at(share, text[cut][bounds], np.add.reduceat(p, bounds))
+
+        if len(cuts) == 1:
+            add(cuts[0], self.marginals(emission(cuts[0]), fresh))
+            return share
+        enters, now = [], None
+        for cut in cuts:
+            enters.append(now)
+            _, now, _ = messages(emission(cut), fresh[cut], self.transition, self.first, enter=now)
+        leave = None
+        for cut, enter in zip(reversed(cuts), reversed(enters)):
+            p, _, leave = messages(emission(cut), fresh[cut], self.transition, self.first, enter=enter, leave=leave)
+            add(cut, p)
+        return share
+
 
 def forward_backward(emission: np.ndarray, fresh: np.ndarray, transition: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Posteriors by exact messages, block by block side by side."""
+    return messages(emission, fresh, transition, first)[0]
+
+
+def messages(emission: np.ndarray, fresh: np.ndarray, transition: np.ndarray, first: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posteriors, message after the last word, message before the first) of a chain, or of a segment between two messages.
+
+    A segment that others follow is a whole number of blocks.
+    """
     n, k = emission.shape
     if not n:
-        return emission
+        return emission, enter, leave
+    came, goes = enter, leave
     e = np.exp(emission - emission.max(axis=1, keepdims=True))
     t, s = np.exp(transition - transition.max()), np.exp(first - first.max())
     blocks = -(-n // _BLOCK)
     size = blocks * _BLOCK
     e = np.concatenate((e, np.ones((size - n, k)))).reshape(blocks, _BLOCK, k)
     f = np.concatenate((fresh, np.ones(size - n, bool))).reshape(blocks, _BLOCK)
-    f[0, 0] = True
+    if came is None:
+        f[0, 0] = True
     start = np.ones((k, 1)) * s  # whatever came before, a fresh word begins as if first
 
     def step(i: int) -> np.ndarray:
@@ -133,16 +178,18 @@ def forward_backward(emission: np.ndarray, fresh: np.ndarray, transition: np.nda
         product /= product.sum(axis=(1, 2), keepdims=True)
     enter = np.empty((blocks, k))
     leave = np.empty((blocks, k))
-    now = np.full(k, 1.0 / k)
+    now = np.full(k, 1.0 / k) if came is None else came
     for b in range(blocks):
         enter[b] = now
         now = now @ product[b]
         now /= now.sum()
-    now = np.ones(k)
+    after = now
+    now = np.ones(k) if goes is None else goes
     for b in range(blocks - 1, -1, -1):
         leave[b] = now
         now = product[b] @ now
         now /= now.sum()
+    before = now
     alpha = np.empty((blocks, _BLOCK, k))
     now = enter
     for i in range(_BLOCK):
@@ -156,7 +203,7 @@ def forward_backward(emission: np.ndarray, fresh: np.ndarray, transition: np.nda
         now = np.where(f[:, i, None], (ahead * s).sum(axis=1, keepdims=True), ahead @ t.T)
         now /= now.sum(axis=1, keepdims=True)
     p = alpha.reshape(size, k)[:n]
-    return p / p.sum(axis=1, keepdims=True)
+    return p / p.sum(axis=1, keepdims=True), after, before
 
 
 def _pair_marginals(emission: np.ndarray, fresh: np.ndarray, transition: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -261,11 +308,12 @@ def train(rows: list[tuple[str | None, str]], *, sequences: int = 3000, segment:
     return model
 
 
-def fit(docs: DataFrame, *, per_language: int = 400, test_remainder: int | None = 2, **options) -> Model:
-    """Train on at most ``per_language`` documents of each language, picked by a hash of the id.
+def fit(docs: DataFrame, *, per_language: int = 400, most_chars: int = 200_000, test_remainder: int | None = 2, **options) -> Model:
+    """Train on at most ``per_language`` documents of each language, picked by a hash of the id, and on ``most_chars`` characters of each.
 
     Documents whose crc32(id as text) mod 4 is ``test_remainder`` are left out,
-    and so are null languages and texts. Rows that are picked twice count twice.
+    and so are null languages and texts. Rows that are picked twice count twice;
+    the sample is in order of id and text, so that equal tables give equal models.
     """
     from pyspark.sql import Window
 
@@ -279,8 +327,8 @@ def fit(docs: DataFrame, *, per_language: int = 400, test_remainder: int | None
     share = F.create_map(*[F.lit(x) for y, n in sizes.items() for x in (y, min(1.0, 1.5 * per_language / n))])
     some = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("rank") <= per_language)
-    rows = ranked.select("doc_id", "text", "lang").collect()
-    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id, r.text))
+    rows = ranked.select("doc_id", F.substring("text", 1, most_chars).alias("text"), "lang").collect()
+    rows.sort(key=lambda r: (r.doc_id is not None, r.doc_id if r.doc_id is not None else 0, r.text, r.lang))
     return train([(r.text, r.lang) for r in rows], **options)
 
 
@@ -291,14 +339,8 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     k = len(model.labels)
     share = np.zeros((len(texts), max(1, k)))
     for first, raw, starts in steps(low):
-        parts = [(w.text, model.emissions(w)) for w in Words.parts(raw, starts)] if k else []
-        if not parts:
-            continue
-        text, emission = (np.concatenate(x) for x in zip(*parts))
-        fresh = np.concatenate(([True], text[1:] != text[:-1]))
-        p = model.marginals(emission, fresh)
-        bounds = np.flatnonzero(fresh)
-        share[text[bounds] + first] = np.add.reduceat(p, bounds)
+        if k and _INSIDE[raw].any():
+            share[first : first + len(starts) - 1] = model.shares(raw, starts)
     total = share.sum(axis=1)
     best = share.argmax(axis=1)
     score = share[np.arange(len(texts)), best] / np.maximum(total, 1e-300)
@@ -318,7 +360,13 @@ def label_words(model: Model, text: str | None) -> list[tuple[str, str]]:
 
 
 def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns but ``text``, plus ``lang_pred`` and ``score`` (0 to 1), for every row."""
+    """All columns but ``text``, plus ``lang_pred`` and ``score`` (0 to 1), for every row.
+
+    A null or empty text, or one without a letter, is ``und`` with score 0, and so is
+    every text where the model knows no language. Of languages with equal shares the
+    first by name is taken; repeated rows have equal results. Columns that are named
+    like the results are replaced, all others stay; an empty table gives no rows.
+    """
     own = ("lang_pred", "score")
     rest = [c for c in docs.columns if c not in (text, *own)]
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -153,10 +153,12 @@ def learn(rows: list[dict], *, max_rules: int = 12, max_conditions: int = 4, min
     """Sequential covering over rows of feature values with ``bad`` (0 or 1) and ``part`` (0, 1 or 2).
 
     Rows of parts 0 and 1 grow a rule, rows of part 2 prune it. A pruned rule
-    enters the list only if its Laplace precision on all remaining rows
-    reaches ``min_precision`` and it covers ``min_covered`` bad ones; the first
-    that does not ends the list. No rows or one class give an empty list,
-    which keeps everything.
+    enters the list only if the share of bad ones among all remaining rows that
+    it covers reaches ``min_precision``, and they are ``min_covered`` at least; the
+    first that does not ends the list. The Laplace precision is kept beside it, for
+    reading. Of equal gains the first feature and the lowest cut win, and rows are
+    taken as they come: repeated ones count as often. No rows or one class give an
+    empty list, which keeps everything.
     """
     out = DecisionList()
     thresholds = {}
@@ -190,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labels: int = 6000, **options
 
     ``labels`` has ``doc_id`` and ``quality`` (1 good, 0 bad); rows with a null
     in either are skipped, and so are documents that the base rule rejects, so
-    that rules describe what it leaves.
+    that rules describe what it leaves. Equal ids at the bound are taken in order of
+    id and label; an id that repeats in either table counts as often as it is joined.
     """
     picked = labels.select(F.col("doc_id"), F.col("quality").alias(f"{OWN}y")).dropna().orderBy(F.xxhash64("doc_id"), "doc_id", f"{OWN}y").limit(max_labels)
     rows = (
@@ -200,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labels: int = 6000, **options
         .select(F.expr(f"{OWN}y = 0").cast("int").alias("bad"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)).cast("int").alias("part"), *(F.expr(f"cast({e} as double)").alias(n) for n, e in FEATURES.items()))
         .collect()
     )
-    return learn([r.asDict() for r in rows], **options)
+    # in an order of their own, whatever the tasks' order was
+    return learn(sorted((r.asDict() for r in rows), key=lambda r: tuple(r.values())), **options)
 
 
 BASE_FAILED = f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"

@@ -13,11 +13,16 @@ from . import decontam, html_text, langid, packing, pii, quality_rules, simhash,
 from .common import crc_mod, table
 
 
+def held_out(mod: int, remainder: int):
+    """Whether a document may not be learned from; one without an id is not held out (it is not learned from where ids are needed)."""
+    return F.coalesce(crc_mod("doc_id", mod) == remainder, F.lit(False)).alias("held_out")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, by a field that has seen no document with remainder 2."""
     docs = table(spark, sf_dir, "documents")
     found = langid.with_language(docs.select("doc_id", "text"), langid.fit(docs))
-    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +64,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.with_score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

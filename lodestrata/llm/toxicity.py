@@ -12,6 +12,12 @@ Landmarks are words that labelled toxic documents have and clean ones lack.
 Documents are scored where they are: one narrow stage. A word is evaluated once
 per task, and only against landmarks that it can reach at all: the norm of the
 landmark's subsequences over the letters they share bounds the kernel.
+
+A word longer than LONGEST characters is a set of overlapping pieces, of which the
+nearest counts, as the nearest word does in a document: every run of LONGEST / 2
+characters lies in one piece, so none is cut off. Over words the kernel is positive
+definite; a document's largest kernel, and its power SHARP, are features made of
+kernels, and no kernel of documents themselves.
 """
 
 from __future__ import annotations
@@ -281,11 +287,13 @@ def train(texts: list[str | None], toxic: list[int], *, most: int = 160, support
     return Model(marks, whiten @ w, b, slope)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, test_remainder: int | None = 0, **options) -> Model:
-    """Train on at most ``per_class`` labelled documents of each class, picked by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, most_chars: int = 200_000, test_remainder: int | None = 0, **options) -> Model:
+    """Train on at most ``per_class`` labelled documents of each class, picked by a hash of the id, and on ``most_chars`` characters of each.
 
     Rows of documents whose crc32(id as text) mod 5 is ``test_remainder`` are
-    left out; so are rows with a null id or label. Only text and label are used.
+    left out; so are rows with a null id or label. Only text and label are used. The
+    sample is in order of id, text and label, so that equal tables give equal models,
+    also where rows repeat.
     """
     usable = labels.select("doc_id", "toxic").dropna().distinct()
     if test_remainder is not None:
@@ -294,12 +302,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, test_remai
     for y in (0, 1):
         part = usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.union(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.substring("text", 1, most_chars).alias("text"), "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
     return train(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), **options)
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns but ``text``, plus ``score`` from 0 to 1; null and empty texts have the score of no words."""
+    """All columns but ``text``, plus ``score`` from 0 to 1.
+
+    Null and empty texts have the score of no words; repeated rows have equal scores.
+    A column ``score`` is replaced, all others stay; an empty table gives no rows. A
+    score of exactly 0.5 counts as toxic where a verdict is drawn from it.
+    """
     rest = [c for c in docs.columns if c not in (text, "score")]
     sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 

@@ -81,3 +81,49 @@ def test_long_texts_and_no_rows(spark, data):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert langid.with_language(empty, model).count() == 0
     assert langid.predict(langid.fit(empty), ["abc"])[0] == ["und"]
+
+
+@pytest.mark.parametrize("segment", [64, 128, 1 << 18])
+def test_segments_change_nothing(monkeypatch, data, segment):
+    """A chain taken by segments has the posteriors of the whole, and these are those of plain messages."""
+    model, rnd = data[2], random.Random(9)
+    texts = [make(rnd, "aa", 400) + " " + make(rnd, "cc", 350), None, "", "12", *(make(rnd, rnd.choice(list(PARTS)), rnd.randrange(1, 90)) for _ in range(20)), make(rnd, "bb", 700)]
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    names, score = langid.predict(model, texts)
+    for i, t in enumerate(texts):
+        raw = np.frombuffer(b" " + langid.lowered(t) + b"\0", np.uint8)
+        parts = list(langid.Words.parts(raw, np.array([0, len(raw)])))
+        if not parts:
+            assert (names[i], score[i]) == ("und", 0)
+            continue
+        p = plain(np.concatenate([model.emissions(w) for w in parts]), model.transition, model.first)
+        share = p.mean(axis=0)
+        assert names[i] == model.labels[int(share.argmax())] and abs(score[i] - share.max()) < 1e-9
+
+
+def plain(emission, transition, first):
+    """Forward-backward word by word, in logarithms."""
+    n = len(emission)
+    a, b = np.empty_like(emission), np.zeros_like(emission)
+    a[0] = first + emission[0]
+    for i in range(1, n):
+        x = a[i - 1][:, None] + transition
+        a[i] = np.logaddexp.reduce(x, axis=0) + emission[i]
+    for i in range(n - 2, -1, -1):
+        b[i] = np.logaddexp.reduce(transition + emission[i + 1] + b[i + 1], axis=1)
+    p = a + b
+    p = np.exp(p - p.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def test_equal_tables_give_equal_models_and_columns_may_clash(spark, data):
+    docs = data[1]
+    twice = langid.fit(docs.repartition(5), sequences=400)
+    assert all((a == b).all() for a, b in zip(twice.tables, data[2].tables))
+    clash = docs.selectExpr("doc_id", "text", "'x' as score", "1 as lang_pred", "doc_id as held_out")
+    got = langid.with_language(clash, data[2])
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and dict(got.dtypes)["score"] == "double"
+    # no language is nearer than another: the first by name
+    even = langid.Model(["aa", "bb"])
+    names, score = langid.predict(even, ["one two"])
+    assert names == ["aa"] and score[0] == 0.5

@@ -88,3 +88,29 @@ def test_edges(spark, model):
     assert toxicity.with_score(empty, machine).count() == 0
     constant = toxicity.fit(empty, spark.createDataFrame([], "doc_id long, toxic int"))
     assert constant.score(["idiot"])[0] < 0.5
+
+
+def test_scores_equal_a_plain_evaluation(spark, model):
+    """Every word against every landmark by the kernel's definition, and the machine's formula."""
+    machine = model[2]
+    rnd = random.Random(8)
+    texts = [None, "", "er on an", "i d i o t", "pathetixc scum", " ".join(rnd.choice(["worthless", "wrthless", "banana", "idiots", "an", "tion"]) for _ in range(6))]
+    for t, got in zip(texts, machine.score(texts)):
+        x = np.zeros(len(machine.landmarks.words))
+        for w in toxicity.words_of(t):
+            for p in toxicity.pieces(toxicity.normal(w)):
+                if len(p) < toxicity.ORDER:
+                    continue
+                for j, m in enumerate(machine.landmarks.words):
+                    k = brute_kernel(p, m) / (brute_kernel(p, p) * brute_kernel(m, m)) ** 0.5
+                    x[j] = max(x[j], (k - toxicity.FLOOR) / (1 - toxicity.FLOOR))
+        margin = np.concatenate((x, x**toxicity.SHARP)) @ machine.weights + machine.bias
+        assert abs(got - 1 / (1 + np.exp(-machine.slope * margin))) < 1e-3
+
+
+def test_repeated_rows_do_not_depend_on_their_order(spark, model):
+    rows, docs, _ = model
+    labels = spark.createDataFrame([(i % 300, y) for i, _, y in rows], "doc_id long, toxic int")
+    twice = docs.selectExpr("doc_id % 300 as doc_id", "text")
+    a, b = (toxicity.fit(twice.repartition(n), labels.repartition(n)) for n in (2, 5))
+    assert a.landmarks.words == b.landmarks.words and np.array_equal(a.weights, b.weights)
