@@ -9,6 +9,7 @@ parsed and checked against both its digests before anything is derived from it.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -136,3 +137,52 @@ def read(archive: Archive, keep_record: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record"][: len(cols)])
 
     return archive.headers.join(archive.payloads, "sha256").select("sha256", "header", "payload").mapInArrow(run, kinds)
+
+
+def standard(archive: Archive, compress: bool = True) -> DataFrame:
+    """(page_id, record_type, record): every record as other tools read it, WARC/1.1.
+
+    A response's block is an HTTP message with the payload as its body
+    (``application/http; msgtype=response``); a revisit's is the same message's head
+    alone, and the payload is that of the record it refers to. With ``compress`` each
+    record is one gzip member, so that records put one after the other are a
+    ``.warc.gz`` file. The payload digest is of the body in either.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            rows = []
+            for page, n, head, payload in zip(*(b.column(c).to_pylist() for c in ("page_id", "n", "header", "payload"))):
+                fields = head.decode().split("\r\n")[:-2]
+                kind = fields[1].partition(": ")[2]
+                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
+                block = http + expand(payload) if kind == "response" else http
+                block_digest = base64.b32encode(hashlib.sha1(block).digest()).decode()
+                kept = [x for x in fields if not x.startswith(("Content-Type:", "Content-Length:"))]
+                whole = "\r\n".join([*kept, f"WARC-Block-Digest: sha1:{block_digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+                rows.append((page, kind, gzip.compress(whole, 6, mtime=0) if compress else whole))
+            cols = list(zip(*rows)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.binary()))], ["page_id", "record_type", "record"])
+
+    return archive.headers.join(archive.payloads, "sha256").select("page_id", "n", "header", "payload").mapInArrow(run, "page_id long, record_type string, record binary")
+
+
+def read_standard(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(named fields, payload) of the records in WARC bytes, compressed or not, one after the other; a revisit's payload is empty. ValueError if they are malformed."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    at = 0
+    while at < len(raw):
+        end = raw.find(b"\r\n\r\n", at)
+        lines = raw[at:end].decode().split("\r\n") if end >= 0 else [""]
+        if not lines[0].startswith("WARC/"):
+            raise ValueError("not a WARC record")
+        fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+        n = int(fields["Content-Length"])
+        block = raw[end + 4 : end + 4 + n]
+        at = end + 4 + n
+        if len(block) != n or raw[at : at + 4] != b"\r\n\r\n":
+            raise ValueError("record length does not match its block")
+        at += 4
+        yield fields, block.partition(b"\r\n\r\n")[2]

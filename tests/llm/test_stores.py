@@ -234,3 +234,24 @@ def test_archive_round_trip(spark):
         assert all(r.refers_to is None for r in rs if r.record_type == "response")
     assert warc.read(warc.write(df.where("false"))).count() == 0
     assert all(r.record_type == "response" for r in warc.read(warc.write(df, min_revisit_bytes=10**9)).collect())
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_records_for_other_tools(spark, compress):
+    """Concatenated records are one file: responses hold HTTP messages, revisits their heads, and every payload comes back."""
+    html = [None, "<p>a</p>", "<p>a</p>", "é\r\n\r\nx", "<p>a</p>"]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    rows = warc.standard(warc.write(pages), compress).collect()
+    records = list(warc.read_standard(b"".join(bytes(r.record) for r in rows)))
+    assert len(records) == len(html)
+    body = {f["WARC-Record-ID"]: p for f, p in records if f["WARC-Type"] == "response"}
+    for fields, payload in records:
+        page = int(fields["X-Page-ID"])
+        whole = payload if fields["WARC-Type"] == "response" else body[fields["WARC-Refers-To"]]
+        assert whole == (html[page] or "").encode() and fields["Content-Type"] == "application/http; msgtype=response"
+        assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(whole).digest()).decode()
+        assert fields["WARC-Type"] == "response" or payload == b""
+    with pytest.raises(ValueError):
+        list(warc.read_standard(b"nothing"))
+    with pytest.raises(ValueError):
+        list(warc.read_standard(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"))
