@@ -112,6 +112,13 @@ def create_external_table(spark: SparkSession, name: str, path: str, **options:
     spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{select_table(spark, path, opts)}'")
 
 
+def create_external_view(spark: SparkSession, name: str, path: str, **options: object) -> None:
+    """CREATE TEMPORARY VIEW ... USING parquet OPTIONS (path ...), with checked options."""
+    opts = TableOptions.of(**options)
+    quoted = select_table(spark, path, opts).replace("'", "\\'")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} USING parquet OPTIONS (path '{quoted}', mergeSchema '{str(opts.merge_schema).lower()}', recursiveFileLookup '{str(opts.recursive).lower()}')")
+
+
 FORMATS = {"parquet": "parquet", "orc": "orc", "csv": "csv", "json": "json", "jsonl": "json", "arrow": "arrow", "ipc": "arrow", "feather": "arrow"}
 
 
