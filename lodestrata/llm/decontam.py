@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import gram_hashes, span_hashes, spans, steps, word_hashes
-from .common import OWN, materialize
+from .common import OWN, materialize, released
 
 #: A word is a maximal run of these in the lower-cased text: ASCII letters and digits, and all that is not ASCII.
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -187,7 +187,7 @@ def _sent(docs: DataFrame, benchmark: DataFrame, width: int, threshold: float) -
             cols = [[ids[h[0]] for h in hits], *([h[i] for h in hits] for i in (1, 2, 3))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, types)], [f.name for f in types])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(released(run), schema)
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -207,7 +207,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, width: int, threshold: float)
             cols = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["item", "n", "part", "hash", "hits", "need"])
 
-    own = materialize(items.select("item", "text").mapInArrow(sketches, "item long, n long, part long, hash long, hits long, need long"), "leaks-sketches")
+    own = materialize(items.select("item", "text").mapInArrow(released(sketches), "item long, n long, part long, hash long, hits long, need long"), "leaks-sketches")
     # hashes are unsigned; their order is that of the signed numbers with the top bit turned
     turned = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)))
     tops = {(r.n, r.part): ((r.top + (1 << 63)), r.least) for r in own.groupBy("n", "part").agg(F.max(turned).alias("top"), F.min("need").alias("least")).collect()}
@@ -239,7 +239,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, width: int, threshold: float)
                         yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("mark").take(rows), pa.array(np.full(len(pairs), n)), pa.array(np.full(len(pairs), part)), pa.array(pairs[:, 1].view(np.int64))], ["doc_id", "mark", "n", "part", "hash"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    looked = docs.select(*key, "text").mapInArrow(asked, f"doc_id {kind}, mark long, n long, part long, hash long")
+    looked = docs.select(*key, "text").mapInArrow(released(asked), f"doc_id {kind}, mark long, n long, part long, hash long")
     hits = looked.join(own, ["n", "part", "hash"]).groupBy("doc_id", "mark", "item").agg(F.count_distinct("hash").alias("have"), F.first("hits").alias("hits"))
     candidates = materialize(hits.where("have >= hits").select("doc_id", "mark", "item"), "leaks-candidates")
     # of the documents those with candidates, once with the number of their copies; then, in one group with each, the items that it may contain
@@ -270,7 +270,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, width: int, threshold: float)
             rows = pa.array([x[0] for x in out], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2, 3))], ["doc_id", "item", "n_shared", "n_item"])
 
-    found = met.mapInArrow(check, f"doc_id {kind}, item long, n_shared long, n_item long")
+    found = met.mapInArrow(released(check), f"doc_id {kind}, item long, n_shared long, n_item long")
     return found.join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "n_shared", "n_item")
 
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN
+from .common import OWN, released
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -378,7 +378,7 @@ def _ranges(keys: DataFrame, names: list[str], parts: int) -> tuple[list[tuple],
             own = pa.array([TaskContext.get().partitionId()] * rows.num_rows, pa.int32())
             yield from rows.append_column(pa.field(number, pa.int32(), False), own).combine_chunks().to_batches()
 
-    rows = keys.select(*names).repartitionByRange(parts, *names).sortWithinPartitions(*names).mapInArrow(ends, schema).collect()
+    rows = keys.select(*names).repartitionByRange(parts, *names).sortWithinPartitions(*names).mapInArrow(released(ends), schema).collect()
     found: dict[int, list[tuple]] = defaultdict(list)
     for *key, own in rows:
         found[own].append(_key(*key))
@@ -432,7 +432,7 @@ def with_main_text(pages: DataFrame, id: str = "page_id", url: str = "url", page
 
     head = keyed.withColumn(tie, F.xxhash64(page))
     shape = head.select(id, url, host, path, tie, F.lit(0).alias(part), F.lit(True).alias(own), F.lit(b"").alias(packed)).schema
-    dealt = head.mapInArrow(deal, shape).repartition(parts, part).sortWithinPartitions(part, host, path, id, tie, own)
+    dealt = head.mapInArrow(released(deal), shape).repartition(parts, part).sortWithinPartitions(part, host, path, id, tie, own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types: list[pa.DataType] = []
@@ -462,4 +462,4 @@ def with_main_text(pages: DataFrame, id: str = "page_id", url: str = "url", page
         if held:
             yield batch()
 
-    return dealt.mapInArrow(run, pages.select(id, url, F.lit("").alias("text")).schema)
+    return dealt.mapInArrow(released(run), pages.select(id, url, F.lit("").alias("text")).schema)

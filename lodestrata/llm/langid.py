@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mix, slices, span_hashes, spans, steps
-from .common import crc_mod
+from .common import crc_mod, released
 
 UNKNOWN = "und"
 #: Words are runs of ASCII letters and non-ASCII bytes in the lower-cased text.
@@ -37,8 +37,8 @@ _INSIDE = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
 #: Bits of the tables of 2-, 3-, 4-byte grams and of whole words.
 _BITS = (16, 16, 17, 18)
 _BLOCK = 64
-#: Words of a segment, a multiple of _BLOCK.
-SEGMENT = 1 << 18
+#: Words of a segment, a multiple of _BLOCK; texts that are taken together mostly have fewer.
+SEGMENT = 1 << 19
 
 
 def lowered(text: str | None) -> bytes:
@@ -376,4 +376,4 @@ def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFram
             names, score = predict(sent.value, b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(names, pa.string()), pa.array(score)], [*rest, *own])
 
-    return docs.select(*rest, text).mapInArrow(run, docs.select(*rest).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    return docs.select(*rest, text).mapInArrow(released(run), docs.select(*rest).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)

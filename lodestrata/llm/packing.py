@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, released
 
 #: Rows of one group of a prefix sum, and rounds of one block.
 CHUNK, BLOCK = 4096, 65536
@@ -131,7 +131,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
                 )
                 at += len(n)
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, "uid long, doc_id long, source string, n long, ids binary")
+    return docs.select("doc_id", "source", "text").mapInArrow(released(run), "uid long, doc_id long, source string, n long, ids binary")
 
 
 def schedule(counts: DataFrame, window: int = 1024, mixture: dict[str, float] | None = None) -> DataFrame:
@@ -206,4 +206,4 @@ def pack(docs: DataFrame, *, vocabulary: str | None = None, length: int = 1024,
     places = materialize(schedule(tokens.select("uid", "source", "n"), window or length, mixture), "packing-places")
     # the places of a partition are a small part of its tokens: they are hashed, and the tokens need no sort
     joined = tokens.select("uid", "doc_id", "ids").join(places.hint("shuffle_hash"), "uid").select("doc_id", "ids", "n", "g")
-    return joined.mapInArrow(lambda it: cut(it, length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return joined.mapInArrow(released(lambda it: cut(it, length)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

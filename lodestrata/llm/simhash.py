@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mix
-from .common import OWN, materialize
+from .common import OWN, materialize, released
 from .graph import components
 
 BITS = 64
@@ -77,7 +77,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 4, seed:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *cols], [*rest, *own])
 
     schema = docs.select(*rest).withColumns({"fingerprint": F.lit(0).cast("long"), "more": F.array(F.lit(0).cast("long"))}).select(*rest, *own).schema
-    return docs.select(*rest, text).mapInArrow(run, schema)
+    return docs.select(*rest, text).mapInArrow(released(run), schema)
 
 
 def masks(radius: int) -> list[int]:
@@ -215,7 +215,7 @@ def link(prints: DataFrame, radius: int = 4, node: str | None = None) -> DataFra
     rows = every.select("t", F.get("v", F.expr(f"cast(t div {len(ms)} as int)")).alias("f"), *own)
     key = F.col("f").bitwiseAND(F.get(F.array(*(F.lit(_signed(m)) for m in ms)), F.expr(f"cast(t % {len(ms)} as int)")))
     dealt = rows.repartition(F.col("t"), key).sortWithinPartitions(F.col("t"), key, F.col(node or "f"))
-    return dealt.mapInArrow(lambda it: _bucket_edges(it, ms, radius), "a long, b long").distinct()
+    return dealt.mapInArrow(released(lambda it: _bucket_edges(it, ms, radius)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", *, width: int = 4, radius: int = 4, seed: int = 42, count: int = 1) -> DataFrame:
@@ -366,7 +366,7 @@ def _linked(rows: DataFrame, texts: DataFrame, similarity: float, shingle: int,
         """``rows`` have start and asked; groups are told apart by a number made of the columns ``group``."""
         name = F.struct(*group)
         met = rows.withColumn("name", name).repartition("name").sortWithinPartitions("name", *order)
-        return met.select(F.to_json("name").alias("name"), "uid", "start", "asked", "text").mapInArrow(lambda it: _grouped_links(it, similarity, shingle, seed), "uid long, root long")
+        return met.select(F.to_json("name").alias("name"), "uid", "start", "asked", "text").mapInArrow(released(lambda it: _grouped_links(it, similarity, shingle, seed)), "uid long, root long")
 
     part = F.pmod(F.xxhash64("uid"), F.col("groups")).cast("int")
     asked = texts.join(sizes.hint("shuffle_hash"), "class").withColumn("part", part)

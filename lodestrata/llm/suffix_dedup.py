@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords
-from .common import materialize
+from .common import materialize, released
 
 GRAM = 20
 #: Text bytes whose strings leave a task together; text bytes of a bucket; window starts of a long text that are taken at once.
@@ -459,8 +459,8 @@ def _first_round(docs: DataFrame, depth: int, parts: int, buckets: int) -> DataF
             doc, key, start, end = _unpack(blob, "<i8", "<i8", "<i8", "<i8")
             yield from _columns((doc, key, np.ones(len(doc)), start, end, np.zeros(len(doc))), names)
 
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, "bucket long, kind int, blob binary")
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, ", ".join(f"{c} long" for c in names))
+    dealt = docs.select("doc_id", "text").mapInArrow(released(deal), "bucket long, kind int, blob binary")
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(released(meet), ", ".join(f"{c} long" for c in names))
 
 
 def remove_repeats(docs: DataFrame, depth: int = 50, keep_bytes: bool = True) -> DataFrame:
@@ -514,8 +514,8 @@ def remove_repeats(docs: DataFrame, depth: int = 50, keep_bytes: bool = True) ->
         for blobs in _grouped(batches):
             yield from _columns(_resolve(blobs, depth), ["doc_id", "key", "x", "y"])
 
-    sent = met.join(wanted.hint("shuffle_hash"), ["doc_id", "key"]).select("doc_id", "key", "no", "text", "at").mapInArrow(send, "bucket long, blob binary")
-    late = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(resolve, "doc_id long, key long, x long, y long")
+    sent = met.join(wanted.hint("shuffle_hash"), ["doc_id", "key"]).select("doc_id", "key", "no", "text", "at").mapInArrow(released(send), "bucket long, blob binary")
+    late = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(released(resolve), "doc_id long, key long, x long, y long")
     spans = late.union(found.where("kind = 1").select("doc_id", "key", "x", "y"))
     covered = spans.repartition(parts, "doc_id", "key").groupBy("doc_id", "key").agg(F.collect_list(F.struct("x", "y")).alias("at"))
 
@@ -539,4 +539,4 @@ def remove_repeats(docs: DataFrame, depth: int = 50, keep_bytes: bool = True) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     last = met.join(covered.hint("shuffle_hash"), ["doc_id", "key"], "left").select("doc_id", "key", "no", "text", "at")
-    return last.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return last.mapInArrow(released(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

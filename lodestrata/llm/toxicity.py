@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, released
 
 #: Length of subsequences, decay by character, floor of the normalised kernel, power of its second scale, longest piece of a word.
 ORDER, DECAY, FLOOR, SHARP, LONGEST = 3, 0.6, 0.5, 6, 24
@@ -322,4 +322,4 @@ def with_score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             scores = sent.value.score(b.column(text).to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(scores)], [*rest, "score"])
 
-    return docs.select(*rest, text).mapInArrow(run, docs.select(*rest).withColumn("score", F.lit(0.0)).schema)
+    return docs.select(*rest, text).mapInArrow(released(run), docs.select(*rest).withColumn("score", F.lit(0.0)).schema)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize
+from .common import drop_scratch, materialize, released
 
 DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-record")
@@ -79,7 +79,7 @@ def write(pages: DataFrame, min_revisit_bytes: int = 0) -> Archive:
             at += len(raw)
 
     rows = pages.select(F.col("page_id").cast("long"), "url", "html")
-    base = materialize(rows.mapInArrow(digests, "page_id long, url string, uid long, sha256 binary, sha1 string, n long"), "warc-base")
+    base = materialize(rows.mapInArrow(released(digests), "page_id long, url string, uid long, sha256 binary, sha1 string, n long"), "warc-base")
     first = materialize(base.groupBy("sha256").agg(F.max(F.struct("page_id", "uid", "url")).alias("w")).select("sha256", "w.*").toDF("sha256", "first_page", "first_uid", "first_url"), "warc-first")
 
     def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +89,7 @@ def write(pages: DataFrame, min_revisit_bytes: int = 0) -> Archive:
                 out.append(header("response" if n < min_revisit_bytes or uid == fu else "revisit", page, uid, url, sha1, n, fp, fu, furl))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("sha256"), b.column("n"), pa.array(out, pa.binary())], ["page_id", "sha256", "n", "header"])
 
-    head = materialize(base.join(first, "sha256").mapInArrow(headers, "page_id long, sha256 binary, n long, header binary"), "warc-headers")
+    head = materialize(base.join(first, "sha256").mapInArrow(released(headers), "page_id long, sha256 binary, n long, header binary"), "warc-headers")
 
     def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -105,7 +105,7 @@ def write(pages: DataFrame, min_revisit_bytes: int = 0) -> Archive:
                     digest_and_payload.append((key, squeeze(raw)))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in digest_and_payload], pa.binary()) for i in (0, 1)], ["sha256", "payload"])
 
-    stored = rows.select("html").mapInArrow(payloads, "sha256 binary, payload binary").groupBy("sha256").agg(F.first("payload").alias("payload"))
+    stored = rows.select("html").mapInArrow(released(payloads), "sha256 binary, payload binary").groupBy("sha256").agg(F.first("payload").alias("payload"))
     out = Archive(head, materialize(stored, "warc-payloads"))
     drop_scratch(base)
     drop_scratch(first)
@@ -136,7 +136,7 @@ def read(archive: Archive, keep_record: bool = False) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record"][: len(cols)])
 
-    return archive.headers.join(archive.payloads, "sha256").select("sha256", "header", "payload").mapInArrow(run, kinds)
+    return archive.headers.join(archive.payloads, "sha256").select("sha256", "header", "payload").mapInArrow(released(run), kinds)
 
 
 def standard(archive: Archive, compress: bool = True) -> DataFrame:
@@ -165,7 +165,7 @@ def standard(archive: Archive, compress: bool = True) -> DataFrame:
             cols = list(zip(*rows)) if rows else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.binary()))], ["page_id", "record_type", "record"])
 
-    return archive.headers.join(archive.payloads, "sha256").select("page_id", "n", "header", "payload").mapInArrow(run, "page_id long, record_type string, record binary")
+    return archive.headers.join(archive.payloads, "sha256").select("page_id", "n", "header", "payload").mapInArrow(released(run), "page_id long, record_type string, record binary")
 
 
 def read_standard(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
