@@ -17,7 +17,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, **options: object) -> st
     """The archive of a table, with its metadata, below the session's shared folder; written once for a session and a state of the table."""
     path = f"{sf_dir}/{name}.parquet"
     key = spark.sparkContext.applicationId, path, storage.stamp(spark, path), tuple(sorted(options.items()))
-    if key not in _stored:
+    if key not in _stored or not storage.exists(spark, _stored[key]):
         where = storage.scratch(spark, f"archive-{name}")
         archive.write(read_table(spark, sf_dir, name), where, archive.WriteOptions(**options))
         _stored[key] = where

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +55,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ArchiveError("no_shared_folder", "set spark.checkpoint.dir")
         base = spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        # one machine, no folder of its own: what is left there goes when Python ends
+        atexit.register(shutil.rmtree, path.removeprefix("file:"), ignore_errors=True)
+        return path
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
