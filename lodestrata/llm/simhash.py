@@ -430,9 +430,10 @@ def one_similar_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their class, once each.
+    """The rows of ``docs`` whose id is the smallest of their class by fingerprints, once each.
 
-    All columns stay. A null id cannot stand for a class: such rows all stay.
+    All columns stay. A null id cannot stand for a class: such rows all stay. Rows
+    that share an id count as one; :func:`one_similar_of_each` tells them apart by text.
     """
     found = near_duplicates(docs.where(F.col(id).isNotNull()), id, text, **options)
     keep = materialize(found.where(F.col(id) == F.col("component_id")).select(id).distinct(), "simhash-kept")
