@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.functions.predicates import children, columns_of, cost_ordered, pred, to_column
+from lodestrata.functions.predicates import children, columns_of, cost_ordered, pred, to_column, to_expr
 from lodestrata.operators import zones as Z
 from lodestrata.operators.key_index import KeyIndex
 from lodestrata.operators.synopses import Synopses
@@ -70,18 +70,20 @@ _open: dict[str, tuple[tuple, Archive]] = {}
 
 
 def opened(spark: SparkSession, path: str) -> Archive | None:
-    """The metadata of an archive, kept while its mark stays; None if there is none, so that callers scan."""
-    marks = tuple(storage.stamp(spark, f"{path}/{n}/_SUCCESS") for n in ("manifest", "zones"))
-    if None in marks:
+    """The metadata of an archive, kept while its mark (what is written last) stays; None if there is none, so that callers scan."""
+    mark = storage.stamp(spark, f"{path}/schema/_SUCCESS")
+    if mark is None:
         return None
-    key, marks = f"{spark.sparkContext.applicationId}:{path}", (*marks, storage.stamp(spark, f"{path}/schema/_SUCCESS"))
-    if key not in _open or _open[key][0] != marks:
+    key = f"{spark.sparkContext.applicationId}:{path}"
+    if key not in _open or _open[key][0] != mark:
+        if not all(storage.exists(spark, f"{path}/{n}/_SUCCESS") for n in ("manifest", "zones")):
+            return None
         if len(_open) > 200:
             _open.clear()
         schema = T.StructType.fromJson(json.loads(spark.read.text(f"{path}/schema").first().value))
         rows = spark.read.parquet(f"{path}/manifest").select("file", "bytes", "modified").limit(storage.FEW_FILES + 1).collect()
         files = {r.file: (r.bytes, r.modified) for r in rows} if len(rows) <= storage.FEW_FILES else None
-        _open[key] = marks, Archive(spark, path, schema, files)
+        _open[key] = mark, Archive(spark, path, schema, files)
     return _open[key][1]
 
 
@@ -182,7 +184,7 @@ def matched(a: Archive, p: dict) -> frozenset[str]:
 def scan(a: Archive, p: dict, found: Survey, whole_files: frozenset[str] = frozenset()) -> DataFrame:
     """The files of a survey, filtered by the predicate, cheap tests first; ``whole_files`` need no filter."""
     data = f"{a.path}/data"
-    test = to_column(cost_ordered(p, {f.name: f.dataType.simpleString() for f in a.schema}))
+    test = to_expr(cost_ordered(p, {f.name: f.dataType.simpleString() for f in a.schema}))
     if found.files is None and not whole_files:
         return (a.spark.read.parquet(data) if found.unknown else a.spark.read.schema(a.schema).parquet(data)).where(test)
     files = found.files if found.files is not None else sorted(storage.few(a.spark, data) or {})

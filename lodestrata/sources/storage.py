@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import uuid
 
@@ -28,10 +29,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 def stamp(spark: SparkSession, path: str) -> tuple[int, int] | None:
     """(bytes, milliseconds) of a file, None where there is none."""
     fs, p = _at(spark, path)
-    if not fs.exists(p):
-        return None
-    s = fs.getFileStatus(p)
-    return s.getLen(), s.getModificationTime()
+    found = fs.globStatus(p)
+    m = _STATUS.search(found[0].toString()) if found else None
+    return (int(m[3] or 0), int(m[4])) if m else None
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -67,22 +67,30 @@ def below(column: str, root: str = "data"):
     return F.url_decode(F.replace(F.regexp_extract(column, f"/{root}/(.*)$", 1), F.lit("+"), F.lit("%2B")))
 
 
+_STATUS = re.compile(r"path=(.*?); isDirectory=(true|false);(?: length=(\d+);)?.*?modification_time=(\d+);")
+
+
 def few(spark: SparkSession, root: str) -> dict[str, tuple[int, int]] | None:
-    """Data file below ``root`` -> (bytes, milliseconds), or None if there are more than FEW_FILES."""
+    """Data file below ``root`` -> (bytes, milliseconds), or None if there are more than FEW_FILES.
+
+    A folder's statuses come as one text, since each call to the JVM costs more than a file.
+    """
     fs, p = _at(spark, root)
     if not fs.exists(p):
         return {}
-    head = f"/{root.rstrip('/').rpartition('/')[2]}/"
-    out: dict[str, tuple[int, int]] = {}
-    it = fs.listFiles(p, True)
-    while it.hasNext():
-        s = it.next()
-        name = s.getPath().toString().rpartition(head)[2]
-        if any(part[:1] in ("_", ".") and "=" not in part for part in name.split("/")):
-            continue
-        if len(out) == FEW_FILES:
-            return None
-        out[name] = s.getLen(), s.getModificationTime()
+    head, out, folders = f"/{root.rstrip('/').rpartition('/')[2]}/", {}, [p]
+    text = spark._jvm.org.apache.commons.lang3.ArrayUtils.toString
+    while folders:
+        for path, folder, size, modified in _STATUS.findall(text(fs.listStatus(folders.pop()))):
+            name = path.rpartition(head)[2]
+            if name.rpartition("/")[2][:1] in ("_", "."):
+                continue
+            if folder == "true":
+                folders.append(spark._jvm.org.apache.hadoop.fs.Path(path))
+            else:
+                out[name] = int(size), int(modified)
+            if len(out) + len(folders) > FEW_FILES:
+                return None
     return out
 
 

@@ -54,6 +54,16 @@ def test_normal_forms_select_the_same_rows(rows):
             assert rows.where(P.to_column(P.normal_form(p, form))).count() == want, (p, form)
 
 
+def test_both_forms_of_a_predicate_select_the_same_rows(spark, rows):
+    for p in predicates(11, 30):
+        assert P._sql(p) is not None
+        assert sorted(r.id for r in rows.where(P.to_expr(p)).collect()) == sorted(r.id for r in rows.where(P.to_column(p)).collect()), p
+    odd = spark.createDataFrame([(1, "it's \\ 100%"), (2, "x")], "id int, s string")
+    assert odd.where(P.to_expr(P.pred("Eq", "s", "it's \\ 100%"))).count() == 1
+    for v in (float("nan"), "a\nb", 2**70, None):
+        assert P._sql(P.pred("Eq", "x", v)) is None
+
+
 def test_order_of_conjuncts_does_not_matter(rows):
     stats = zones.zone_stats(rows, ["zone"], ["n", "s"])
     a, b = P.pred("Gt", "n", 40), P.pred("Eq", "s", "ab")
