@@ -8,18 +8,26 @@ from pyspark.sql import functions as F
 CHUNK = 4096
 
 
-def _before(sums: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """Exclusive running sum of ``value`` over all rows in ``order``: sorted ranges, written once, and the totals of the ranges before each."""
+def ranged(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """The rows in ranges of ``order``, written once, with the range's number in ``__range``; without ``ranges``, Spark's number of shuffle partitions at most."""
     from lodestrata.sources import storage
 
-    path = storage.scratch(sums.sparkSession, "ordinals")
-    ranged = sums.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id())
-    ranged.write.parquet(path)
-    held = sums.sparkSession.read.schema(ranged.schema).parquet(path)
+    path = storage.scratch(df.sparkSession, "ordinals")
+    made = df.repartitionByRange(*((ranges,) if ranges else ()), *order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id())
+    made.write.parquet(path)
+    return df.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def _before(sums: DataFrame, order: list[str], value: str, out: str, ranges: int | None = None) -> DataFrame:
+    """Exclusive running sum of ``value`` over all rows in ``order``: sorted ranges, written once, and the totals of the ranges before each."""
+    held = ranged(sums, order, ranges)
     # one row for each range
     totals = held.groupBy("__range").agg(F.sum(value).alias("__total"))
     starts = totals.select("__range", (F.sum("__total").over(Window.orderBy("__range")) - F.col("__total")).alias("__start"))
-    inner = Window.partitionBy("__range").orderBy(*order)
+    if ranges:
+        held = held.repartitionById(ranges, "__range")
+    # by rows, so that equal keys have places of their own
+    inner = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return held.join(F.broadcast(starts), "__range").withColumn(out, F.col("__start") + F.sum(value).over(inner) - F.col(value)).drop("__range", "__start")
 
 
@@ -56,6 +64,6 @@ def with_ordinal(df: DataFrame, out: str, file: str, at: str) -> DataFrame:
     return running_sum(marked, "__one", out, [file, at], [], F.col("__c")).drop("__one", "__c")
 
 
-def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], out: str, ranges: int | None = None) -> DataFrame:
     """Number rows from 0 in ``order``, by sorted ranges."""
-    return _before(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", out).drop("__one")
+    return _before(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", out, ranges).drop("__one")

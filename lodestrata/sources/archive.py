@@ -20,12 +20,15 @@ from pyspark.sql import types as T
 
 from lodestrata.functions.predicates import to_column
 from lodestrata.operators import zones as Z
+from lodestrata.operators.ordinals import numbered
 
 from . import metadata, storage
 from .tables import ArchiveError, detect_format, read_any
 
 #: Files up to this many bytes have a digest of their bytes; larger ones are known by their rows' hashes.
 DIGEST_BYTES = 256_000_000
+#: Rows of a data file, and bytes of text and nested values in it: a task sorts no more, as far as ranges are even.
+FILE_ROWS, FILE_BYTES = 1 << 20, 128_000_000
 #: Distinct values of a column for which ``auto`` makes a histogram.
 AUTO_VALUES = 1000
 
@@ -41,6 +44,10 @@ class WriteOptions:
     or ``"none"``, or for histograms ``"auto"``: every scalar column of few values;
     ``include``: columns that every index holds beside its key, so that lookups of these
     alone open no data file;
+    ``partitions``: files at least; there are more where one would be too large for the
+    task that sorts it (:data:`FILE_ROWS`). ``file_rows``: rows of each file but the last,
+    exactly, in the order of ``cluster_by``, ties in that of the other columns; files in
+    order of their names then hold the rows in order.
     ``zone_rows``: rows of a zone. Row groups are Parquet's own.
     """
 
@@ -50,6 +57,7 @@ class WriteOptions:
     statistics: tuple[str, ...] | None = None
     compression: str = "zstd"
     partitions: int | None = None
+    file_rows: int | None = None
     zone_rows: int = 131_072
     mode: str = "errorifexists"
     histograms: tuple[str, ...] | str = ()
@@ -69,6 +77,8 @@ class WriteOptions:
             raise ArchiveError("unknown_column", missing[0])
         if self.curve_kind == "hilbert" and len(self.curve) not in (0, 2):
             raise ArchiveError("bad_option", "a Hilbert curve runs over two columns")
+        if self.file_rows is not None and (not 0 < self.file_rows <= FILE_ROWS or not self.cluster_by or self.curve or self.partition_by):
+            raise ArchiveError("bad_option", f"file_rows: {self.file_rows}")
         return self
 
 
@@ -85,15 +95,40 @@ def _orderable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.NullType)) and kind.simpleString() not in ("variant", "interval")
 
 
+def _pieces(df: DataFrame, most: int | None = None) -> int:
+    """How many files keep each within FILE_ROWS (or ``most``) rows and FILE_BYTES, from one pass over the rows."""
+    sizes = []
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.octet_length(c))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) or f.dataType.simpleString() == "variant":
+            sizes.append(F.octet_length(F.to_json(c)))
+    held = df.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(x.cast("long")), F.lit(0)).alias(f"b{i}") for i, x in enumerate(sizes))).first()
+    return max(1, -(-held[0] // (most or FILE_ROWS)), -(-sum(held[1:]) // FILE_BYTES))
+
+
+def _tie(df: DataFrame, keys: tuple[str, ...]) -> Column:
+    """A mark by which rows of one key, however many, can lie in several ranges."""
+    rest = [F.col(f"`{f.name}`") for f in df.schema if f.name not in keys and _orderable(f.dataType)]
+    return F.xxhash64(*rest) if rest else F.lit(0)
+
+
 def clustered(df: DataFrame, o: WriteOptions) -> DataFrame:
-    """Rows ranged over the cluster and sorted, by columns or along a curve."""
-    n = (o.partitions,) if o.partitions else ()
+    """Rows ranged over the cluster and sorted, by columns or along a curve. Ranges follow the number of rows, so that a task's sort does not grow with the table."""
+    if o.file_rows:
+        order = [*o.cluster_by, *(f.name for f in df.schema if f.name not in o.cluster_by and _orderable(f.dataType))]
+        n = _pieces(df, o.file_rows)
+        rows = numbered(df, order, "__row", n).withColumn("__piece", F.expr(f"cast(__row div {o.file_rows} as int)"))
+        return rows.repartitionById(n, "__piece").sortWithinPartitions("__row").drop("__row", "__piece")
     if o.curve:
-        key = "__curve"
-        return Z.with_curve(df, key, o.curve, o.curve_kind).repartitionByRange(*n, key).sortWithinPartitions(*o.partition_by, key).drop(key)
+        key, curved = "__curve", Z.with_curve(df, "__curve", o.curve, o.curve_kind)
+        n = max(o.partitions or 1, _pieces(df))
+        return curved.repartitionByRange(n, key, _tie(curved, (key,))).sortWithinPartitions(*o.partition_by, key).drop(key)
     if o.cluster_by:
-        return df.repartitionByRange(*n, *o.cluster_by).sortWithinPartitions(*o.partition_by, *o.cluster_by)
-    return df.repartition(o.partitions) if o.partitions else df
+        n = max(o.partitions or 1, _pieces(df))
+        return df.repartitionByRange(n, *o.cluster_by, _tie(df, o.cluster_by)).sortWithinPartitions(*o.partition_by, *o.cluster_by)
+    return df.repartition(max(o.partitions, _pieces(df))) if o.partitions else df
 
 
 def write(df: DataFrame, path: str, options: WriteOptions | None = None) -> None:
@@ -111,7 +146,7 @@ def write(df: DataFrame, path: str, options: WriteOptions | None = None) -> None
         return
     append = there and o.mode == "append"
     target = path if append else f"{path}.new-{storage.uuid.uuid4().hex}"
-    w = clustered(df, o).write.mode("append").option("compression", o.compression)
+    w = clustered(df, o).write.mode("append").option("compression", o.compression).option("maxRecordsPerFile", FILE_ROWS)
     for c in o.bloom:
         w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
     (w.partitionBy(*o.partition_by) if o.partition_by else w).parquet(f"{target}/data")
@@ -126,6 +161,12 @@ def refresh(spark: SparkSession, path: str, options: WriteOptions | None = None)
 
 
 def _describe(spark: SparkSession, path: str, o: WriteOptions) -> None:
+    """Metadata of the data files. Bounds of text are made by sorting, so a task has one file."""
+    with storage.file_by_file(spark, f"{path}/data"):
+        _describe_files(spark, path, o)
+
+
+def _describe_files(spark: SparkSession, path: str, o: WriteOptions) -> None:
     rows = with_places(spark, path, o.zone_rows)
     kept = spark.read.parquet(f"{path}/data").schema
     columns = [f.name for f in kept if _orderable(f.dataType) and (o.statistics is None or f.name in o.statistics)]

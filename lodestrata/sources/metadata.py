@@ -13,7 +13,7 @@ import json
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -313,6 +313,12 @@ def explain(a: Archive, p: dict, projection: list[str] | None = None) -> DataFra
     return held.select(*open_.columns).unionByName(open_)
 
 
+def file_starts(explained: DataFrame) -> DataFrame:
+    """(file, start) of :func:`explain` rows: the rows in the files before, in order of their names. One row for each file is gathered."""
+    held = explained.groupBy("file").agg(F.sum("rows").alias("n"))
+    return held.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("start"))
+
+
 def counters(a: Archive, p: dict) -> DataFrame:
     """One row of scan counters: files and zones considered, pruned and without metadata, rows that need not be read, the index used."""
     found = survey(a, p)

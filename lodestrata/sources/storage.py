@@ -6,6 +6,8 @@ import atexit
 import re
 import shutil
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows, made once and read back from a scratch folder, for callers that read them several times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def below(column: str, root: str = "data"):
     """What follows ``/<root>/`` in a column of file paths, without URI escapes."""
     return F.url_decode(F.replace(F.regexp_extract(column, f"/{root}/(.*)$", 1), F.lit("+"), F.lit("%2B")))
@@ -101,6 +110,18 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.regexp_extract("path", f"/{name}/(.*)$", 1).alias("file"), F.col("length").alias("bytes"), F.unix_millis("modificationTime").alias("modified"))
 
 
+@contextmanager
+def file_by_file(spark: SparkSession, root: str) -> Iterator[None]:
+    """Scans that run inside give a task one file below ``root``, or a piece of one, and not as many as their bytes allow; four where there are very many."""
+    cost = "spark.sql.files.openCostInBytes"
+    before, whole = spark.conf.get(cost), int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    spark.conf.set(cost, str(whole if few(spark, root) is not None else whole // 4))
+    try:
+        yield
+    finally:
+        spark.conf.set(cost, before)
+
+
 def replace(spark: SparkSession, new: str, path: str) -> None:
     """Put the finished folder ``new`` in the place of ``path``.
 

@@ -205,3 +205,22 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(tables.ArchiveError, match="no_shared_folder"):
         storage.scratch(Session(), "x")
+
+
+def rows_by_file(spark, path):
+    return [r.rows for r in spark.read.parquet(f"{path}/manifest").orderBy("file").collect()]
+
+
+def test_files_of_exact_rows(spark, tmp_path):
+    """Files hold the rows in order of their names, so that zones have numbers over all files; equal rows have places of their own."""
+    path = str(tmp_path / "a")
+    df = spark.range(1000).selectExpr("cast(id * 7 % 500 as bigint) as k", "'x' as s").repartition(5)
+    archive.write(df, path, archive.WriteOptions(cluster_by=("k",), file_rows=128, zone_rows=32))
+    assert rows_by_file(spark, path) == [128] * 7 + [104]
+    files = [r.file for r in spark.read.parquet(f"{path}/manifest").orderBy("file").collect()]
+    assert [r.k for f in files for r in spark.read.parquet(f"{path}/data/{f}").collect()] == sorted(i * 7 % 500 for i in range(1000))
+    e = metadata.explain(metadata.opened(spark, path), P.pred("GtEq", "k", 0))
+    assert [r.start for r in metadata.file_starts(e).orderBy("file").collect()] == [128 * i for i in range(8)]
+    for bad in ({"file_rows": 9}, {"file_rows": 0, "cluster_by": ("k",)}, {"file_rows": 9, "curve": ("k",)}):
+        with pytest.raises(tables.ArchiveError):
+            archive.write(df, str(tmp_path / "bad"), archive.WriteOptions(**bad))
