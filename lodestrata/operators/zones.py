@@ -281,6 +281,11 @@ def hilbert(x: Column, y: Column, bits: int = 16) -> Column:
 _STEPS = 64
 
 
+def _upto(n: Column):
+    """A test of one argument: Spark gives a second one, even one with a default, the element's place."""
+    return lambda c: c <= n
+
+
 def with_curve(df: DataFrame, out: str, columns: tuple[str, ...], kind: str = "z") -> DataFrame:
     """Add a clustering key along a curve over columns of numbers or times; each is cut into steps of about equal counts, nulls first."""
     numbers = [F.col(c).cast("timestamp").cast("double") if t.startswith(("timestamp", "date")) else F.col(c).cast("double") for c, t in ((c, dict(df.dtypes)[c]) for c in columns)]
@@ -288,7 +293,7 @@ def with_curve(df: DataFrame, out: str, columns: tuple[str, ...], kind: str = "z
     ranks = []
     for n, cuts in zip(numbers, marks):
         cuts = F.array(*(F.lit(float(x)) for x in sorted(set(cuts or ()))))
-        ranks.append(F.coalesce(F.size(F.filter(cuts, lambda c, n=n: c <= n)), F.lit(0)).cast("long"))
+        ranks.append(F.coalesce(F.size(F.filter(cuts, _upto(n))), F.lit(0)).cast("long"))
     bits = (_STEPS - 1).bit_length()
     return df.withColumn(out, hilbert(*ranks, bits=bits) if kind == "hilbert" else z_order(*ranks, bits=bits))
 

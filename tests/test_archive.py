@@ -224,3 +224,10 @@ def test_files_of_exact_rows(spark, tmp_path):
     for bad in ({"file_rows": 9}, {"file_rows": 0, "cluster_by": ("k",)}, {"file_rows": 9, "curve": ("k",)}):
         with pytest.raises(tables.ArchiveError):
             archive.write(df, str(tmp_path / "bad"), archive.WriteOptions(**bad))
+
+
+def test_curve_keys_follow_their_columns(spark):
+    """A key that is the same for all rows would put them into one file."""
+    df = spark.range(4096).selectExpr("id % 64 as x", "cast(id div 64 as double) as y")
+    for kind in ("z", "hilbert"):
+        assert zones.with_curve(df, "key", ("x", "y"), kind).select("key").distinct().count() > 3000
