@@ -231,3 +231,25 @@ def test_curve_keys_follow_their_columns(spark):
     df = spark.range(4096).selectExpr("id % 64 as x", "cast(id div 64 as double) as y")
     for kind in ("z", "hilbert"):
         assert zones.with_curve(df, "key", ("x", "y"), kind).select("key").distinct().count() > 3000
+
+
+def test_partitions_follow_the_rows(spark, tmp_path, monkeypatch):
+    """However few files are asked for, none is larger than what a task may sort; rows of one key are spread, too."""
+    monkeypatch.setattr(archive, "FILE_ROWS", 100)
+    many = spark.range(1000).selectExpr("id", "id % 2 as k", "'x' as s")
+    for name, o in (("key", {"cluster_by": ("id",), "partitions": 2}), ("hot", {"cluster_by": ("k",), "partitions": 1}), ("curve", {"curve": ("id", "k"), "partitions": 1}), ("plain", {})):
+        path = str(tmp_path / name)
+        archive.write(many, path, archive.WriteOptions(**o))
+        held = rows_by_file(spark, path)
+        assert sum(held) == 1000 and max(held) <= 100
+        assert archive.read(spark, path).agg(F.sum("id")).first()[0] == 499500
+    # text counts by its bytes
+    monkeypatch.setattr(archive, "FILE_BYTES", 10_000)
+    wide = spark.range(60).selectExpr("id", "repeat('y', 1000) as s")
+    archive.write(wide, str(tmp_path / "wide"), archive.WriteOptions(cluster_by=("id",), partitions=1))
+    assert len(rows_by_file(spark, str(tmp_path / "wide"))) >= 5
+    # and the metadata is made file by file
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    with storage.file_by_file(spark, f"{tmp_path}/wide/data"):
+        assert spark.read.parquet(f"{tmp_path}/wide/data").rdd.getNumPartitions() == len(rows_by_file(spark, str(tmp_path / "wide")))
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
