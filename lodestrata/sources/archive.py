@@ -170,9 +170,11 @@ def _describe_files(spark: SparkSession, path: str, o: WriteOptions) -> None:
     rows = with_places(spark, path, o.zone_rows)
     kept = spark.read.parquet(f"{path}/data").schema
     columns = [f.name for f in kept if _orderable(f.dataType) and (o.statistics is None or f.name in o.statistics)]
+    # dealt by a shuffle: in one task, the aggregations of all partitions would hold their memory side by side
+    parts = 1 if storage.few(spark, f"{path}/data") else 64
     first = Z.zone_stats(rows, ["file", "zone"], columns, sums=True).withColumn("row_start", F.col("zone") * o.zone_rows)
-    first.coalesce(1 if (storage.few(spark, f"{path}/data") or None) else 64).write.mode("overwrite").parquet(f"{path}/zones")
-    manifest(spark, f"{path}/data", rows.drop("row_index", "zone")).coalesce(1 if (storage.few(spark, f"{path}/data") or None) else 64).write.mode("overwrite").parquet(f"{path}/manifest")
+    first.repartition(parts).write.mode("overwrite").parquet(f"{path}/zones")
+    manifest(spark, f"{path}/data", rows.drop("row_index", "zone")).repartition(parts).write.mode("overwrite").parquet(f"{path}/manifest")
     spark.createDataFrame([(kept.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
     names = [] if o.histograms == "none" else o.histograms
     if o.histograms == "auto":

@@ -253,3 +253,24 @@ def test_partitions_follow_the_rows(spark, tmp_path, monkeypatch):
     with storage.file_by_file(spark, f"{tmp_path}/wide/data"):
         assert spark.read.parquet(f"{tmp_path}/wide/data").rdd.getNumPartitions() == len(rows_by_file(spark, str(tmp_path / "wide")))
     assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
+
+
+def test_metadata_is_not_aggregated_in_one_task(spark, tmp_path):
+    """The few rows of an archive's metadata are written by one task, but each partition's aggregation is a task of its own."""
+    store = spark._jsc.sc().statusStore()
+    page = spark._jvm.org.apache.spark.SparkEnv.get().memoryManager().pageSizeBytes()
+
+    def stages():
+        found = store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return [found.apply(i) for i in range(found.size())]
+
+    last = max((s.stageId() for s in stages()), default=-1)
+    df = spark.range(2000).selectExpr("id", "concat('n', id) as s")
+    archive.write(df.repartition(12), str(tmp_path / "a"))
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    most = 0
+    for s in stages():
+        if s.stageId() > last and s.numCompleteTasks():
+            tasks = store.taskList(s.stageId(), s.attemptId(), 1000)
+            most = max(most, *(tasks.apply(i).taskMetrics().get().peakExecutionMemory() for i in range(tasks.size())))
+    assert 0 < most <= 2.5 * page
