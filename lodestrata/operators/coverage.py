@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ELIGIBLE = ("ExactTight", "ExactConservative", "ProbabilisticConservative")
@@ -41,17 +41,49 @@ def refine(blocks: DataFrame, size: int) -> DataFrame:
     return blocks.withColumn("start", F.col("block") * size).withColumn("length", F.lit(size).cast("long")).drop("block")
 
 
+#: Ranges that a task orders at most; more are ordered in parts.
+PART_RANGES = 1 << 19
+
+
 def coalesce_ranges(ranges: DataFrame, fragment: list[str]) -> DataFrame:
-    """Overlapping or touching ranges of a fragment become one; empty ranges go."""
-    w = Window.partitionBy(*fragment).orderBy("start", "length")
+    """Overlapping or touching ranges of a fragment become one; empty ranges go.
+
+    Many ranges are ordered in parts of bounded size. A part is told how far the
+    fragment that it begins with was covered before it, and how many islands of that
+    fragment began there; so an island may run through any number of parts.
+    """
+    from .ordinals import ranged
+
     end = F.col("start") + F.col("length")
-    seen = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ranges.where("length > 0").withColumn("__new", F.coalesce((F.col("start") > seen), F.lit(True)).cast("int"))
+    spans = ranges.where("length > 0").groupBy(*fragment, "start").agg(F.max("length").alias("length"))
+    parts = -(-spans.count() // PART_RANGES)
+    held = ranged(spans, [*fragment, "start"], parts).repartitionById(parts, "__range") if parts > 1 else spans.withColumn("__range", F.lit(0))
+    w = Window.partitionBy("__range", *fragment).orderBy("start")
+    marked = held.withColumn("__seen", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    if parts > 1:
+        marked = _from_before(marked, held.groupBy("__range", *fragment).agg(F.max(end).alias("__open")), F.max("__open"), fragment)
+    before = F.greatest("__seen", "__open") if parts > 1 else F.col("__seen")
+    marked = marked.withColumn("__new", F.coalesce(F.col("start") > before, F.lit(True)).cast("long"))
     island = marked.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = island.groupBy(*fragment, "__island").agg(F.min("start").alias("start"), F.max(end).alias("end"))
+    out = island.groupBy("__range", *fragment, "__island").agg(F.min("start").alias("start"), F.max(end).alias("end"))
+    if parts > 1:
+        begun = marked.groupBy("__range", *fragment).agg(F.sum("__new").alias("__begun"))
+        out = _from_before(out, begun, F.sum("__begun"), fragment).withColumn("__island", F.col("__island") + F.coalesce("__begun", F.lit(0)))
+        out = out.groupBy(*fragment, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return out.select(*fragment, "start", (F.col("end") - F.col("start")).alias("length"))
 
 
+def _from_before(rows: DataFrame, totals: DataFrame, total: Column, fragment: list[str]) -> DataFrame:
+    """Rows with the total of a fragment over the parts before theirs, null if there are none. Only a part's first fragment can have some, so that these are one row for each part."""
+    name = totals.columns[-1]
+    w = Window.partitionBy(*fragment).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col("__range").alias("__r"), *(F.col(f).alias(f"__f{i}") for i, f in enumerate(fragment)), total.over(w).alias(name)).where(F.col(name).isNotNull())
+    same = F.col("__range") == F.col("__r")
+    for i, f in enumerate(fragment):
+        same = same & F.col(f).eqNullSafe(F.col(f"__f{i}"))
+    return rows.join(F.broadcast(before), same, "left").drop("__r", *(f"__f{i}" for i in range(len(fragment))))
+
+
 def intersect_ranges(a: DataFrame, b: DataFrame, fragment: list[str]) -> DataFrame:
     """Rows in both, as coalesced ranges."""
     x = a.select(*fragment, F.col("start").alias("s1"), (F.col("start") + F.col("length")).alias("e1"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import canonical as K
 from lodestrata.functions import predicates as P
-from lodestrata.operators import coverage, key_index, mapping, projection, synopses, temporal, visibility, zones
+from lodestrata.operators import coverage, key_index, mapping, ordinals, projection, synopses, temporal, visibility, zones
 from lodestrata.sources import archive, tables
 from lodestrata.streaming import ingest
 
@@ -391,3 +391,24 @@ def test_ordinals_are_dense(spark):
     assert got == list(range(10_000))
     sums = running_sum(df, "one", "at", ["o"], ["f"], F.expr("o div 100")).orderBy("f", "o").collect()
     assert [r["at"] for r in sums if r.f == "1"] == list(range(len([1 for r in sums if r.f == "1"])))
+
+
+def test_ranges_in_parts(spark, monkeypatch):
+    """Ranges ordered in parts, with islands that run through several of them, are as those of one order."""
+    monkeypatch.setattr(coverage, "PART_RANGES", 7)
+    rnd = random.Random(11)
+    rows = [(rnd.choice((0, 1, None)), rnd.randrange(150), rnd.choice((0, 1, 1, 2))) for _ in range(120)] + [(0, 3, 60), (0, 20, 20), (2, 5, 1)]
+    got = coverage.coalesce_ranges(spark.createDataFrame(rows, "f int, start long, length long"), ["f"]).collect()
+    want = []
+    for f in (0, 1, 2, None):
+        held = sorted({s + k for g, s, n in rows if g == f for k in range(n)})
+        for c in held:
+            if want and want[-1][0] == f and want[-1][1] + want[-1][2] == c:
+                want[-1][2] += 1
+            else:
+                want.append([f, c, 1])
+    assert sorted(([r.f, r.start, r.length] for r in got), key=str) == sorted(want, key=str)
+    held, real = [], ordinals.ranged
+    monkeypatch.setattr(ordinals, "ranged", lambda *a: held.append(real(*a)) or held[-1])
+    assert coverage.coalesce_ranges(spark.range(100).selectExpr("0 as f", "id * 2 as start", "1L as length"), ["f"]).count() == 100
+    assert held[0].groupBy("__range").count().agg(F.max("count")).first()[0] <= 21
