@@ -29,6 +29,8 @@ from .tables import ArchiveError, detect_format, read_any
 DIGEST_BYTES = 256_000_000
 #: Rows of a data file, and bytes of text and nested values in it: a task sorts no more, as far as ranges are even.
 FILE_ROWS, FILE_BYTES = 1 << 20, 128_000_000
+#: Rows of the data for which one task makes a histogram or a range of an index, as far as these are even.
+TABLE_ROWS = 1 << 18
 #: Distinct values of a column for which ``auto`` makes a histogram.
 AUTO_VALUES = 1000
 
@@ -181,13 +183,18 @@ def _describe_files(spark: SparkSession, path: str, o: WriteOptions) -> None:
         scalar = [c for c in columns if c not in o.partition_by]
         few = rows.agg(*(F.approx_count_distinct(c).alias(c) for c in scalar)).first() if scalar else {}
         names = [c for c in scalar if few[c] <= AUTO_VALUES]
+    indexes = () if isinstance(o.indexes, str) else o.indexes
+    # by rows, since the session's number of shuffle partitions does not grow with them, and adaptive execution merges these
+    used = {*names, *indexes, *(o.include if indexes else ())}
+    tasks = _pieces(rows.select(*sorted(used)), TABLE_ROWS) if used else 1
     for c in names:
         hist = rows.where(F.col(c).isNotNull()).groupBy("file", "zone", F.col(c).alias("key")).agg(F.count("*").alias("n"))
-        hist.write.mode("overwrite").parquet(f"{path}/histograms/{c}")
-    for c in () if isinstance(o.indexes, str) else o.indexes:
-        # sorted by key, so that row-group statistics prune lookups
+        with storage.dealt(spark, tasks):
+            hist.write.mode("overwrite").parquet(f"{path}/histograms/{c}")
+    for c in indexes:
+        # sorted by key, so that row-group statistics prune lookups; by place, too, so that rows of one key can lie in several ranges
         keys = rows.where(F.col(c).isNotNull()).select(F.col(c).alias("key"), "file", "row_index", *(x for x in o.include if x not in ("key", "file", "row_index")))
-        keys.repartitionByRange("key").sortWithinPartitions("key", "file", "row_index").write.mode("overwrite").parquet(f"{path}/index/{c}")
+        keys.repartitionByRange(tasks, "key", "file", "row_index").sortWithinPartitions("key", "file", "row_index").write.mode("overwrite").parquet(f"{path}/index/{c}")
 
 
 def _file() -> Column:

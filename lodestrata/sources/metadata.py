@@ -61,8 +61,9 @@ class Archive:
             if not storage.exists(self.spark, f"{path}/_SUCCESS"):
                 self.missing.add(name)
                 return None
-            size = sum(n for n, _ in (storage.few(self.spark, path) or {"": (HELD_BYTES, 0)}).values())
-            self.tables[name] = _Table(self.spark, path, size <= HELD_BYTES)
+            # a table of very many files is not small
+            found = storage.few(self.spark, path)
+            self.tables[name] = _Table(self.spark, path, found is not None and sum(n for n, _ in found.values()) <= HELD_BYTES)
         return self.tables[name]
 
 

@@ -122,6 +122,20 @@ def file_by_file(spark: SparkSession, root: str) -> Iterator[None]:
         spark.conf.set(cost, before)
 
 
+@contextmanager
+def dealt(spark: SparkSession, tasks: int) -> Iterator[None]:
+    """Shuffles that run inside have so many partitions, whatever the session's number, and none are merged."""
+    held = {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def replace(spark: SparkSession, new: str, path: str) -> None:
     """Put the finished folder ``new`` in the place of ``path``.
 

@@ -274,3 +274,24 @@ def test_metadata_is_not_aggregated_in_one_task(spark, tmp_path):
             tasks = store.taskList(s.stageId(), s.attemptId(), 1000)
             most = max(most, *(tasks.apply(i).taskMetrics().get().peakExecutionMemory() for i in range(tasks.size())))
     assert 0 < most <= 2.5 * page
+
+
+def test_metadata_tables_follow_the_rows(spark, tmp_path, monkeypatch):
+    """A task makes a histogram or an index of a bounded number of rows, whatever the session's shuffle partitions; one key's rows are spread, too."""
+    monkeypatch.setattr(archive, "TABLE_ROWS", 100, raising=False)
+    conf = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = [spark.conf.get(k) for k in conf]
+    df = spark.range(1000).selectExpr("id", "7 as hot", "if(id % 10 = 0, null, id div 2) as k")
+    path = str(tmp_path / "a")
+    archive.write(df, path, archive.WriteOptions(cluster_by=("id",), zone_rows=50, histograms=("id", "k"), indexes=("hot", "k"), include=("id",)))
+    for table in ("histograms/id", "histograms/k", "index/hot", "index/k"):
+        made = spark.read.parquet(f"{path}/{table}").groupBy(F.input_file_name()).count()
+        held = [r["count"] for r in made.collect()]
+        assert len(held) == 10 and max(held) < 200, table
+    h = spark.read.parquet(f"{path}/histograms/k")
+    assert h.agg(F.sum("n")).first()[0] == 900 and h.count() == h.select("file", "zone", "key").distinct().count()
+    assert [spark.conf.get(k) for k in conf] == before
+    # the index is whole, and a lookup of a key in several ranges finds all its rows
+    assert spark.read.parquet(f"{path}/index/k").count() == 900
+    assert sorted(r.id for r in archive.lookup(spark, path, "hot", [7]).collect()) == list(range(1000))
+    assert sorted(r.id for r in archive.lookup(spark, path, "k", [3, 5, 499]).collect()) == [6, 7, 11, 998, 999]
